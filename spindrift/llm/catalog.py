@@ -7,19 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binpack, bpe, fertility
+from ..session import importable
+from . import binpack, bpe, fertility, relative, simhash
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
 
+def op5_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative.digests(relative.dedup(table(spark, sf_dir, "documents")))
+
+
 def op8_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.digests(binpack.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
@@ -28,8 +33,12 @@ def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.measure(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op8_bit_packing, op9_tokeniser_fertility)}
+    return {f.__name__: f for f in (op2_byte_bpe, op5_relative_lempel_ziv, op8_bit_packing, op9_tokeniser_fertility, op10_simhash_vantage_points)}
 
 
 def oracle_sql() -> dict[str, str]:
