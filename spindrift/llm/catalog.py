@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import importable
-from . import binpack, bpe, fertility, relative, simhash
+from . import binpack, bpe, decontaminate, fertility, quality, relative, simhash, styletree
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -21,10 +22,25 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
 
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative.digests(relative.dedup(table(spark, sf_dir, "documents")))
 
 
+def op6_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("copy")
+
+
 def op8_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.digests(binpack.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
@@ -38,7 +54,7 @@ def op10_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op5_relative_lempel_ziv, op8_bit_packing, op9_tokeniser_fertility, op10_simhash_vantage_points)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_site_style_tree, op4_naive_bayes_svm, op5_relative_lempel_ziv, op6_qgram_decontamination, op8_bit_packing, op9_tokeniser_fertility, op10_simhash_vantage_points)}
 
 
 def oracle_sql() -> dict[str, str]:
