@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
-from . import binpack, bpe, decontaminate, fertility, quality, relative, simhash, styletree
+from . import binpack, bpe, decontaminate, fertility, lines, quality, relative, simhash, styletree
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
@@ -54,7 +58,7 @@ def op10_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_site_style_tree, op4_naive_bayes_svm, op5_relative_lempel_ziv, op6_qgram_decontamination, op8_bit_packing, op9_tokeniser_fertility, op10_simhash_vantage_points)}
+    return {f.__name__: f for f in (op1_line_edit_join, op2_byte_bpe, op3_site_style_tree, op4_naive_bayes_svm, op5_relative_lempel_ziv, op6_qgram_decontamination, op8_bit_packing, op9_tokeniser_fertility, op10_simhash_vantage_points)}
 
 
 def oracle_sql() -> dict[str, str]:
