@@ -31,7 +31,7 @@ from . import common
 CHUNK, OVERLAP = 16_384, 1_024
 #: A match is certain if this many characters follow it: the longest look ahead.
 LOOKAHEAD = 3
-MEMO = 500_000
+MEMO = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,6 +136,16 @@ def codec(path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], own: Codec) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in common.slices(whole, "text"):
+            ids = [own.encode(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([own.decode(i.tolist()) for i in ids], pa.binary())],
+                names=["doc_id", "ids", "decoded"],
+            )
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Ids (little-endian unsigned 32-bit) and decoded bytes of each row.
 
@@ -144,39 +154,29 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     a null id stays null; repeated rows give repeated results.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern, chunk, overlap)
-        for whole in batches:
-            for batch in common.slices(whole, "text"):
-                ids = [own.encode(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([own.decode(i.tolist()) for i in ids], pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
-                )
-
-    return common.documents(docs, id_col, text_col).mapInArrow(run, ENCODED)
+    return common.documents(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, codec(path, pattern, chunk, overlap)), ENCODED)
 
 
 DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Number of ids, digest of the decimal ids and digest of the decoded bytes, of what ``encode`` returns."""
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.frombuffer(b, dtype="<u4").tolist() for b in batch.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([len(i) for i in ids], pa.int64()),
+                pa.array([hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]),
+                pa.array([hashlib.sha256(b).hexdigest() for b in batch.column("decoded").to_pylist()]),
+            ],
+            names=DIGEST.fieldNames(),
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(b, dtype="<u4").tolist() for b in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in batch.column("decoded").to_pylist()]),
-                ],
-                names=DIGEST.fieldNames(),
-            )
 
-    return encoded.mapInArrow(run, DIGEST)
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Number of ids, digest of the decimal ids and digest of the decoded bytes, of what ``encode`` gives, in the same worker."""
+    return common.documents(docs, id_col, text_col).mapInArrow(lambda batches: _digested(_encoded(batches, codec(path, pattern))), DIGEST)
 
 
 def texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
