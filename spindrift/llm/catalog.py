@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
-from . import binpack, bpe, decontaminate, fertility, lines, quality, relative, simhash, styletree
+from . import binpack, bpe, decontaminate, fertility, lines, quality, relative, simhash, styletree, surrogates
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -45,6 +45,10 @@ def op6_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("copy")
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"), key="spindrift")
+
+
 def op8_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.digests(binpack.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
@@ -58,7 +62,7 @@ def op10_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_edit_join, op2_byte_bpe, op3_site_style_tree, op4_naive_bayes_svm, op5_relative_lempel_ziv, op6_qgram_decontamination, op8_bit_packing, op9_tokeniser_fertility, op10_simhash_vantage_points)}
+    return {f.__name__: f for f in (op1_line_edit_join, op2_byte_bpe, op3_site_style_tree, op4_naive_bayes_svm, op5_relative_lempel_ziv, op6_qgram_decontamination, op7_surrogates, op8_bit_packing, op9_tokeniser_fertility, op10_simhash_vantage_points)}
 
 
 def oracle_sql() -> dict[str, str]:
