@@ -169,16 +169,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, region: int = REGIO
     return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
 
 
-_items: dict[int, Items] = {}
+_items: dict[tuple, Items] = {}
+
+
+def _prepared(shared, q: int, region: int, errors: float) -> Items:
+    """The index of a block, made once in each worker."""
+    key = (id(shared.value), q, region, errors)
+    if key not in _items:
+        _items.clear()
+        _items[key] = Items(shared.value, q, region, errors)
+    return _items[key]
 
 
 def _search(shared, q: int, region: int, errors: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _items:
-            _items.clear()
-            _items[key] = Items(shared.value, q, region, errors)
-        items = _items[key]
+        items = _prepared(shared, q, region, errors)
         for whole in batches:
             out: list[tuple] = []
             for doc_id, copy, text in zip(*(whole.column(c).to_pylist() for c in ("doc_id", "copy", "text"))):
@@ -195,8 +200,26 @@ def _search(shared, q: int, region: int, errors: float):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a leak, with all their columns."""
-    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id", "copy").distinct()
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(found.doc_id) & (F.xxhash64(text) == found.copy), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, region: int = REGION, errors: float = ERRORS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text holds no region of an item, with all their columns.
+
+    A null text holds nothing.  After every few blocks of items the rows are
+    written, so that the chain of passes stays short.
+    """
+    for n, block in enumerate(item_blocks(benchmark, item_col, item_text_col, block_bytes)):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(_without(shared, q, region, errors, text_col), docs.schema)
+        if n % 4 == 3:
+            docs = common.staged(docs, "clean")
+    return docs
+
+
+def _without(shared, q: int, region: int, errors: float, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = _prepared(shared, q, region, errors)
+        for whole in batches:
+            for batch in common.slices(whole, text_col):
+                texts = batch.column(text_col).to_pylist()
+                yield batch.filter(pa.array([not items.hits(np.frombuffer(normal(t or ""), dtype=np.uint8)) for t in texts], pa.bool_()))
+
+    return run
