@@ -163,12 +163,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: s
     rows = common.documents(docs, id_col, text_col).withColumn("doc", common.id_order("doc_id")).withColumn("copy", F.xxhash64("text"))
     blocks = common.staged(index(rows.select("doc", "copy", "text"), window, anchor), "blocks")
     # anchors that an earlier document has too; the rest of the index matches nothing
+    # (tables of their own, so that a join with them can split a common key)
     known = blocks.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("block").alias("low"), F.max("block").alias("high")).filter("first < last")
-    shared = common.staged(blocks.join(known.select("anchor", "first", (F.col("low") == F.col("high")).alias("same")), "anchor").select("doc", "copy", "start", "n", "first", "same"), "shared")
+    known = common.staged(known.select("anchor", "first", (F.col("low") == F.col("high")).alias("same")), "known")
+    shared = common.staged(blocks.join(known, "anchor").select("doc", "copy", "start", "n", "first", "same"), "shared")
     whole = shared.filter("same and first < doc").select("doc", "copy", "start", "n")
     edges = rows.select("doc", "copy", "text").join(grouped(shared.filter("not same"), "runs"), ["doc", "copy"])
     single = common.staged(windows(edges, window, anchor), "windows")
-    earliest = single.groupBy("hash", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    earliest = common.staged(single.groupBy("hash", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last"), "earliest")
     ends = single.join(earliest, ["hash", "check"]).filter("first < doc").select("doc", "copy", "start", F.lit(1).alias("n"))
     return apply(rows.join(grouped(whole.union(ends), "runs"), ["doc", "copy"], "left").select("doc_id", "text", "runs"), window)
 
