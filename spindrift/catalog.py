@@ -1,15 +1,579 @@
-"""Registered queries of the vector engine and their SQL."""
+"""Registered queries of the vector engine and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import vectors as V
+from .operators import graph, metrics, nvq, quantize, search, segments
+from .plans import options
+from .session import importable
+from .sources import datasets
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+DIM, QUERIES, K = 64, 20, 10
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str = "embeddings") -> DataFrame:
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def asked(base: DataFrame, n: int = QUERIES) -> DataFrame:
+    return base.filter(F.col("vec_id") < n).select("vec_id", "embedding")
+
+
+def pairs(base: DataFrame, n: int) -> DataFrame:
+    """Every query with every other row; the queries are a fixed few."""
+    q = asked(base, n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return base.join(F.broadcast(q), F.col("query_id") != F.col("vec_id"))
+
+
+# SQL building blocks: e has vectors in double precision, p pairs of the first queries with all others
+
+E_ = "e AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings)"
+SQL_SCORE = {
+    "dot": "(1 + list_dot_product(q.v, b.v)) / 2",
+    "cosine": "(1 + list_dot_product(q.v, b.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(b.v, b.v))) / 2",
+    "l2": "1 / (1 + list_sum(list_transform(list_zip(q.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))",
+}
+
+
+def sql_pairs(metric: str, n: int = QUERIES, where: str = "true") -> str:
+    return f"WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, b.label label, {SQL_SCORE[metric]} score FROM e q, e b WHERE q.vec_id < {n} AND q.vec_id <> b.vec_id AND {where})"
+
+
+RANKED = "r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank, vec_id, score FROM p)"
+
+
+def sql_knn(metric: str, k: int = K, where: str = "true", skip: int = 0, n: int = QUERIES) -> str:
+    return f"{sql_pairs(metric, n, where)}, {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE rank > {skip} AND rank <= {skip + k}"
+
+
+# scores and kernels
+
+
+def _score(metric: str) -> None:
+    @registered(f"score_{metric}", f"{sql_pairs(metric, 5)} SELECT query_id, vec_id, score FROM p")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pairs(table(spark, sf_dir), 5).select("query_id", "vec_id", V.score(metric, F.col("query"), F.col("embedding")).alias("score"))
+
+
+def _knn(metric: str) -> None:
+    @registered(f"knn_{metric}", sql_knn(metric))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = table(spark, sf_dir)
+        return search.search(base, asked(base), K, metric)
+
+
+for _metric in V.METRICS:
+    _score(_metric)
+    _knn(_metric)
+
+
+@registered("normalize", f"WITH {E_}, n AS (SELECT vec_id, list_transform(v, lambda x: x * 3) w FROM e), u AS (SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) u FROM n) SELECT vec_id, u[1] first_value, u[64] last_value, round(list_dot_product(u, u), 12) norm2 FROM u")
+def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = table(spark, sf_dir).select("vec_id", V.l2_normalized(V.scaled(F.col("embedding"), 3)).alias("u"))
+    return unit.select("vec_id", F.get("u", F.lit(0)).alias("first_value"), F.get("u", F.lit(63)).alias("last_value"), F.round(V.norm2(F.col("u")), 12).alias("norm2"))
+
+
+@registered("vector_stats", f"WITH {E_} SELECT vec_id, len(v)::INT dim, list_sum(v) total, list_max(v) largest, list_min(v) smallest, list_dot_product(v, v) norm2 FROM e")
+def vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding")
+    return table(spark, sf_dir).select("vec_id", F.size(v).alias("dim"), V.total(v).alias("total"), V.largest(v).alias("largest"), V.smallest(v).alias("smallest"), V.norm2(v).alias("norm2"))
+
+
+@registered(
+    "vector_arithmetic",
+    f"""WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v a, b.v b FROM e q, e b WHERE q.vec_id < 3 AND q.vec_id <> b.vec_id)
+    SELECT query_id, vec_id, list_sum(list_transform(list_zip(a, b), lambda x: x[1] + x[2])) added, list_sum(list_transform(list_zip(a, b), lambda x: x[1] - x[2])) subtracted,
+    list_sum(list_transform(list_zip(a, b), lambda x: least(x[1], x[2]))) least_sum, list_sum(list_transform(b, lambda x: x * 2.5)) scaled, list_sum(list_transform(b, lambda x: x + 1)) shifted FROM p""",
+)
+def vector_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("query"), F.col("embedding")
+    return pairs(table(spark, sf_dir), 3).select(
+        "query_id", "vec_id", V.total(V.added(a, b)).alias("added"), V.total(V.subtracted(a, b)).alias("subtracted"), V.total(V.minimum(a, b)).alias("least_sum"), V.total(V.scaled(b, 2.5)).alias("scaled"), V.total(V.added(b, 1)).alias("shifted")
+    )
+
+
+@registered(
+    "part_scores",
+    f"""WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v[9:24] a, b.v[17:32] b FROM e q, e b WHERE q.vec_id < 3 AND q.vec_id <> b.vec_id)
+    SELECT query_id, vec_id, list_dot_product(a, b) dot, list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) cosine, list_sum(list_transform(list_zip(a, b), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) square_l2 FROM p""",
+)
+def part_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = V.part(F.col("query"), 8, 16), V.part(F.col("embedding"), 16, 16)
+    return pairs(table(spark, sf_dir), 3).select("query_id", "vec_id", V.dot(a, b).alias("dot"), V.cosine(a, b).alias("cosine"), V.square_l2(a, b).alias("square_l2"))
+
+
+@registered("centroid", f"WITH {E_}, x AS (SELECT unnest(v) x, generate_subscripts(v, 1) - 1 pos FROM e) SELECT pos::INT pos, round(avg(x), 9) mean, round(sum(x), 9) total FROM x GROUP BY pos")
+def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir).select(F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))
+    return each.groupBy("pos").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.sum("x"), 9).alias("total"))
+
+
+# search
+
+
+@registered("knn_filter_label", sql_knn("cosine", where="b.label IN (1, 3)"))
+def knn_filter_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    return search.search(base, asked(base), K, accept=F.col("label").isin(1, 3))
+
+
+@registered("knn_anti_deleted", sql_knn("cosine", where="b.vec_id % 7 <> 0"))
+def knn_anti_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    return search.search(base, asked(base), K, deleted=base.filter("vec_id % 7 = 0"))
+
+
+@registered("knn_accept_ids", sql_knn("l2", where="b.vec_id % 5 = 2"))
+def knn_accept_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    return search.search(base, asked(base), K, "l2", accept=base.filter("vec_id % 5 = 2").select("vec_id"))
+
+
+@registered("knn_accept_and_live", sql_knn("dot", where="b.label <= 4 AND NOT (b.vec_id % 3 = 0)"))
+def knn_accept_and_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    return search.search(base, asked(base), K, "dot", accept=F.col("label") <= 4, deleted=base.filter("vec_id % 3 = 0"))
+
+
+@registered("range_search", f"{sql_pairs('cosine')}, {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE score >= 0.6")
+def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    return search.search(base, asked(base), None, threshold=0.6)
+
+
+@registered("range_top_k", f"{sql_pairs('cosine')}, {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE score >= 0.6 AND rank <= 5")
+def range_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    return search.search(base, asked(base), 5, threshold=0.6)
+
+
+@registered("knn_resume", sql_knn("cosine", skip=K))
+def knn_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    return search.search(base, asked(base), K, skip=K)
+
+
+@registered("near_pairs", f"{sql_pairs('cosine', 2**31)} SELECT query_id a, vec_id b, score FROM p WHERE query_id < vec_id AND score >= 0.75")
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.similar_pairs(table(spark, sf_dir), 0.75)
+
+
+@registered("knn_all", sql_knn("cosine", 1, n=2**31))
+def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    return search.search(base, base.select("vec_id", "embedding"), 1)
+
+
+@registered("segment_merge_top_k", sql_knn("cosine"))
+def segment_merge_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = segments.partitioned(table(spark, sf_dir), 3, "FIBONACCI")
+    q = asked(table(spark, sf_dir))
+    return search.merge([search.search(base.filter(F.col("segment") == i), q, K) for i in range(3)], K)
+
+
+# binary quantisation; the codes' score is one less the share of differing signs
+
+BQ_PAIRS = f"WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v q, b.v b, 1 - len(list_filter(list_zip(q.v, b.v), lambda x: (x[1] > 0) <> (x[2] > 0))) / 64.0::DOUBLE score FROM e q, e b WHERE q.vec_id < {QUERIES} AND q.vec_id <> b.vec_id)"
+SQL_COS = "(1 + list_dot_product(q, b) / sqrt(list_dot_product(q, q) * list_dot_product(b, b))) / 2"
+
+
+def sql_bq_top(k: int, name: str = "c") -> str:
+    return f"{name} AS (SELECT query_id, vec_id, q, b, score approx_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) approx_rank FROM p QUALIFY approx_rank <= {k})"
+
+
+@registered("bq_encode", f"WITH {E_} SELECT vec_id, list_sum(list_transform(v[1:63], lambda x, i: CASE WHEN x > 0 THEN 1::HUGEINT << (i - 1) ELSE 0 END))::BIGINT low_bits, v[64] > 0 high_bit FROM e")
+def bq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = quantize.bq_encode(table(spark, sf_dir), DIM)
+    word = F.get("words", F.lit(0))
+    return codes.select("vec_id", word.bitwiseAND(F.lit(2**63 - 1)).alias("low_bits"), (word < 0).alias("high_bit"))
+
+
+def _bq(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    base = table(spark, sf_dir)
+    codes = quantize.bq_encode(base, DIM)
+    return base, asked(base), quantize.bq_search(codes, codes.filter(F.col("vec_id") < QUERIES), DIM, k)
+
+
+@registered("bq_hamming", f"{BQ_PAIRS} SELECT query_id, vec_id, ((1 - score) * 64)::INT differing FROM p")
+def bq_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = quantize.bq_encode(table(spark, sf_dir), DIM)
+    q = codes.filter(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query_id"), F.col("words").alias("query"))
+    return codes.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", V.hamming(F.col("query"), F.col("words")).cast("int").alias("differing"))
+
+
+@registered("bq_knn", f"{BQ_PAIRS}, {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE rank <= {K}")
+def bq_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bq(spark, sf_dir, K)[2]
+
+
+RERANKED = f"x AS (SELECT query_id, vec_id, approx_score, {SQL_COS} score FROM c), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM x QUALIFY rank <= {K})"
+
+
+@registered("bq_rerank", f"{BQ_PAIRS}, {sql_bq_top(50)}, {RERANKED} SELECT query_id, rank::INT rank, vec_id, score, approx_score, CASE WHEN count(*) OVER (PARTITION BY query_id) < {K} THEN 'infinity'::DOUBLE ELSE min(approx_score) OVER (PARTITION BY query_id) END worst_approx FROM y")
+def bq_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, q, _ = _bq(spark, sf_dir, K)
+    return search.two_pass(base, q, K, 50, lambda n: _bq(spark, sf_dir, n)[2])
+
+
+@registered(
+    "rerank_floor",
+    f"{BQ_PAIRS}, {sql_bq_top(50, 'c0')}, c AS (SELECT * FROM c0 WHERE approx_score >= 0.625 OR approx_rank = 1), {RERANKED} SELECT query_id, rank::INT rank, vec_id, score, approx_score, CASE WHEN count(*) OVER (PARTITION BY query_id) < {K} THEN 'infinity'::DOUBLE ELSE min(approx_score) OVER (PARTITION BY query_id) END worst_approx FROM y",
+)
+def rerank_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, q, _ = _bq(spark, sf_dir, K)
+    return search.two_pass(base, q, K, 50, lambda n: _bq(spark, sf_dir, n)[2], floor=0.625)
+
+
+@registered("bq_recon_error", f"WITH {E_} SELECT vec_id, list_sum(list_transform(v, lambda x: CASE WHEN x > 0 THEN (x - 1) * (x - 1) ELSE x * x END)) / 64 error FROM e")
+def bq_recon_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir).select("vec_id", quantize.bq_error(F.col("embedding")).alias("error"))
+
+
+# accuracy
+
+EXACT = f"t AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {SQL_COS} DESC, vec_id) rank FROM p QUALIFY rank <= {K})"
+HITS = f"h AS (SELECT r.query_id, r.rank, (t.vec_id IS NOT NULL)::INT hit FROM r LEFT JOIN t ON r.query_id = t.query_id AND r.vec_id = t.vec_id WHERE r.rank <= {K})"
+
+
+@registered("recall_at_k", f"{BQ_PAIRS}, {RANKED}, {EXACT}, {HITS} SELECT sum(hit) / ({K} * {QUERIES})::DOUBLE recall FROM h")
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, q, found = _bq(spark, sf_dir, K)
+    return metrics.recall(search.search(base, q, K), found, K, K)
+
+
+AP = f"a AS (SELECT query_id, rank, hit, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) running FROM h), ap AS (SELECT query_id, sum(hit * running / rank::DOUBLE) / {K} ap FROM a GROUP BY query_id)"
+
+
+@registered("average_precision", f"{BQ_PAIRS}, {RANKED}, {EXACT}, {HITS}, {AP} SELECT query_id, round(ap, 12) ap FROM ap")
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, q, found = _bq(spark, sf_dir, K)
+    return metrics.average_precision(search.search(base, q, K), found, K).select("query_id", F.round("ap", 12).alias("ap"))
+
+
+@registered("map_at_k", f"{BQ_PAIRS}, {RANKED}, {EXACT}, {HITS}, {AP} SELECT round(avg(ap), 12) map FROM ap")
+def map_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, q, found = _bq(spark, sf_dir, K)
+    return metrics.mean_average_precision(search.search(base, q, K), found, K).select(F.round("map", 12).alias("map"))
+
+
+def _sql_overquery(factor: int) -> str:
+    return f"SELECT {factor} overquery, count(t.vec_id) / ({K} * {QUERIES})::DOUBLE recall FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {SQL_COS} DESC, vec_id) rank FROM c WHERE approx_rank <= {K * factor} QUALIFY rank <= {K}) y LEFT JOIN t ON y.query_id = t.query_id AND y.vec_id = t.vec_id"
+
+
+@registered("overquery_curve", f"{BQ_PAIRS}, {EXACT}, {sql_bq_top(100)} " + " UNION ALL ".join(map(_sql_overquery, (1, 2, 5, 10))))
+def overquery_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, q, near = _bq(spark, sf_dir, 10 * K)
+    truth, out = search.search(base, q, K), None
+    for factor in (1, 2, 5, 10):
+        found = search.rerank(near.filter(F.col("rank") <= options.rerank_k(K, factor)), base, q, K)
+        row = metrics.recall(truth, found, K, K).select(F.lit(factor).alias("overquery"), "recall")
+        out = row if out is None else out.union(row)
+    return out
+
+
+# product quantisation with the parts of the first vectors as codebook
+
+M, C = 8, 16
+
+
+def fixed_codec(base: DataFrame) -> quantize.ProductQuantizer:
+    rows = base.filter(F.col("vec_id") < C).orderBy("vec_id").collect()
+    return quantize.ProductQuantizer.from_vectors(np.array([r.embedding for r in rows], dtype=np.float64), M)
+
+
+BOOK = f"{E_}, m AS (SELECT unnest(range({M}))::INT m), book AS (SELECT m, vec_id::INT c, v[m * 8 + 1 : m * 8 + 8] w FROM e, m WHERE vec_id < {C})"
+SQ = "list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+CODES = f"{BOOK}, d AS (SELECT vec_id, m, c, w, {SQ.format(a='v[m * 8 + 1 : m * 8 + 8]', b='w')} away FROM e JOIN book ON true), codes AS (SELECT vec_id, m, c, w, away FROM d QUALIFY row_number() OVER (PARTITION BY vec_id, m ORDER BY away, c) = 1)"
+
+
+@registered("pq_codebook", f"WITH {BOOK} SELECT m, c, w[1] first_value, list_dot_product(w, w) magnitude FROM book")
+def pq_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantize.codebook_rows(importable(spark), fixed_codec(table(spark, sf_dir)))
+    return rows.select("m", "c", F.get("centroid", F.lit(0)).alias("first_value"), V.norm2(F.col("centroid")).alias("magnitude"))
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, quantize.ProductQuantizer, DataFrame]:
+    base = table(spark, sf_dir)
+    codec = fixed_codec(base)
+    return base, codec, quantize.pq_encode(base, codec)
+
+
+@registered("pq_encode", f"WITH {CODES} SELECT vec_id, m, c code FROM codes")
+def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes(spark, sf_dir)[2].select("vec_id", F.posexplode("codes").alias("m", "code"))
+
+
+@registered("pq_recon_error", f"WITH {CODES} SELECT vec_id, round(sum(away) / 64, 12) error FROM codes GROUP BY vec_id")
+def pq_recon_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, codec, codes = _codes(spark, sf_dir)
+    joined = quantize.pq_decode(codes, codec).join(base, "vec_id")
+    return joined.select("vec_id", F.round(V.square_l2(F.col("embedding"), F.col("decoded")) / DIM, 12).alias("error"))
+
+
+@registered("pq_partial_sums", f"WITH {BOOK} SELECT q.vec_id query_id, m, c, list_dot_product(q.v[m * 8 + 1 : m * 8 + 8], w) dot, {SQ.format(a='q.v[m * 8 + 1 : m * 8 + 8]', b='w')} square_l2 FROM e q JOIN book ON true WHERE q.vec_id < 5")
+def pq_partial_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    codec, q = fixed_codec(base), asked(base, 5)
+    tables = [quantize.query_tables(q, codec, m).select("query_id", F.posexplode("sums").alias("at", name)) for m, name in (("dot", "dot"), ("l2", "square_l2"))]
+    return tables[0].join(tables[1], ["query_id", "at"]).select("query_id", F.floor(F.col("at") / C).cast("int").alias("m"), (F.col("at") % C).alias("c"), "dot", "square_l2")
+
+
+def sql_adc(metric: str) -> str:
+    part = "q.v[codes.m * 8 + 1 : codes.m * 8 + 8]"
+    total = f"list_sum(list({SQ.format(a=part, b='w') if metric == 'l2' else f'list_dot_product({part}, w)'} ORDER BY codes.m))"
+    length = "list_sum(list(list_dot_product(w, w) ORDER BY codes.m))"
+    value = {"l2": f"1 / (1 + {total})", "dot": f"(1 + {total}) / 2", "cosine": f"(1 + {total} / sqrt({length} * any_value(list_dot_product(q.v, q.v)))) / 2"}[metric]
+    return f"WITH {CODES}, p AS (SELECT q.vec_id query_id, codes.vec_id vec_id, {value} score FROM e q JOIN codes ON q.vec_id <> codes.vec_id WHERE q.vec_id < {QUERIES} GROUP BY 1, 2), {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE rank <= {K}"
+
+
+def _adc(metric: str) -> None:
+    @registered(f"pq_adc_{metric}", sql_adc(metric))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base, codec, codes = _codes(spark, sf_dir)
+        return quantize.pq_search(codes, asked(base), codec, K, metric)
+
+
+for _metric in V.METRICS:
+    _adc(_metric)
+
+
+@registered(
+    "pq_rerank",
+    f"{sql_adc('cosine').split(' SELECT query_id, rank::INT rank')[0]}, c AS (SELECT r.query_id, r.vec_id, r.score approx_score, q.v q, b.v b FROM r JOIN e q ON q.vec_id = query_id JOIN e b ON b.vec_id = r.vec_id WHERE rank <= 50), {RERANKED} SELECT query_id, rank::INT rank, vec_id, score FROM y",
+)
+def pq_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, codec, codes = _codes(spark, sf_dir)
+    q = asked(base)
+    return search.two_pass(base, q, K, 50, lambda n: quantize.pq_search(codes, q, codec, n)).select("query_id", "rank", "vec_id", "score")
+
+
+@registered("pq_code_pairs", f"WITH {CODES} SELECT x.vec_id a, y.vec_id b, round(1 / (1 + sum({SQ.format(a='x.w', b='y.w')})), 12) score FROM codes x JOIN codes y ON x.m = y.m AND x.vec_id < y.vec_id WHERE x.vec_id < 40 AND y.vec_id < 40 GROUP BY 1, 2")
+def pq_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, codec, codes = _codes(spark, sf_dir)
+    few = codes.filter("vec_id < 40")
+    return quantize.pq_pair_scores(few, few, codec, "l2").select("a", "b", F.round("score", 12).alias("score"))
+
+
+@registered("codec_sizes", "SELECT 'binary' codec, 256::BIGINT vector_bytes, 8::BIGINT code_bytes, 0::BIGINT codec_bytes UNION ALL SELECT 'product', 256, 8, 4 * 64 * 16")
+def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fixed_codec(table(spark, sf_dir)).sizes()
+    return spark.createDataFrame([("binary", 4 * DIM, 8 * -(-DIM // 64), 0), ("product", s["vector"], s["code"], s["codec"])], "codec string, vector_bytes long, code_bytes long, codec_bytes long")
+
+
+@registered("pq_train_loss")
+def pq_train_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean error of trained codebooks by number of parts, plain, refined and anisotropic."""
+    points = quantize.sample(table(spark, sf_dir))
+    rows = []
+    for m in (4, 8, 16):
+        codec = quantize.ProductQuantizer.train(points, m, C)
+        rows += [("plain", m, float(codec.errors(points).mean())), ("refined", m, float(codec.refine(points).errors(points).mean()))]
+    codec = quantize.ProductQuantizer.train(points, 16, C, threshold=0.2)
+    rows.append(("anisotropic", 16, float(codec.errors(points).mean())))
+    return spark.createDataFrame(rows, "kind string, m int, error double")
+
+
+@registered("nvq_recon_error")
+def nvq_recon_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    return nvq.nvq_encode(base, nvq.NonUniformQuantizer.train(quantize.sample(base), 2)).select("vec_id", "error", "loss_ratio")
+
+
+@registered("nvq_rerank")
+def nvq_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary first pass, second pass over vectors decoded from non-uniform codes."""
+    base, q, _ = _bq(spark, sf_dir, K)
+    codec = nvq.NonUniformQuantizer.train(quantize.sample(base), 2)
+    decoded = nvq.nvq_decode(nvq.nvq_encode(base, codec), codec)
+    return search.two_pass(decoded, q, K, 50, lambda n: _bq(spark, sf_dir, n)[2]).select("query_id", "rank", "vec_id", "score")
+
+
+# segments
+
+NUMBERED = "n AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 ord, count(*) OVER () total FROM embeddings WHERE {where})"
+
+
+def _sql_sizes() -> str:
+    parts = []
+    for name in segments.STRATEGIES:
+        weights = segments.STRATEGIES[name](4)
+        ends = []
+        done = "0"
+        for w in weights[:-1]:
+            done = f"{done} + floor(total * {w!r}::DOUBLE / {sum(weights)!r}::DOUBLE)"
+            ends.append(done)
+        case = "CASE " + " ".join(f"WHEN ord < {e} THEN {i}" for i, e in enumerate(ends)) + " ELSE 3 END"
+        parts.append(f"SELECT '{name}' strategy, {case} segment, count(*) n, min(vec_id) first_id FROM n GROUP BY 2")
+    return f"WITH {NUMBERED.format(where='true')} " + " UNION ALL ".join(parts)
+
+
+@registered("partition_sizes", _sql_sizes())
+def partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, out = table(spark, sf_dir).select("vec_id"), None
+    for name in segments.STRATEGIES:
+        row = segments.partitioned(base, 4, name).groupBy("segment").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id")).select(F.lit(name).alias("strategy"), "segment", "n", "first_id")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@registered("renumber", f"WITH {NUMBERED.format(where='vec_id % 3 <> 1')} SELECT vec_id, ord FROM n")
+def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.numbered(table(spark, sf_dir).select("vec_id").filter("vec_id % 3 <> 1")).select("vec_id", "ord")
+
+
+@registered(
+    "compact_remap",
+    "WITH s AS (SELECT CASE WHEN label < 3 THEN 0 WHEN label < 7 THEN 1 ELSE 2 END source, vec_id old_id FROM embeddings WHERE vec_id % 11 <> 0) SELECT source, old_id, row_number() OVER (ORDER BY source, old_id) - 1 vec_id FROM s",
+)
+def compact_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir).select("vec_id", "label")
+    sources = [base.filter("label < 3"), base.filter("label between 3 and 6"), base.filter("label > 6")]
+    return segments.compact(sources, base.filter("vec_id % 11 = 0").select("vec_id")).select("source", "old_id", "vec_id")
+
+
+@registered("compact_knn", sql_knn("cosine", where="b.vec_id % 11 <> 0"))
+def compact_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search over a compacted base, results under the old ids."""
+    base = table(spark, sf_dir)
+    merged = segments.compact([base.filter("label < 5"), base.filter("label >= 5")], base.filter("vec_id % 11 = 0").select("vec_id"))
+    return search.search(merged.select(F.col("old_id").alias("vec_id"), "embedding"), asked(base), K)
+
+
+def _ring(base: DataFrame) -> DataFrame:
+    """A graph whose node i points to i+1, i+2 and i+5, around the end."""
+    n = F.lit(base.count())
+    return base.select(F.lit(0).alias("segment"), F.lit(0).alias("level"), F.col("vec_id").alias("node"), F.array(*((F.col("vec_id") + d) % n for d in (1, 2, 5))).alias("neighbors"), (F.col("vec_id") == 0).alias("entry"))
+
+
+@registered(
+    "graph_remap",
+    "WITH t AS (SELECT count(*) n FROM embeddings), g AS (SELECT vec_id node, unnest([1, 2, 5]) d FROM embeddings), x AS (SELECT node, (node + d) % n nb FROM g, t), k AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 new_id FROM embeddings WHERE vec_id % 4 <> 0) SELECT a.new_id node, count(b.new_id) degree, coalesce(sum(b.new_id), 0)::BIGINT neighbor_sum FROM x JOIN k a ON a.vec_id = node LEFT JOIN k b ON b.vec_id = nb GROUP BY 1",
+)
+def graph_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir).select("vec_id")
+    mapping = segments.numbered(base.filter("vec_id % 4 <> 0")).select(F.col("vec_id").alias("old_id"), F.col("ord").alias("new_id"))
+    out = segments.remapped(_ring(base).select("node", "neighbors"), mapping)
+    return out.select("node", F.size("neighbors").cast("long").alias("degree"), F.aggregate("neighbors", F.lit(0).cast("long"), lambda s, x: s + x).alias("neighbor_sum"))
+
+
+@registered("graph_degree_stats", "SELECT 0 level, count(*) nodes, (count(*) * 3)::BIGINT edges, 3.0::DOUBLE average_degree, 3::BIGINT max_degree FROM embeddings")
+def graph_degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.stats(_ring(table(spark, sf_dir)))
+
+
+@registered("graph_rescore", f"WITH {E_}, t AS (SELECT count(*) n FROM e), g AS (SELECT vec_id node, unnest([1, 2, 5]) d FROM e), x AS (SELECT node, (node + d) % n nb FROM g, t) SELECT q.vec_id node, b.vec_id neighbor, {SQL_SCORE['l2']} score FROM x JOIN e q ON q.vec_id = node JOIN e b ON b.vec_id = nb")
+def graph_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir)
+    out = graph.rescored(_ring(base), base, "l2")
+    return out.select("node", F.explode(F.arrays_zip("neighbors", "scores")).alias("x")).select("node", F.col("x.neighbors").alias("neighbor"), F.col("x.scores").alias("score"))
+
+
+GRAPH_OPTIONS = options.BuildOptions(degree=16, beam=64)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base = graph.with_segment(table(spark, sf_dir), 2)
+    return base, graph.build(base, "cosine", GRAPH_OPTIONS)
+
+
+@registered("graph_recall", f"SELECT {QUERIES}::BIGINT queries, true good")
+def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether graph search finds at least 95 of 100 true neighbours."""
+    base, edges = _graph(spark, sf_dir)
+    q = asked(base)
+    found = search.ranked(graph.graph_search(edges, base, q, K, rerank_k=4 * K, options=GRAPH_OPTIONS), K)
+    return metrics.recall(search.search(base, q, K), found, K, K).select(F.lit(QUERIES).cast("long").alias("queries"), (F.col("recall") >= 0.95).alias("good"))
+
+
+@registered("graph_filtered_recall", f"SELECT {QUERIES}::BIGINT queries, true good")
+def graph_filtered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, edges = _graph(spark, sf_dir)
+    q = asked(base)
+    found = search.ranked(graph.graph_search(edges, base, q, K, rerank_k=4 * K, accept=F.col("label") < 5, options=GRAPH_OPTIONS), K)
+    return metrics.recall(search.search(base, q, K, accept=F.col("label") < 5), found, K, K).select(F.lit(QUERIES).cast("long").alias("queries"), (F.col("recall") >= 0.95).alias("good"))
+
+
+@registered("graph_delete_repair", "SELECT 0::BIGINT dangling, count(*) nodes FROM embeddings WHERE vec_id % 10 <> 3")
+def graph_delete_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After repair: edges to deleted nodes, and nodes of the base layer."""
+    base, edges = _graph(spark, sf_dir)
+    fixed = graph.repair(edges, base.filter("vec_id % 10 = 3"), base, options=GRAPH_OPTIONS)
+    return fixed.agg(F.sum(F.size(F.filter("neighbors", lambda x: x % 10 == 3))).cast("long").alias("dangling"), F.count_if(F.col("level") == 0).alias("nodes"))
+
+
+@registered("graph_counters")
+def graph_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average nodes visited and expanded by a search of both segments."""
+    base, edges = _graph(spark, sf_dir)
+    found = graph.graph_search(edges, base, asked(base), K, options=GRAPH_OPTIONS)
+    return found.groupBy("query_id").agg(F.max("visited").alias("visited"), F.max("expanded").alias("expanded"), F.max("expanded_base").alias("expanded_base"))
+
+
+@registered("fused_codes", "SELECT count(*) nodes, (count(*) * 3)::BIGINT codes FROM embeddings")
+def fused_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph whose rows carry their neighbours' codes."""
+    base, _, codes = _codes(spark, sf_dir)
+    rows = graph.with_codes(_ring(base), codes)
+    return rows.agg(F.count("*").alias("nodes"), F.sum(F.size("neighbor_codes")).cast("long").alias("codes"))
+
+
+# datasets, sets of ids, run statistics
+
+
+@registered("scrub_dataset", "WITH x AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 100000, embedding FROM embeddings WHERE vec_id % 9 = 0 UNION ALL SELECT vec_id + 200000, list_transform(embedding, lambda z: (z * 0)::FLOAT) FROM embeddings WHERE vec_id < 3) SELECT min(vec_id) vec_id FROM x WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 1e-10 GROUP BY embedding")
+def scrub_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir).select("vec_id", "embedding")
+    again = base.filter("vec_id % 9 = 0").withColumn("vec_id", F.col("vec_id") + 100000)
+    zero = base.filter("vec_id < 3").select((F.col("vec_id") + 200000).alias("vec_id"), F.transform("embedding", lambda x: (x * 0).cast("float")).alias("embedding"))
+    return datasets.scrub_base(base.union(again).union(zero), "cosine").select("vec_id")
+
+
+@registered("id_sets", "WITH a AS (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id FROM embeddings WHERE label < 5) SELECT 'intersection' op, count(*) n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'inverse', count(*) FROM embeddings WHERE vec_id % 2 <> 0")
+def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir).select("vec_id", "label")
+    a, b = F.col("vec_id") % 2 == 0, F.col("label") < 5
+    count = lambda name, condition: base.agg(F.count_if(condition).alias("n")).select(F.lit(name).alias("op"), "n")
+    return count("intersection", a & b).union(count("union", a | b)).union(count("inverse", ~a))
+
+
+@registered("latency_stats", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) i, count(*) OVER (PARTITION BY event_type) n FROM events) SELECT event_type, round(avg(value), 6) mean, round(stddev_pop(value), 6) std, max(CASE WHEN i = ceil(0.999 * n) THEN value END) p999 FROM r GROUP BY event_type")
+def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.latency(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "p999")
+
+
+@registered("run_summary", "SELECT event_type, count(*) runs, round(avg(value), 6) avg_value, round(stddev_pop(value), 6) std_value FROM events GROUP BY event_type")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.summary(table(spark, sf_dir, "events"), ["event_type"], ["value"]).select("event_type", "runs", F.round("avg_value", 6).alias("avg_value"), F.round("std_value", 6).alias("std_value"))
+
+
+@registered("parameter_grid", "SELECT d::INT degree, b::INT beam, o::INT overquery FROM unnest([16, 32]) a(d), unnest([64, 100]) c(b), unnest([1, 2, 5]) e(o)")
+def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = options.grid(degree=[16, 32], beam=[64, 100], overquery=[1, 2, 5])
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "degree int, beam int, overquery int")
