@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, lanes: int = 1, radius: int
 
 def digests(found: DataFrame) -> DataFrame:
     """Fingerprints of one lane in hexadecimal digits, highest first."""
-    return found.select("doc_id", F.lower(F.hex(F.reverse(F.col("fp")))).alias("fingerprint"), "component_id")
+    digits = F.lower(F.hex("fp"))
+    return found.select("doc_id", F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(8)))).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, lanes: int = 3, radius: int = 34, groups: int = 12, reach: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
