@@ -180,9 +180,9 @@ def knn_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(base, asked(base), K, skip=K)
 
 
-@registered("near_pairs", f"{sql_pairs('cosine', 2**31)} SELECT query_id a, vec_id b, score FROM p WHERE query_id < vec_id AND score >= 0.75")
+@registered("near_pairs", f"{sql_pairs('cosine', 2**31)} SELECT query_id a, vec_id b, score FROM p WHERE query_id < vec_id AND score >= 0.7")
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.similar_pairs(table(spark, sf_dir), 0.75)
+    return search.similar_pairs(table(spark, sf_dir), 0.7)
 
 
 @registered("knn_all", sql_knn("cosine", 1, n=2**31))

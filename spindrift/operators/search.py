@@ -157,10 +157,10 @@ def similar_pairs(vectors: DataFrame, threshold: float, metric: str = "cosine",
 
 def merge(parts: list[DataFrame], k: int) -> DataFrame:
     """The k best of the results of several segments."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out.select("query_id", "vec_id", "score"), k)
+    out = None
+    for p in (p.select("query_id", "vec_id", "score") for p in parts):
+        out = p if out is None else out.union(p)
+    return ranked(out, k)
 
 
 def rerank(approximate: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", floor: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
