@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD, MIN_CHARS, NEAR_CHARS = 2, 10, 40
-LETTERS = "etaoinsrhldu"
+LETTERS = "etaoinsr"
 #: Removals up to this number go to every task; more are joined by document.
 SMALL = 500_000
 
@@ -28,39 +28,30 @@ def let(value: Column, then) -> Column:
 
 
 def segments(length: Column, k: int) -> list[tuple[Column, Column]]:
-    """First position (from 1) and size of each of k + 1 even segments; the last ones take the remainder."""
+    """First position (from 0) and size of each of k + 1 even segments; the last ones take the remainder."""
     base, extra = F.floor(length / (k + 1)).cast("int"), (length % (k + 1)).cast("int")
-    out, start = [], F.lit(1)
-    for i in range(k + 1):
-        size = base + (F.lit(i) >= k + 1 - extra).cast("int")
-        out.append((start, size))
-        start = start + size
-    return out
-
-
-def key(length: Column, i: int, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start, size))
+    return [(base * i + F.greatest(F.lit(0), extra - (k + 1 - i)), base + (F.lit(i) >= k + 1 - extra).cast("int")) for i in range(k + 1)]
 
 
-def index_keys(line: Column, length: Column, k: int) -> Column:
-    return F.array(*(key(length, i, line, start, size) for i, (start, size) in enumerate(segments(length, k))))
+def keys(wide: Column, length: Column, k: int) -> tuple[list[Column], list[Column]]:
+    """Keys under which a line is indexed, which it also probes; and those that it probes besides.
 
-
-def probe_keys(line: Column, length: Column, k: int) -> Column:
-    """Keys under which lines of at most this length, and at most k less, can be met."""
-    out = []
+    wide: the line in four bytes a character, of which any part is at hand without
+    walking to it.  Lines must be long enough for segments of more than k.
+    """
+    own, other = [], []
     for less in range(k + 1):
         shorter = length - less
         for i, (start, size) in enumerate(segments(shorter, k)):
             # edits before the segment are at most i, those after it at most k - i
             for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1):
-                at = start + shift
-                out.append(F.when((at >= 1) & (at + size - 1 <= length), key(shorter, i, line, at, size)))
-    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
+                key = F.xxhash64(shorter, F.lit(i), F.substring(wide, 4 * (start + shift) + 1, 4 * size))
+                (own if not less and not shift else other).append(key)
+    return own, other
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of twelve letters modulo 32, in five bits each."""
+    """Counts of the letters modulo 32, in five bits each."""
     whole, out = F.octet_length(line), F.lit(0).cast("bigint")
     for n, letter in enumerate(LETTERS):
         out = out.bitwiseOR(F.shiftleft(((whole - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 32).cast("bigint"), 5 * n))
@@ -96,6 +87,10 @@ def edits(a: Column, b: Column, k: int) -> Column:
         lean = (m - n).cast("int")
 
         def step(s: Column, j: Column) -> Column:
+            # the diagonal never gets better: beyond k there is nothing left to find out
+            return F.when(s["d"] > k, s).otherwise(moved(s, j))
+
+        def moved(s: Column, j: Column) -> Column:
             def found(matches: Column) -> Column:
                 def then(d0: Column) -> Column:
                     def shifted(t: Column) -> Column:
@@ -133,6 +128,16 @@ def edits(a: Column, b: Column, k: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > k, k + 1).when((F.length(b) == 0) | (F.length(a) == 0), F.greatest(F.length(a), F.length(b))).otherwise(let(p, of))
 
 
+def shared_start(a: Column, b: Column, steps: int = 16) -> Column:
+    """Number of characters that two texts begin with alike, up to 2 ** steps, by bisection."""
+    def longer(n: Column, step: Column) -> Column:
+        at = n + step
+        fits = (at <= F.length(a)) & (at <= F.length(b))
+        return F.when(fits & (F.substring(a, F.lit(1), at) == F.substring(b, F.lit(1), at)), at).otherwise(n)
+
+    return F.aggregate(F.array(*(F.lit(2**i) for i in reversed(range(steps)))), F.lit(0), longer)
+
+
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc and copy tell documents apart; rows that agree in both are the same document."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -144,19 +149,25 @@ def near_lines(rows: DataFrame, k: int, least: int) -> DataFrame:
 
     A line is earlier if its first document is; within one document the hash decides.
     """
-    each = rows.select("doc", F.explode(F.transform("lines", lambda x: F.btrim(x))).alias("line")).filter(F.length("line") >= least)
-    distinct = each.groupBy("line").agg(F.min("doc").alias("first")).withColumn("h", F.xxhash64("line"))
-    length = F.length("line")
-    tagged = distinct.select("h", letter_counts(F.col("line")).alias("counts"), index_keys(F.col("line"), length, k).alias("index"), probe_keys(F.col("line"), length, k).alias("probe"))
-    index = tagged.select(F.explode("index").alias("key"), F.col("h").alias("a"), F.col("counts").alias("a_counts"))
-    probe = tagged.select(F.explode("probe").alias("key"), F.col("h").alias("b"), F.col("counts").alias("b_counts"))
-    met = index.join(probe, (index.key == probe.key) & (F.col("a") != F.col("b")) & (count_distance(F.col("a_counts"), F.col("b_counts")) <= 2 * k))
+    each = rows.select("doc", F.explode(F.transform("lines", lambda x: F.btrim(x))).alias("line")).filter(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
+    wide = each.select("line", "h", F.encode("line", "UTF-32").alias("wide")).withColumn("n", (F.octet_length("wide") / 4).cast("int"))
+    own, other = keys(F.col("wide"), F.col("n"), k)
+    names = [f"k{i}" for i in range(len(own) + len(other))]
+    # equal lines meet here, before anything is multiplied: numbers alone, and no text, are dealt out
+    tagged = wide.select("h", letter_counts(F.col("line")).alias("counts"), *(c.alias(n) for c, n in zip(own + other, names))).distinct()
+    index = tagged.select("h", "counts", F.explode(F.array(*names[: len(own)])).alias("key")).toDF("a", "a_counts", "key")
+    probe = tagged.select("h", "counts", F.explode(F.array(*names)).alias("probe_key")).toDF("b", "b_counts", "probe_key")
+    met = index.join(probe, (F.col("key") == F.col("probe_key")) & (F.col("a") != F.col("b")) & (count_distance(F.col("a_counts"), F.col("b_counts")) <= 2 * k))
     pairs = common.staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = common.staged(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
+    if wanted.count() <= SMALL:  # some MB at most; the lines are then found where they are
+        wanted = F.broadcast(wanted)
+    distinct = common.staged(each.join(wanted, "h", "left_semi").groupBy("h", "line").agg(F.min("doc").alias("first")), "lines")
     side = lambda x: distinct.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line"), F.col("first").alias(f"{x}_first"))
-    wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = common.staged(distinct.join(wanted, distinct.h == wanted.a, "left_semi"), "lines")
-    distinct = texts
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(edits(F.col("a_line"), F.col("b_line"), k) <= k)
+    # no edit is needed where two lines begin alike
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", shared_start(F.col("a_line"), F.col("b_line")))
+    rest = lambda x: F.substring(F.col(x), F.col("same") + 1, F.length(x))
+    near = common.staged(met.select("*", rest("a_line").alias("a_rest"), rest("b_line").alias("b_rest")), "met").filter(edits(F.col("a_rest"), F.col("b_rest"), k) <= k)
     later = (F.col("a_first") > F.col("b_first")) | ((F.col("a_first") == F.col("b_first")) & (F.col("a") > F.col("b")))
     ends = near.select(F.explode(F.array(F.struct(F.col("a_line").alias("line"), later.alias("gone")), F.struct(F.col("b_line").alias("line"), (~later).alias("gone")))).alias("x")).select("x.*")
     return common.staged(ends.groupBy("line").agg(F.count("*").alias("n_links"), F.max("gone").alias("gone")).select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "n_links", "gone"), "near")
@@ -174,6 +185,8 @@ def marks(rows: DataFrame, k: int, least: int, near_least: int) -> DataFrame:
 
 
 def _deduped(docs: DataFrame, k: int, least: int, near_least: int, id_col: str, text_col: str) -> DataFrame:
+    if not 0 <= k <= 15 or near_least < (k + 1) * (k + 1) + k:
+        raise ValueError("the threshold must be 0 to 15, and near_chars enough for segments of more than that")
     found = common.staged(marks(prepared(docs, id_col, text_col), k, least, near_least), "marks")
     if (found.agg(F.sum(F.size("gone") + 1)).first()[0] or 0) <= SMALL:  # some MB at most
         found = F.broadcast(found)
@@ -201,8 +214,6 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
     Rows that agree in id and text are one document and get the same result; a
     null id comes after all others; a null text counts as empty.
     """
-    if not 0 <= threshold <= 15 or near_chars <= threshold:
-        raise ValueError("the threshold must be 0 to 15 and less than near_chars")
     rows = _deduped(docs, threshold, min_chars, near_chars, id_col, text_col)
     n_lines = F.size(F.filter("lines", lambda x: F.length(F.btrim(x)) > 0))
     return rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("kept").alias("text"))
