@@ -37,6 +37,8 @@ VOWELS = {"latin": "a e i o u".split(), "cyrillic": "а е и о у".split()}
 _every = lambda groups: "|".join(w for g in groups for w in g)
 _TITLE = f"(?:{_every(TITLES.values())})"
 _GIVEN = f"(?:{_every(n for s in NAMES.values() for n in s.values())})"
+#: First letters of all titles and given names: a quick look before anything else.
+_FIRST = "".join(sorted({w[0] for g in (*TITLES.values(), *(n for s in NAMES.values() for n in s.values())) for w in g}))
 _SURNAME = r"\p{Lu}\p{Ll}{1,30}+(?:[-'’]\p{Lu}\p{Ll}{1,30}+)?"
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Pattern of each type, in the order in which they are tried at a place.
@@ -48,9 +50,11 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,19})(?!\d)",
     "iban": r"(?<![0-9A-Z])[A-Z]{2}\d{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLE}\.? (?:{_GIVEN} )?{_SURNAME}|{_GIVEN} {_SURNAME})(?!\p{{L}})",
+    "person": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE}\.? (?:{_GIVEN} )?{_SURNAME}|{_GIVEN} {_SURNAME})(?!\p{{L}})",
 }
 PATTERN = "|".join(PATTERNS.values())
+#: Every entity but a person holds a digit or one of these; other texts, most of them, need the one pattern alone.
+MARKS = r"[0-9@]|AKIA|gh[opsu]_|[A-Fa-f]{32}"
 
 
 def kind(value: Column) -> Column:
@@ -211,9 +215,14 @@ def surrogate(value: Column, of: Column, key: str, attempt: Column) -> Column:
     )
 
 
+def marked(text: Column) -> Column:
+    """Whether a text can hold anything but persons."""
+    return text.rlike(MARKS)
+
+
 def found(text: Column) -> Column:
     """The entities of a text in order, as (value, kind, canonical)."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    matches = F.when(marked(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(PATTERNS["person"]), F.lit(0)))
     typed = F.transform(matches, lambda m: F.struct(m.alias("value"), kind(m).alias("kind")))
     return F.transform(typed, lambda x: F.struct(x["value"].alias("value"), x["kind"].alias("kind"), canonical(x["value"], x["kind"]).alias("canonical")))
 
@@ -227,7 +236,9 @@ def collisions(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     """
     drawn = entities.withColumn("attempt", F.lit(0))
     for _ in range(rounds):
-        named = common.staged(drawn.withColumn("surrogate", canonical(surrogate(F.col("canonical"), F.col("kind"), key, F.col("attempt")), F.col("kind"))), "surrogates")
+        # within a function of one row, the long expression is not compiled, which would take much memory
+        fresh = let(F.struct("canonical", "kind", "attempt"), lambda x: canonical(surrogate(x["canonical"], x["kind"], key, x["attempt"]), x["kind"]))
+        named = common.staged(drawn.withColumn("surrogate", fresh), "surrogates")
         first = named.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("keeps"), F.count("*").alias("n")).filter("n > 1").drop("n")
         real = entities.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
         again = named.join(first, ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
@@ -261,7 +272,7 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
         attempt = lambda x: F.coalesce(F.try_element_at(F.col("attempts"), F.concat_ws("|", x["kind"], x["canonical"])), F.lit(0))
     else:
         attempt = lambda x: F.lit(0)
-    rows = rows.withColumn("found", found(F.col("text"))).withColumn("between", F.when(F.size("found") > 0, F.split("text", PATTERN, -1)))
+    rows = rows.withColumn("found", found(F.col("text"))).withColumn("between", F.when(F.size("found") > 0, F.when(marked(F.col("text")), F.split("text", PATTERN, -1)).otherwise(F.split("text", PATTERNS["person"], -1))))
     fresh = F.transform("found", lambda x, i: F.concat(F.get("between", i), surrogate(x["value"], x["kind"], key, attempt(x))))
     text = F.when(F.size("found") > 0, F.concat(F.array_join(fresh, ""), F.element_at("between", -1))).otherwise(F.col("text"))
     return rows.select("doc_id", text.alias("text"), F.size("found").cast("long").alias("n_entities"))
