@@ -65,5 +65,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_edit_join, op2_byte_bpe, op3_site_style_tree, op4_naive_bayes_svm, op5_relative_lempel_ziv, op6_qgram_decontamination, op7_surrogates, op8_bit_packing, op9_tokeniser_fertility, op10_simhash_vantage_points)}
 
 
+#: Windows of 50 words, the least id that each starts in, and the words that a window of an earlier document covers.
+SQL_OP5 = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) i FROM w),
+k AS (SELECT doc_id, i, ws[i] word, CASE WHEN i + 49 <= len(ws) THEN array_to_string(ws[i:i + 49], ' ') END k FROM p),
+f AS (SELECT k, min(doc_id) first FROM k WHERE k IS NOT NULL GROUP BY k),
+d AS (SELECT k.doc_id, i, word, coalesce(f.first < k.doc_id, false) dup FROM k LEFT JOIN f ON k.k = f.k),
+c AS (SELECT doc_id, i, word, bool_or(dup) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) gone FROM d),
+g AS (SELECT doc_id, count(*) n, count(*) FILTER (WHERE gone) r, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') kept FROM c GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) n_words, coalesce(r, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM documents LEFT JOIN g ON documents.doc_id = g.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; tests compare the other operators with brute force."""
+    return {"op5_relative_lempel_ziv": SQL_OP5}
