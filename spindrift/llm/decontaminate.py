@@ -169,16 +169,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, region: int = REGIO
     return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
 
 
-_items: dict[tuple, Items] = {}
+_last: tuple[list, tuple, Items] | None = None
 
 
 def _prepared(shared, q: int, region: int, errors: float) -> Items:
-    """The index of a block, made once in each worker."""
-    key = (id(shared.value), q, region, errors)
-    if key not in _items:
-        _items.clear()
-        _items[key] = Items(shared.value, q, region, errors)
-    return _items[key]
+    """The index of a block, made once in each worker; holding the block keeps its identity its own."""
+    global _last
+    block, options = shared.value, (q, region, errors)
+    if _last is None or _last[0] is not block or _last[1] != options:
+        _last = block, options, Items(block, q, region, errors)
+    return _last[2]
 
 
 def _search(shared, q: int, region: int, errors: float):
