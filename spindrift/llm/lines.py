@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD, MIN_CHARS, NEAR_CHARS = 2, 10, 40
-LETTERS = "etaoinsr"
-#: Removals up to this number go to every task; more are joined by document.
+LETTERS = "etaoinsrhldcumpgbfyvw"
+#: Hashes of candidate lines up to this number go to every task; more are joined.
 SMALL = 500_000
 
 
@@ -51,10 +51,10 @@ def keys(wide: Column, length: Column, k: int) -> tuple[list[Column], list[Colum
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of the letters modulo 32, in five bits each."""
+    """Counts of the letters modulo 8, in three bits each."""
     whole, out = F.octet_length(line), F.lit(0).cast("bigint")
     for n, letter in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft(((whole - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 32).cast("bigint"), 5 * n))
+        out = out.bitwiseOR(F.shiftleft(((whole - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 8).cast("bigint"), 3 * n))
     return out
 
 
@@ -62,8 +62,8 @@ def count_distance(a: Column, b: Column) -> Column:
     """A lower bound of the sum of differences of the letter counts."""
     total = F.lit(0)
     for n in range(len(LETTERS)):
-        d = (F.shiftright(a, 5 * n).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * n).bitwiseAND(F.lit(31))).bitwiseAND(F.lit(31))
-        total = total + F.least(d, 32 - d)
+        d = (F.shiftright(a, 3 * n).bitwiseAND(F.lit(7)) - F.shiftright(b, 3 * n).bitwiseAND(F.lit(7))).bitwiseAND(F.lit(7))
+        total = total + F.least(d, 8 - d)
     return total
 
 
@@ -188,11 +188,10 @@ def _deduped(docs: DataFrame, k: int, least: int, near_least: int, id_col: str,
     if not 0 <= k <= 15 or near_least < (k + 1) * (k + 1) + k:
         raise ValueError("the threshold must be 0 to 15, and near_chars enough for segments of more than that")
     found = common.staged(marks(prepared(docs, id_col, text_col), k, least, near_least), "marks")
-    if (found.agg(F.sum(F.size("gone") + 1)).first()[0] or 0) <= SMALL:  # some MB at most
-        found = F.broadcast(found)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.id_order(F.col(f"`{id_col}`").cast("long")).alias("doc"), F.xxhash64(text).alias("copy"), F.split(text, "\n").alias("lines"))
-    rows = rows.join(found, ["doc", "copy"], "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.id_order(F.col(f"`{id_col}`").cast("long")).alias("doc"), F.xxhash64(text).alias("copy"))
+    # a text goes through this join once, and is cut into lines after it
+    rows = rows.join(found, ["doc", "copy"], "left").withColumn("lines", F.split(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), "\n"))
     # later copies of a line within its document: neighbours after sorting by hash and place
     own = F.array_sort(F.transform("lines", lambda x, i: F.struct(F.xxhash64(F.btrim(x)).alias("h"), F.xxhash64(F.lit(1), F.btrim(x)).alias("h2"), i.alias("i"), (F.length(F.btrim(x)) >= least).alias("long"))))
     rows = rows.withColumn("own", own)
@@ -214,7 +213,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
     Rows that agree in id and text are one document and get the same result; a
     null id comes after all others; a null text counts as empty.
     """
-    rows = _deduped(docs, threshold, min_chars, near_chars, id_col, text_col)
+    rows = _deduped(docs.select(f"`{id_col}`", f"`{text_col}`"), threshold, min_chars, near_chars, id_col, text_col)
     n_lines = F.size(F.filter("lines", lambda x: F.length(F.btrim(x)) > 0))
     return rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("kept").alias("text"))
 
