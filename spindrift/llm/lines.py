@@ -180,6 +180,7 @@ def marks(rows: DataFrame, k: int, least: int, near_least: int) -> DataFrame:
     at = at.select("doc", "copy", "place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
     known = at.groupBy("h", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "h2", "first", F.lit(0).cast("bigint").alias("n_links"), F.lit(False).alias("gone"))
     lines = known.union(near.select("h", "h2", F.lit(common.NO_ID).alias("first"), "n_links", "gone")).groupBy("h", "h2").agg(F.min("first").alias("first"), F.max("n_links").alias("n_links"), F.max("gone").alias("gone"))
+    lines = common.staged(lines, "known-lines")  # a table of its own, so that the join can split a common line
     found = at.join(lines, ["h", "h2"]).filter("gone or first < doc or n_links > 0")
     return found.groupBy("doc", "copy").agg(F.collect_set(F.when(F.col("gone") | (F.col("first") < F.col("doc")), F.col("place"))).alias("gone"), F.sum("n_links").alias("n_links"))
 
