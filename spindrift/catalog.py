@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
@@ -14,7 +16,7 @@ from .plans import options
 from .session import importable
 from .sources import datasets
 
-DIM, QUERIES, K = 64, 20, 10
+DIM, QUERIES, K, EVERY = 64, 20, 10, 50
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -42,12 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str = "embeddings") -> DataFra
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whether the queries are all rows whose id EVERY divides, in place of the first few.
+_whole: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+def is_query(n: int = QUERIES) -> Column:
+    return F.col("vec_id") % EVERY == 0 if _whole.get() else F.col("vec_id") < n
+
+
 def asked(base: DataFrame, n: int = QUERIES) -> DataFrame:
-    return base.filter(F.col("vec_id") < n).select("vec_id", "embedding")
+    return base.filter(is_query(n)).select("vec_id", "embedding")
 
 
 def pairs(base: DataFrame, n: int) -> DataFrame:
-    """Every query with every other row; the queries are a fixed few."""
+    """Every query with every other row."""
     q = asked(base, n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return base.join(F.broadcast(q), F.col("query_id") != F.col("vec_id"))
 
@@ -218,13 +228,13 @@ def bq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bq(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = table(spark, sf_dir)
     codes = quantize.bq_encode(base, DIM)
-    return base, asked(base), quantize.bq_search(codes, codes.filter(F.col("vec_id") < QUERIES), DIM, k)
+    return base, asked(base), quantize.bq_search(codes, codes.filter(is_query()), DIM, k)
 
 
 @registered("bq_hamming", f"{BQ_PAIRS} SELECT query_id, vec_id, ((1 - score) * 64)::INT differing FROM p")
 def bq_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = quantize.bq_encode(table(spark, sf_dir), DIM)
-    q = codes.filter(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query_id"), F.col("words").alias("query"))
+    q = codes.filter(is_query()).select(F.col("vec_id").alias("query_id"), F.col("words").alias("query"))
     return codes.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", V.hamming(F.col("query"), F.col("words")).cast("int").alias("differing"))
 
 
@@ -509,7 +519,7 @@ def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, edges = _graph(spark, sf_dir)
     q = asked(base)
     found = search.ranked(graph.graph_search(edges, base, q, K, rerank_k=4 * K, options=GRAPH_OPTIONS), K)
-    return metrics.recall(search.search(base, q, K), found, K, K).select(F.lit(QUERIES).cast("long").alias("queries"), (F.col("recall") >= 0.95).alias("good"))
+    return metrics.recall(search.search(base, q, K), found, K, K).select(F.lit(q.count() if _whole.get() else QUERIES).cast("long").alias("queries"), (F.col("recall") >= 0.95).alias("good"))
 
 
 @registered("graph_filtered_recall", f"SELECT {QUERIES}::BIGINT queries, true good")
@@ -517,7 +527,7 @@ def graph_filtered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, edges = _graph(spark, sf_dir)
     q = asked(base)
     found = search.ranked(graph.graph_search(edges, base, q, K, rerank_k=4 * K, accept=F.col("label") < 5, options=GRAPH_OPTIONS), K)
-    return metrics.recall(search.search(base, q, K, accept=F.col("label") < 5), found, K, K).select(F.lit(QUERIES).cast("long").alias("queries"), (F.col("recall") >= 0.95).alias("good"))
+    return metrics.recall(search.search(base, q, K, accept=F.col("label") < 5), found, K, K).select(F.lit(q.count() if _whole.get() else QUERIES).cast("long").alias("queries"), (F.col("recall") >= 0.95).alias("good"))
 
 
 @registered("graph_delete_repair", "SELECT 0::BIGINT dangling, count(*) nodes FROM embeddings WHERE vec_id % 10 <> 3")
@@ -577,3 +587,67 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = options.grid(degree=[16, 32], beam=[64, 100], overquery=[1, 2, 5])
     return spark.createDataFrame([tuple(r.values()) for r in rows], "degree int, beam int, overquery int")
+
+
+# the searches again with every row whose id EVERY divides as a query, so that work and accuracy go with the table
+
+OF_ALL = f"(SELECT count(*) FROM embeddings WHERE vec_id % {EVERY} = 0)"
+
+
+def sql_whole(sql: str) -> str:
+    return re.sub(r"q\.vec_id < \d+", f"q.vec_id % {EVERY} = 0", sql).replace(f"({K} * {QUERIES})", f"({K} * {OF_ALL})").replace(f"SELECT {QUERIES}::BIGINT queries", f"SELECT {OF_ALL} queries")
+
+
+def _whole_of(name: str) -> None:
+    few = _queries[name]
+
+    @registered(f"{name}_every{EVERY}", sql_whole(_sql[name]) if name in _sql else None)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _whole.set(True)
+        try:
+            return few(spark, sf_dir)
+        finally:
+            _whole.reset(token)
+
+
+SEARCHES = (
+    *(f"{kind}_{m}" for m in V.METRICS for kind in ("score", "knn", "pq_adc")),
+    *"vector_arithmetic part_scores knn_filter_label knn_anti_deleted knn_accept_ids knn_accept_and_live range_search range_top_k knn_resume segment_merge_top_k".split(),
+    *"bq_hamming bq_knn bq_rerank rerank_floor recall_at_k average_precision map_at_k overquery_curve pq_partial_sums pq_rerank nvq_rerank compact_knn".split(),
+    *"graph_recall graph_filtered_recall graph_counters".split(),
+)
+for _name in SEARCHES:
+    _whole_of(_name)
+
+
+@registered(f"pq_code_pairs_every{EVERY}", f"WITH {CODES} SELECT x.vec_id a, y.vec_id b, round(1 / (1 + sum({SQ.format(a='x.w', b='y.w')})), 12) score FROM codes x JOIN codes y ON x.m = y.m AND x.vec_id < y.vec_id WHERE x.vec_id % {EVERY} = 0 OR y.vec_id % {EVERY} = 0 GROUP BY 1, 2")
+def pq_code_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query with all other rows, a pair of two queries once."""
+    _, codec, codes = _codes(spark, sf_dir)
+    asking = F.col("vec_id") % EVERY == 0
+    q = codes.filter(asking)
+    scored = quantize.pq_pair_scores(q, codes, codec, "l2").union(quantize.pq_pair_scores(codes.filter(~asking), q, codec, "l2"))
+    return scored.select("a", "b", F.round("score", 12).alias("score"))
+
+
+def _recall_whole(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    base = table(spark, sf_dir)
+    return metrics.recall(search.search(base, base.filter(F.col("vec_id") % EVERY == 0), K), found, K, K)
+
+
+@registered(
+    f"pq_recall_every{EVERY}",
+    f"{sql_whole(sql_adc('cosine')).split(' SELECT query_id, rank::INT rank')[0]}, o AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v q, b.v b FROM e q JOIN e b ON q.vec_id <> b.vec_id WHERE q.vec_id % {EVERY} = 0), {EXACT.replace('FROM p', 'FROM o')}, {HITS} SELECT sum(hit) / ({K} * {OF_ALL})::DOUBLE recall FROM h",
+)
+def pq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, codec, codes = _codes(spark, sf_dir)
+    return _recall_whole(spark, sf_dir, quantize.pq_search(codes, base.filter(F.col("vec_id") % EVERY == 0), codec, K))
+
+
+@registered(f"nvq_recall_every{EVERY}")
+def nvq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of an exhaustive search over vectors decoded from non-uniform codes."""
+    base = table(spark, sf_dir)
+    codec = nvq.NonUniformQuantizer.train(quantize.sample(base), 2)
+    decoded = nvq.nvq_decode(nvq.nvq_encode(base, codec), codec)
+    return _recall_whole(spark, sf_dir, search.search(decoded, base.filter(F.col("vec_id") % EVERY == 0), K))
