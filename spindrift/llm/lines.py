@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-THRESHOLD, MIN_CHARS, NEAR_CHARS = 2, 10, 40
+THRESHOLD, MIN_CHARS, NEAR_CHARS = 2, 10, 10
 LETTERS = "etaoinsrhldcumpgbfyvw"
 #: Hashes of candidate lines up to this number go to every task; more are joined.
 SMALL = 500_000
@@ -37,7 +37,8 @@ def keys(wide: Column, length: Column, k: int) -> tuple[list[Column], list[Colum
     """Keys under which a line is indexed, which it also probes; and those that it probes besides.
 
     wide: the line in four bytes a character, of which any part is at hand without
-    walking to it.  Lines must be long enough for segments of more than k.
+    walking to it.  Lines must be long enough for segments of more than k; those of
+    a shorter line, which are probed alone, have k characters or one at least.
     """
     own, other = [], []
     for less in range(k + 1):
@@ -186,7 +187,8 @@ def marks(rows: DataFrame, k: int, least: int, near_least: int) -> DataFrame:
 
 
 def _deduped(docs: DataFrame, k: int, least: int, near_least: int, id_col: str, text_col: str) -> DataFrame:
-    if not 0 <= k <= 15 or near_least < (k + 1) * (k + 1) + k:
+    # only lines of near_chars and more are indexed, so that their own segments alone must be longer than k
+    if not 0 <= k <= 15 or near_least < (k + 1) * (k + 1):
         raise ValueError("the threshold must be 0 to 15, and near_chars enough for segments of more than that")
     found = common.staged(marks(prepared(docs, id_col, text_col), k, least, near_least), "marks")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -209,7 +211,8 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
     It goes if it is equal to an earlier one, in a document with a smaller id or
     before it in its own, or within ``threshold`` edits of a line that first
     stands in a document with a smaller id.  Lines under ``min_chars`` always
-    stay; those under ``near_chars`` go for equal ones alone.  n_links counts,
+    stay; those under ``near_chars`` go for equal ones alone (by default there are
+    none between the two).  n_links counts,
     over the lines of the document, the different lines within the threshold.
     Rows that agree in id and text are one document and get the same result; a
     null id comes after all others; a null text counts as empty.

@@ -96,6 +96,22 @@ def test_line_dedup_equals_brute_force(spark, make_prose):
         assert any((r.doc_id, t) in want and want[r.doc_id, t] == (r.text, r.n_links) for d, t in rows if d == r.doc_id), r
 
 
+def test_short_lines_within_two_edits_go(spark):
+    r = random.Random(11)
+    rows = [(1, "With to to."), (2, "With, to to.")]
+    for i in range(3, 400):
+        line = [r.choice("abc ") for _ in range(r.randint(8, 42))]
+        rows.append((i, "".join(line)))
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(line))
+            line[at : at + r.randint(0, 1)] = r.choice(["", "a", "b", "ab"])
+        rows.append((1000 + i, "".join(line)))
+    want = brute_lines(rows, near=10)
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.text, x.n_links) for x in got} == {(d, *v) for (d, _), v in want.items()}
+    assert by_id(lines.dedup(spark.createDataFrame(rows[:2], "doc_id long, text string")))[2].text == ""
+
+
 def test_line_dedup_on_odd_rows(odd, none):
     want = brute_lines([(d, t) for d, t in source(odd)])
     got = lines.dedup(odd).collect()
