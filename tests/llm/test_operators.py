@@ -511,6 +511,21 @@ def test_one_of_each_group_stays(spark, make_prose, odd):
     assert simhash.one_of_each(odd).columns == odd.columns
 
 
+def test_one_of_each_goes_by_the_jaccard_similarity(spark, make_prose, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", 40)  # several blocks
+    r, rows = random.Random(12), []
+    for i in range(60):
+        w = [f"{x}{r.randint(0, 999)}" for x in make_prose(2000 + i, 200).split()]
+        rows.append((2 * i, " ".join(w)))
+        for at in r.sample(range(len(w)), r.randint(2, 14)):
+            w[at] = "new"
+        rows.append((2 * i + 1, " ".join(w)))
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    near = {b for (a, x), (b, y) in zip(rows[::2], rows[1::2]) if len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y))}
+    got = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 5 < len(near) < 55 and got == {d for d, _ in rows} - near
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (None, 3), (20, 1), (1, 2)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
