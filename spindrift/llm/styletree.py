@@ -32,6 +32,7 @@ BLOCKS = frozenset(
 FURNITURE = frozenset("head nav footer aside form menu dialog button select option fieldset".split())
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video math".split())
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 VOID = frozenset("hr br img input meta link base col embed source track wbr area param".split())
 #: Elements that end an open one of the second kind, not beyond one of the third.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -74,12 +75,7 @@ def child(parent: Node, tag: str, attributes: str) -> Node:
 def blocks(page: str) -> Iterator[tuple[Node, str]]:
     """Blocks of text of a page in order, each with the node it stands in."""
     stack, text, at = [ROOT], [], 0
-    skip = ""
-    for m in TAG.finditer(page):
-        if skip:
-            if m[1] and m[2].lower() == skip:
-                skip, at = "", m.end()
-            continue
+    while m := TAG.search(page, at):
         if m.start() > at:
             text.append(html.unescape(page[at : m.start()]))
         at = m.end()
@@ -87,7 +83,10 @@ def blocks(page: str) -> Iterator[tuple[Node, str]]:
             continue
         tag = m[2].lower()
         if tag in RAW:
-            skip = "" if m[1] or m[3].endswith("/") else tag
+            if not m[1] and not m[3].endswith("/"):
+                # nothing within is a tag but the end of this element; without it the page ends here
+                end = END[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if tag == "br":
             text.append(" ")
@@ -115,7 +114,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str]]:
                 break
         if tag not in VOID:
             stack.append(child(stack[-1], tag, m[3]))
-    if not skip and at < len(page):
+    if at < len(page):
         text.append(html.unescape(page[at:]))
     joined = " ".join("".join(text).split())
     if joined:

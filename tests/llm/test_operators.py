@@ -176,6 +176,13 @@ def test_main_text():
     assert styletree.main_text("<" * 5000 + '<a "' * 2000, set()).startswith("<<")
 
 
+def test_text_after_a_script_with_a_less_than_sign_stays():
+    script = "<script>for(i=0;i<n;i++){f('</p>')}</script>"
+    assert styletree.main_text(f"<p>before</p>{script}<p>after</p><SCRIPT>a<b</Script ><p>end</p>", set()) == "before\nafter\nend"
+    assert styletree.main_text("<p>a<style>p>q<r{}</style>b</p><script>x<y</scripts><p>still script</script><p>c", set()) == "ab\nc"
+    assert styletree.main_text("<p>open <script>i<n <p>x", set()) == "open"
+
+
 def test_repeated_branches_go_without_names(spark):
     shell = "<html><body><div class='q1'>Same words on all pages</div><div class='q2'><p>Own text number {n}</p></div><div class='q3'>Two of {m}</div></body></html>"
     rows = [(i, f"http://Host.example:80/{i}", shell.format(n=i, m=i % 2)) for i in range(40)]
