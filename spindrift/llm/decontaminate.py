@@ -1,6 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-An item is cut into overlapping regions.  A text that holds a region of m bytes
+An item is cut into overlapping regions: of a fixed size, and of 13 words from
+each word on, so that any excerpt of 13 words holds one.  A text that holds a region of m bytes
 with at most e edits shares at least m + 1 - q * (1 + e) of its q-grams, all on
 diagonals that differ by e at most.  The q-grams that a text shares with the items
 are counted in overlapping diagonal bands; bands that reach the bound are
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from . import common, hashing
 
 Q, REGION, ERRORS, BLOCK_BYTES = 12, 160, 0.06, 4 << 20
+#: Any run of so many words of an item is a region as well.
+WORDS = 13
 TABLE_BITS = 22
 #: Upper case as lower case, and all white space as one kind.
 NORMAL = np.arange(256, dtype=np.uint8)
@@ -71,7 +74,10 @@ class Items:
             data = np.frombuffer(text, dtype=np.uint8)
             last = max(0, len(data) - region)
             starts = sorted({*range(0, last + 1, region // 2), last}) if len(data) else []
-            self.regions += [(item, s, data[s : s + region], edit_budget(min(region, len(data)), errors, q)) for s in starts]
+            spans = {(s, min(s + region, len(data))) for s in starts}
+            begins = [0, *(np.flatnonzero(data == 0x20) + 1).tolist(), len(data) + 1]
+            spans |= {(a, b - 1) for a, b in zip(begins, begins[WORDS:])}
+            self.regions += [(item, a, data[a:b], edit_budget(b - a, errors, q)) for a, b in sorted(spans)]
         self.regions = [r for r in self.regions if len(r[2]) >= q]
         grams = [hashing.runs(hashing.prefix(hashing.BYTE[r[2]]), np.arange(len(r[2]) - q + 1), np.arange(q, len(r[2]) + 1)) for r in self.regions]
         flat = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)

@@ -287,6 +287,14 @@ def test_leaks_within_the_budget_are_found(spark, make_prose):
     assert {x.doc_id for x in decontaminate.clean(df, bench, block_bytes=300).collect()} == set(range(100, 130))
 
 
+def test_excerpts_of_thirteen_words_are_found(spark, make_prose):
+    item = make_prose(900, 60).split()
+    docs = [(i, f"{make_prose(i, 40)} {' '.join(item[i : i + 13])} {make_prose(i + 70, 40)}") for i in range(0, 48)] + [(100, make_prose(901, 200))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.leaks(df, bench).collect()} == set(range(48))
+    assert {x.doc_id for x in decontaminate.clean(df, bench).collect()} == {100}
+
+
 def test_decontamination_on_odd_rows(odd, none, spark):
     bench = spark.createDataFrame([(1, odd.filter("doc_id = 1").first().text[:300])], "item_id long, text string")
     assert {x.doc_id for x in decontaminate.leaks(odd, bench).collect()} == {1, 2}
