@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 #: Weights of the splits; the last one takes what is left.
 STRATEGIES = {
     "UNIFORM": lambda n: [1] * n,
@@ -45,15 +47,18 @@ def bounds(total: int, n: int, strategy: str) -> list[int]:
 def numbered(rows: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """``ord``: place by id, from 0, without gaps.
 
-    Rows are ranged by id over partitions; each partition counts its own, and the
-    sums of the partitions before are added, so no task sees all rows.
+    Rows are ranged by id over partitions, once: the ranged rows are written with
+    their part and their place in it.  The sums of the parts before are added, so no
+    task sees all rows.
     """
-    ranged = rows.repartitionByRange(F.col(id_col)).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(id_col)
-    local = ranged.withColumn("_place", F.row_number().over(within))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    ranged = rows.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col)
+    # a number that starts again in each partition, above the partition's own
+    at = F.monotonically_increasing_id()
+    local = staged(ranged.withColumn("_at", at), "numbered").withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND(F.lit(2**33 - 1)))
+    counts = local.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row for each partition
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(before, "_part").withColumn("ord", (F.col("_before") + F.col("_place") - 1).cast("long")).drop("_part", "_place", "_before")
+    return local.join(before, "_part").withColumn("ord", (F.col("_before") + F.col("_place")).cast("long")).drop("_at", "_part", "_place", "_before")
 
 
 def partitioned(rows: DataFrame, n: int, strategy: str, id_col: str = "vec_id") -> DataFrame:
@@ -83,8 +88,15 @@ def validate(sources: list[DataFrame], dims: list[int], features: list[frozenset
         raise ValueError("compaction needs the full vectors")
 
 
-def compact(sources: list[DataFrame], tombstones: DataFrame | None = None, id_col: str = "vec_id") -> DataFrame:
-    """Live rows of all sources under new ids without gaps, by source and old id: (source, old_id, vec_id, other columns)."""
+def compact(sources: list[DataFrame], tombstones: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Live rows of all sources under new ids without gaps, by source and old id: (source, old_id, vec_id, other columns).
+
+    Sources with vectors must have them of one dimension.
+    """
+    if all(vec_col in s.columns for s in sources):
+        sizes = [s.filter(F.col(vec_col).isNotNull()).select(F.size(vec_col)).limit(1).collect() for s in sources]
+        known = [d[0][0] for d in sizes if d]
+        validate(sources, known[:1] * len(sources) if len(set(known)) < 2 else known + known[:1] * (len(sources) - len(known)), [frozenset(s.columns) & {vec_col} for s in sources])
     out = None
     for i, s in enumerate(sources):
         part = s.withColumn("source", F.lit(i))

@@ -1,11 +1,15 @@
-"""Sessions and what Python workers need."""
+"""Sessions, what Python workers need, and tables that cut the lineage."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +21,27 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset (a local session, as in tests) a temporary folder takes
+    its place.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spindrift-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, so that it is worked out once and no executor's loss can lose it."""
+    path = f"{shared_dir(df.sparkSession)}/spindrift/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
 """An index as a directory of Parquet tables.
 
-``vectors`` is written always; ``codes``, ``graph`` and ``tombstones`` if there
-are any; ``meta`` last of all, so that a directory without it is no index yet.
+``vectors`` is written always; ``codes`` (product or binary), ``nvq``, ``graph``,
+``codec`` and ``tombstones`` if there are any; ``meta`` last of all, so that a
+directory without it is no index yet.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import codecs
+
 FORMAT = 1
 
 
@@ -21,9 +24,15 @@ class Index:
     vectors: DataFrame
     meta: dict
     codes: DataFrame | None = None
+    nvq: DataFrame | None = None
     graph: DataFrame | None = None
+    codec: DataFrame | None = None
     tombstones: DataFrame | None = None
 
+    def quantizer(self):
+        """The codec that the codes were made with."""
+        return codecs.load(self.feature("codec"))
+
     def feature(self, name: str) -> DataFrame:
         """A table that the index may or may not have; an error if it has not."""
         found = getattr(self, name)
@@ -43,7 +52,7 @@ class Writer:
     extra: dict = field(default_factory=dict)
 
     def add(self, name: str, table: DataFrame) -> Writer:
-        if name not in ("vectors", "codes", "graph", "tombstones"):
+        if name not in ("vectors", "codes", "nvq", "graph", "codec", "tombstones"):
             raise ValueError(f"unknown table {name!r}")
         self.parts[name] = table
         return self
@@ -82,9 +91,21 @@ def read(spark: SparkSession, path: str, verify: bool = False) -> Index:
     return Index(meta=meta, **tables)
 
 
-def append(index_path: str, vectors: DataFrame) -> None:
-    """Add rows; readers that hold the index see their own files until they read it again."""
-    vectors.write.mode("append").parquet(f"{index_path}/vectors")
+def append(index_path: str, vectors: DataFrame) -> Index:
+    """Add rows, and bring the number of rows and the checksum up to date.
+
+    Readers that hold the index see their own files until they read it again.
+    """
+    spark = vectors.sparkSession
+    meta = read(spark, index_path).meta
+    first = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("most"), F.min(F.size("embedding")).alias("least")).first()
+    if first.n and {first.most, first.least} != {meta["dim"] or first.most}:
+        raise ValueError(f"vectors of {first.least} to {first.most} dimensions; the index has {meta['dim']}")
+    vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), *(c for c in vectors.columns if c not in ("vec_id", "embedding"))).write.mode("append").parquet(f"{index_path}/vectors")
+    held = spark.read.parquet(f"{index_path}/vectors")
+    meta |= {"rows": held.count(), "dim": meta["dim"] or first.most, "checksum": checksum(held)}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{index_path}/meta")
+    return read(spark, index_path)
 
 
 def cached_path(root: str, **parameters) -> str:
