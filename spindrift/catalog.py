@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +11,11 @@ from pyspark.sql import functions as F
 from .functions import vectors as V
 from .operators import graph, metrics, nvq, quantize, search, segments
 from .plans import options
-from .session import importable
+from .session import importable, staged
 from .sources import datasets
 
-DIM, QUERIES, K, EVERY = 64, 20, 10, 50
+#: Every row whose id EVERY divides is a query, and is compared with all rows.
+DIM, K, EVERY = 64, 10, 50
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -44,25 +43,29 @@ def table(spark: SparkSession, sf_dir: str, name: str = "embeddings") -> DataFra
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Whether the queries are all rows whose id EVERY divides, in place of the first few.
-_whole: ContextVar[bool] = ContextVar("whole", default=False)
+def is_query() -> Column:
+    return F.col("vec_id") % EVERY == 0
 
 
-def is_query(n: int = QUERIES) -> Column:
-    return F.col("vec_id") % EVERY == 0 if _whole.get() else F.col("vec_id") < n
+def asked(base: DataFrame) -> DataFrame:
+    return base.filter(is_query()).select("vec_id", "embedding")
 
 
-def asked(base: DataFrame, n: int = QUERIES) -> DataFrame:
-    return base.filter(is_query(n)).select("vec_id", "embedding")
-
+def pairs(base: DataFrame) -> DataFrame:
+    """Every query with every other row; the queries go to all tasks in blocks of bounded size."""
+    out = None
+    for ids, block in search.query_blocks(asked(base), "vec_id", "embedding", search.BLOCK_BYTES):
+        rows = list(zip(ids.tolist(), block.tolist()))
+        q = F.broadcast(base.sparkSession.createDataFrame(rows, "query_id long, query array<float>"))
+        part = base.join(q, F.col("query_id") != F.col("vec_id"))
+        out = part if out is None else out.union(part)
+    return out
 
-def pairs(base: DataFrame, n: int) -> DataFrame:
-    """Every query with every other row."""
-    q = asked(base, n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return base.join(F.broadcast(q), F.col("query_id") != F.col("vec_id"))
 
+# SQL building blocks: e has vectors in double precision, p pairs of the queries with all others
 
-# SQL building blocks: e has vectors in double precision, p pairs of the first queries with all others
+ASKS, ALL = f"q.vec_id % {EVERY} = 0", "true"
+OF_ALL = f"(SELECT count(*) FROM embeddings WHERE vec_id % {EVERY} = 0)"
 
 E_ = "e AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings)"
 SQL_SCORE = {
@@ -72,24 +75,24 @@ SQL_SCORE = {
 }
 
 
-def sql_pairs(metric: str, n: int = QUERIES, where: str = "true") -> str:
-    return f"WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, b.label label, {SQL_SCORE[metric]} score FROM e q, e b WHERE q.vec_id < {n} AND q.vec_id <> b.vec_id AND {where})"
+def sql_pairs(metric: str, who: str = ASKS, where: str = "true") -> str:
+    return f"WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, b.label label, {SQL_SCORE[metric]} score FROM e q, e b WHERE {who} AND q.vec_id <> b.vec_id AND {where})"
 
 
 RANKED = "r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank, vec_id, score FROM p)"
 
 
-def sql_knn(metric: str, k: int = K, where: str = "true", skip: int = 0, n: int = QUERIES) -> str:
-    return f"{sql_pairs(metric, n, where)}, {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE rank > {skip} AND rank <= {skip + k}"
+def sql_knn(metric: str, k: int = K, where: str = "true", skip: int = 0, who: str = ASKS) -> str:
+    return f"{sql_pairs(metric, who, where)}, {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE rank > {skip} AND rank <= {skip + k}"
 
 
 # scores and kernels
 
 
 def _score(metric: str) -> None:
-    @registered(f"score_{metric}", f"{sql_pairs(metric, 5)} SELECT query_id, vec_id, score FROM p")
+    @registered(f"score_{metric}", f"{sql_pairs(metric)} SELECT query_id, vec_id, score FROM p")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return pairs(table(spark, sf_dir), 5).select("query_id", "vec_id", V.score(metric, F.col("query"), F.col("embedding")).alias("score"))
+        return pairs(table(spark, sf_dir)).select("query_id", "vec_id", V.score(metric, F.col("query"), F.col("embedding")).alias("score"))
 
 
 def _knn(metric: str) -> None:
@@ -118,25 +121,25 @@ def vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "vector_arithmetic",
-    f"""WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v a, b.v b FROM e q, e b WHERE q.vec_id < 3 AND q.vec_id <> b.vec_id)
+    f"""WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v a, b.v b FROM e q, e b WHERE {ASKS} AND q.vec_id <> b.vec_id)
     SELECT query_id, vec_id, list_sum(list_transform(list_zip(a, b), lambda x: x[1] + x[2])) added, list_sum(list_transform(list_zip(a, b), lambda x: x[1] - x[2])) subtracted,
     list_sum(list_transform(list_zip(a, b), lambda x: least(x[1], x[2]))) least_sum, list_sum(list_transform(b, lambda x: x * 2.5)) scaled, list_sum(list_transform(b, lambda x: x + 1)) shifted FROM p""",
 )
 def vector_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("query"), F.col("embedding")
-    return pairs(table(spark, sf_dir), 3).select(
+    return pairs(table(spark, sf_dir)).select(
         "query_id", "vec_id", V.total(V.added(a, b)).alias("added"), V.total(V.subtracted(a, b)).alias("subtracted"), V.total(V.minimum(a, b)).alias("least_sum"), V.total(V.scaled(b, 2.5)).alias("scaled"), V.total(V.added(b, 1)).alias("shifted")
     )
 
 
 @registered(
     "part_scores",
-    f"""WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v[9:24] a, b.v[17:32] b FROM e q, e b WHERE q.vec_id < 3 AND q.vec_id <> b.vec_id)
+    f"""WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v[9:24] a, b.v[17:32] b FROM e q, e b WHERE {ASKS} AND q.vec_id <> b.vec_id)
     SELECT query_id, vec_id, list_dot_product(a, b) dot, list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) cosine, list_sum(list_transform(list_zip(a, b), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) square_l2 FROM p""",
 )
 def part_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = V.part(F.col("query"), 8, 16), V.part(F.col("embedding"), 16, 16)
-    return pairs(table(spark, sf_dir), 3).select("query_id", "vec_id", V.dot(a, b).alias("dot"), V.cosine(a, b).alias("cosine"), V.square_l2(a, b).alias("square_l2"))
+    return pairs(table(spark, sf_dir)).select("query_id", "vec_id", V.dot(a, b).alias("dot"), V.cosine(a, b).alias("cosine"), V.square_l2(a, b).alias("square_l2"))
 
 
 @registered("centroid", f"WITH {E_}, x AS (SELECT unnest(v) x, generate_subscripts(v, 1) - 1 pos FROM e) SELECT pos::INT pos, round(avg(x), 9) mean, round(sum(x), 9) total FROM x GROUP BY pos")
@@ -190,15 +193,14 @@ def knn_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(base, asked(base), K, skip=K)
 
 
-@registered("near_pairs", f"{sql_pairs('cosine', 2**31)} SELECT query_id a, vec_id b, score FROM p WHERE query_id < vec_id AND score >= 0.7")
+@registered("near_pairs", f"{sql_pairs('cosine', ALL)} SELECT query_id a, vec_id b, score FROM p WHERE query_id < vec_id AND score >= 0.7")
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.similar_pairs(table(spark, sf_dir), 0.7)
 
 
-@registered("knn_all", sql_knn("cosine", 1, n=2**31))
+@registered("knn_all", sql_knn("cosine", 1, who=ALL))
 def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir)
-    return search.search(base, base.select("vec_id", "embedding"), 1)
+    return search.nearest_of_all(table(spark, sf_dir), 1)
 
 
 @registered("segment_merge_top_k", sql_knn("cosine"))
@@ -210,7 +212,7 @@ def segment_merge_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # binary quantisation; the codes' score is one less the share of differing signs
 
-BQ_PAIRS = f"WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v q, b.v b, 1 - len(list_filter(list_zip(q.v, b.v), lambda x: (x[1] > 0) <> (x[2] > 0))) / 64.0::DOUBLE score FROM e q, e b WHERE q.vec_id < {QUERIES} AND q.vec_id <> b.vec_id)"
+BQ_PAIRS = f"WITH {E_}, p AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v q, b.v b, 1 - len(list_filter(list_zip(q.v, b.v), lambda x: (x[1] > 0) <> (x[2] > 0))) / 64.0::DOUBLE score FROM e q, e b WHERE {ASKS} AND q.vec_id <> b.vec_id)"
 SQL_COS = "(1 + list_dot_product(q, b) / sqrt(list_dot_product(q, q) * list_dot_product(b, b))) / 2"
 
 
@@ -234,8 +236,7 @@ def _bq(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame,
 @registered("bq_hamming", f"{BQ_PAIRS} SELECT query_id, vec_id, ((1 - score) * 64)::INT differing FROM p")
 def bq_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = quantize.bq_encode(table(spark, sf_dir), DIM)
-    q = codes.filter(is_query()).select(F.col("vec_id").alias("query_id"), F.col("words").alias("query"))
-    return codes.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", V.hamming(F.col("query"), F.col("words")).cast("int").alias("differing"))
+    return quantize.bq_scores(codes, codes.filter(is_query()), DIM).select("query_id", "vec_id", ((1 - F.col("score")) * DIM).cast("int").alias("differing"))
 
 
 @registered("bq_knn", f"{BQ_PAIRS}, {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE rank <= {K}")
@@ -272,7 +273,7 @@ EXACT = f"t AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_i
 HITS = f"h AS (SELECT r.query_id, r.rank, (t.vec_id IS NOT NULL)::INT hit FROM r LEFT JOIN t ON r.query_id = t.query_id AND r.vec_id = t.vec_id WHERE r.rank <= {K})"
 
 
-@registered("recall_at_k", f"{BQ_PAIRS}, {RANKED}, {EXACT}, {HITS} SELECT sum(hit) / ({K} * {QUERIES})::DOUBLE recall FROM h")
+@registered("recall_at_k", f"{BQ_PAIRS}, {RANKED}, {EXACT}, {HITS} SELECT sum(hit) / ({K} * {OF_ALL})::DOUBLE recall FROM h")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, q, found = _bq(spark, sf_dir, K)
     return metrics.recall(search.search(base, q, K), found, K, K)
@@ -294,7 +295,7 @@ def map_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_overquery(factor: int) -> str:
-    return f"SELECT {factor} overquery, count(t.vec_id) / ({K} * {QUERIES})::DOUBLE recall FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {SQL_COS} DESC, vec_id) rank FROM c WHERE approx_rank <= {K * factor} QUALIFY rank <= {K}) y LEFT JOIN t ON y.query_id = t.query_id AND y.vec_id = t.vec_id"
+    return f"SELECT {factor} overquery, count(t.vec_id) / ({K} * {OF_ALL})::DOUBLE recall FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {SQL_COS} DESC, vec_id) rank FROM c WHERE approx_rank <= {K * factor} QUALIFY rank <= {K}) y LEFT JOIN t ON y.query_id = t.query_id AND y.vec_id = t.vec_id"
 
 
 @registered("overquery_curve", f"{BQ_PAIRS}, {EXACT}, {sql_bq_top(100)} " + " UNION ALL ".join(map(_sql_overquery, (1, 2, 5, 10))))
@@ -347,10 +348,10 @@ def pq_recon_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", F.round(V.square_l2(F.col("embedding"), F.col("decoded")) / DIM, 12).alias("error"))
 
 
-@registered("pq_partial_sums", f"WITH {BOOK} SELECT q.vec_id query_id, m, c, list_dot_product(q.v[m * 8 + 1 : m * 8 + 8], w) dot, {SQ.format(a='q.v[m * 8 + 1 : m * 8 + 8]', b='w')} square_l2 FROM e q JOIN book ON true WHERE q.vec_id < 5")
+@registered("pq_partial_sums", f"WITH {BOOK} SELECT q.vec_id query_id, m, c, list_dot_product(q.v[m * 8 + 1 : m * 8 + 8], w) dot, {SQ.format(a='q.v[m * 8 + 1 : m * 8 + 8]', b='w')} square_l2 FROM e q JOIN book ON true WHERE {ASKS}")
 def pq_partial_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir)
-    codec, q = fixed_codec(base), asked(base, 5)
+    codec, q = fixed_codec(base), asked(base)
     tables = [quantize.query_tables(q, codec, m).select("query_id", F.posexplode("sums").alias("at", name)) for m, name in (("dot", "dot"), ("l2", "square_l2"))]
     return tables[0].join(tables[1], ["query_id", "at"]).select("query_id", F.floor(F.col("at") / C).cast("int").alias("m"), (F.col("at") % C).alias("c"), "dot", "square_l2")
 
@@ -360,7 +361,7 @@ def sql_adc(metric: str) -> str:
     total = f"list_sum(list({SQ.format(a=part, b='w') if metric == 'l2' else f'list_dot_product({part}, w)'} ORDER BY codes.m))"
     length = "list_sum(list(list_dot_product(w, w) ORDER BY codes.m))"
     value = {"l2": f"1 / (1 + {total})", "dot": f"(1 + {total}) / 2", "cosine": f"(1 + {total} / sqrt({length} * any_value(list_dot_product(q.v, q.v)))) / 2"}[metric]
-    return f"WITH {CODES}, p AS (SELECT q.vec_id query_id, codes.vec_id vec_id, {value} score FROM e q JOIN codes ON q.vec_id <> codes.vec_id WHERE q.vec_id < {QUERIES} GROUP BY 1, 2), {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE rank <= {K}"
+    return f"WITH {CODES}, p AS (SELECT q.vec_id query_id, codes.vec_id vec_id, {value} score FROM e q JOIN codes ON q.vec_id <> codes.vec_id WHERE {ASKS} GROUP BY 1, 2), {RANKED} SELECT query_id, rank::INT rank, vec_id, score FROM r WHERE rank <= {K}"
 
 
 def _adc(metric: str) -> None:
@@ -384,11 +385,12 @@ def pq_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.two_pass(base, q, K, 50, lambda n: quantize.pq_search(codes, q, codec, n)).select("query_id", "rank", "vec_id", "score")
 
 
-@registered("pq_code_pairs", f"WITH {CODES} SELECT x.vec_id a, y.vec_id b, round(1 / (1 + sum({SQ.format(a='x.w', b='y.w')})), 12) score FROM codes x JOIN codes y ON x.m = y.m AND x.vec_id < y.vec_id WHERE x.vec_id < 40 AND y.vec_id < 40 GROUP BY 1, 2")
+@registered("pq_code_pairs", f"WITH {CODES} SELECT x.vec_id a, y.vec_id b, round(1 / (1 + sum({SQ.format(a='x.w', b='y.w')})), 12) score FROM codes x JOIN codes y ON x.m = y.m AND x.vec_id < y.vec_id WHERE x.vec_id % {EVERY} = 0 OR y.vec_id % {EVERY} = 0 GROUP BY 1, 2")
 def pq_code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query with all other rows, a pair of two queries once."""
     _, codec, codes = _codes(spark, sf_dir)
-    few = codes.filter("vec_id < 40")
-    return quantize.pq_pair_scores(few, few, codec, "l2").select("a", "b", F.round("score", 12).alias("score"))
+    scored = quantize.pq_code_scores(codes.filter(is_query()), codes, codec, "l2").filter((F.col("query_id") < F.col("vec_id")) | (F.col("vec_id") % EVERY != 0))
+    return scored.select(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b"), F.round("score", 12).alias("score"))
 
 
 @registered("codec_sizes", "SELECT 'binary' codec, 256::BIGINT vector_bytes, 8::BIGINT code_bytes, 0::BIGINT codec_bytes UNION ALL SELECT 'product', 256, 8, 4 * 64 * 16")
@@ -508,26 +510,74 @@ def graph_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAPH_OPTIONS = options.BuildOptions(degree=16, beam=64)
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    base = graph.with_segment(table(spark, sf_dir), 2)
-    return base, graph.build(base, "cosine", GRAPH_OPTIONS)
+def _graph(spark: SparkSession, sf_dir: str, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The base with its segments, by size or n of them, and their graphs, which are written once."""
+    base = graph.with_segment(table(spark, sf_dir), n)
+    return base, staged(graph.build(base, "cosine", GRAPH_OPTIONS), "graph")
 
 
-@registered("graph_recall", f"SELECT {QUERIES}::BIGINT queries, true good")
-def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether graph search finds at least 95 of 100 true neighbours."""
+def _graph_recall(base: DataFrame, edges: DataFrame, label: Column | None = None, **how) -> DataFrame:
+    q = asked(base)
+    found = search.ranked(graph.graph_search(edges, base, q, K, accept=label, options=GRAPH_OPTIONS, **how), K)
+    return metrics.recall(search.search(base, q, K, accept=label), found, K, K)
+
+
+@registered("graph_knn", sql_knn("cosine"))
+def graph_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search so wide that it misses nothing; rows get the scores of the score expression."""
     base, edges = _graph(spark, sf_dir)
     q = asked(base)
-    found = search.ranked(graph.graph_search(edges, base, q, K, rerank_k=4 * K, options=GRAPH_OPTIONS), K)
-    return metrics.recall(search.search(base, q, K), found, K, K).select(F.lit(q.count() if _whole.get() else QUERIES).cast("long").alias("queries"), (F.col("recall") >= 0.95).alias("good"))
+    found = graph.graph_search(edges, base, q, K, rerank_k=1000, options=GRAPH_OPTIONS)
+    return search.rerank(search.ranked(found, 2 * K), base, q, K).select("query_id", "rank", "vec_id", "score")
 
 
-@registered("graph_filtered_recall", f"SELECT {QUERIES}::BIGINT queries, true good")
+@registered("graph_recall")
+def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the true neighbours that a graph search finds."""
+    return _graph_recall(*_graph(spark, sf_dir), rerank_k=4 * K)
+
+
+@registered("graph_filtered_recall")
 def graph_filtered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph_recall(*_graph(spark, sf_dir), F.col("label") < 5, rerank_k=4 * K)
+
+
+@registered("graph_fused_recall")
+def graph_fused_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a walk by the codes beside the neighbours, and exact scores for its best."""
     base, edges = _graph(spark, sf_dir)
-    q = asked(base)
-    found = search.ranked(graph.graph_search(edges, base, q, K, rerank_k=4 * K, accept=F.col("label") < 5, options=GRAPH_OPTIONS), K)
-    return metrics.recall(search.search(base, q, K, accept=F.col("label") < 5), found, K, K).select(F.lit(q.count() if _whole.get() else QUERIES).cast("long").alias("queries"), (F.col("recall") >= 0.95).alias("good"))
+    codec = quantize.ProductQuantizer.train(quantize.sample(base), 16, min(256, 8 * C))
+    return _graph_recall(base, staged(graph.with_codes(edges, quantize.pq_encode(base, codec)), "fused"), rerank_k=10 * K, codec=codec)
+
+
+@registered("graph_compact_recall")
+def graph_compact_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over one graph that was merged from those of four segments, without some ids."""
+    base, edges = _graph(spark, sf_dir, 4 * graph.segments_for(table(spark, sf_dir).count()))
+    gone = base.filter("vec_id % 11 = 3").select("vec_id")
+    targets = graph.segments_for(base.count())
+    merged = staged(graph.compact(edges, base, targets, gone, options=GRAPH_OPTIONS), "merged")
+    live = base.join(gone, "vec_id", "left_anti").withColumn("segment", F.pmod("segment", F.lit(targets)).cast("int"))
+    return _graph_recall(live, merged, rerank_k=4 * K)
+
+
+@registered("graph_compact_nodes", "SELECT count(*) nodes, 0::BIGINT dangling, true within_degree FROM embeddings WHERE vec_id % 11 <> 3")
+def graph_compact_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the merged graph's base layer, and whether its lists name live nodes alone and keep to the degree."""
+    targets = graph.segments_for(table(spark, sf_dir).count())
+    base, edges = _graph(spark, sf_dir, 4 * targets)
+    merged = graph.compact(edges, base, targets, base.filter("vec_id % 11 = 3").select("vec_id"), options=GRAPH_OPTIONS)
+    return merged.agg(F.count_if(F.col("level") == 0).alias("nodes"), F.sum(F.size(F.filter("neighbors", lambda x: x % 11 == 3))).cast("long").alias("dangling"), (F.max(F.size("neighbors")) <= 16).alias("within_degree"))
+
+
+@registered("graph_edge_scores", f"WITH {E_} SELECT q.vec_id node, b.vec_id neighbor, {SQL_SCORE['cosine']} score FROM e q JOIN e b ON b.vec_id <> q.vec_id AND b.vec_id // {graph.SEGMENT_ROWS} = q.vec_id // {graph.SEGMENT_ROWS} WHERE {ASKS} QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, b.vec_id) = 1")
+def graph_edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best edge of each query in graphs of ranges of ids: it must lead to the nearest row of the range."""
+    base = table(spark, sf_dir).withColumn("segment", F.floor(F.col("vec_id") / graph.SEGMENT_ROWS).cast("int"))
+    own = graph.build(base, "cosine", GRAPH_OPTIONS).filter((F.col("level") == 0) & (F.col("node") % EVERY == 0)).select("segment", "level", "node", "neighbors", "entry")
+    each = graph.rescored(own, base, "cosine").select("node", F.explode(F.arrays_zip("neighbors", "scores")).alias("x"))
+    best = each.groupBy("node").agg(F.max(F.struct(F.col("x.scores").alias("score"), (-F.col("x.neighbors")).alias("n"))).alias("x"))
+    return best.select("node", (-F.col("x.n")).alias("neighbor"), F.col("x.score").alias("score"))
 
 
 @registered("graph_delete_repair", "SELECT 0::BIGINT dangling, count(*) nodes FROM embeddings WHERE vec_id % 10 <> 3")
@@ -540,18 +590,19 @@ def graph_delete_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("graph_counters")
 def graph_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average nodes visited and expanded by a search of both segments."""
+    """Nodes visited, expanded and scored again by a search of all segments."""
     base, edges = _graph(spark, sf_dir)
     found = graph.graph_search(edges, base, asked(base), K, options=GRAPH_OPTIONS)
-    return found.groupBy("query_id").agg(F.max("visited").alias("visited"), F.max("expanded").alias("expanded"), F.max("expanded_base").alias("expanded_base"))
+    return found.groupBy("query_id").agg(*(F.max(c).alias(c) for c in ("visited", "expanded", "expanded_base", "reranked")))
 
 
-@registered("fused_codes", "SELECT count(*) nodes, (count(*) * 3)::BIGINT codes FROM embeddings")
+@registered("fused_codes", f"WITH {CODES}, t AS (SELECT count(*) n FROM e), g AS (SELECT vec_id node, unnest([1, 2, 5]) d FROM e), x AS (SELECT node, (node + d) % n nb FROM g, t), s AS (SELECT vec_id, sum(c * (m + 1))::BIGINT s FROM codes GROUP BY vec_id) SELECT node, sum(s)::BIGINT code_sum FROM x JOIN s ON s.vec_id = nb GROUP BY node")
 def fused_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph whose rows carry their neighbours' codes."""
+    """A graph whose rows carry their neighbours' codes: the sum of these, each by its place."""
     base, _, codes = _codes(spark, sf_dir)
     rows = graph.with_codes(_ring(base), codes)
-    return rows.agg(F.count("*").alias("nodes"), F.sum(F.size("neighbor_codes")).cast("long").alias("codes"))
+    one = lambda c: F.aggregate(F.transform(c, lambda x, m: (x * (m + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return rows.select("node", F.aggregate("neighbor_codes", F.lit(0).cast("bigint"), lambda s, c: s + one(c)).alias("code_sum"))
 
 
 # datasets, sets of ids, run statistics
@@ -589,65 +640,26 @@ def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in rows], "degree int, beam int, overquery int")
 
 
-# the searches again with every row whose id EVERY divides as a query, so that work and accuracy go with the table
-
-OF_ALL = f"(SELECT count(*) FROM embeddings WHERE vec_id % {EVERY} = 0)"
+# recall of the approximate paths
 
 
-def sql_whole(sql: str) -> str:
-    return re.sub(r"q\.vec_id < \d+", f"q.vec_id % {EVERY} = 0", sql).replace(f"({K} * {QUERIES})", f"({K} * {OF_ALL})").replace(f"SELECT {QUERIES}::BIGINT queries", f"SELECT {OF_ALL} queries")
-
-
-def _whole_of(name: str) -> None:
-    few = _queries[name]
-
-    @registered(f"{name}_every{EVERY}", sql_whole(_sql[name]) if name in _sql else None)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _whole.set(True)
-        try:
-            return few(spark, sf_dir)
-        finally:
-            _whole.reset(token)
-
-
-SEARCHES = (
-    *(f"{kind}_{m}" for m in V.METRICS for kind in ("score", "knn", "pq_adc")),
-    *"vector_arithmetic part_scores knn_filter_label knn_anti_deleted knn_accept_ids knn_accept_and_live range_search range_top_k knn_resume segment_merge_top_k".split(),
-    *"bq_hamming bq_knn bq_rerank rerank_floor recall_at_k average_precision map_at_k overquery_curve pq_partial_sums pq_rerank nvq_rerank compact_knn".split(),
-    *"graph_recall graph_filtered_recall graph_counters".split(),
-)
-for _name in SEARCHES:
-    _whole_of(_name)
-
-
-@registered(f"pq_code_pairs_every{EVERY}", f"WITH {CODES} SELECT x.vec_id a, y.vec_id b, round(1 / (1 + sum({SQ.format(a='x.w', b='y.w')})), 12) score FROM codes x JOIN codes y ON x.m = y.m AND x.vec_id < y.vec_id WHERE x.vec_id % {EVERY} = 0 OR y.vec_id % {EVERY} = 0 GROUP BY 1, 2")
-def pq_code_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query with all other rows, a pair of two queries once."""
-    _, codec, codes = _codes(spark, sf_dir)
-    asking = F.col("vec_id") % EVERY == 0
-    q = codes.filter(asking)
-    scored = quantize.pq_pair_scores(q, codes, codec, "l2").union(quantize.pq_pair_scores(codes.filter(~asking), q, codec, "l2"))
-    return scored.select("a", "b", F.round("score", 12).alias("score"))
-
-
-def _recall_whole(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+def _recall(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     base = table(spark, sf_dir)
-    return metrics.recall(search.search(base, base.filter(F.col("vec_id") % EVERY == 0), K), found, K, K)
+    return metrics.recall(search.search(base, asked(base), K), found, K, K)
 
 
 @registered(
-    f"pq_recall_every{EVERY}",
-    f"{sql_whole(sql_adc('cosine')).split(' SELECT query_id, rank::INT rank')[0]}, o AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v q, b.v b FROM e q JOIN e b ON q.vec_id <> b.vec_id WHERE q.vec_id % {EVERY} = 0), {EXACT.replace('FROM p', 'FROM o')}, {HITS} SELECT sum(hit) / ({K} * {OF_ALL})::DOUBLE recall FROM h",
+    "pq_recall",
+    f"{sql_adc('cosine').split(' SELECT query_id, rank::INT rank')[0]}, o AS (SELECT q.vec_id query_id, b.vec_id vec_id, q.v q, b.v b FROM e q JOIN e b ON q.vec_id <> b.vec_id WHERE {ASKS}), {EXACT.replace('FROM p', 'FROM o')}, {HITS} SELECT sum(hit) / ({K} * {OF_ALL})::DOUBLE recall FROM h",
 )
 def pq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, codec, codes = _codes(spark, sf_dir)
-    return _recall_whole(spark, sf_dir, quantize.pq_search(codes, base.filter(F.col("vec_id") % EVERY == 0), codec, K))
+    return _recall(spark, sf_dir, quantize.pq_search(codes, asked(base), codec, K))
 
 
-@registered(f"nvq_recall_every{EVERY}")
+@registered("nvq_recall")
 def nvq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of an exhaustive search over vectors decoded from non-uniform codes."""
+    """Recall of an exhaustive search by the scores of non-uniform codes."""
     base = table(spark, sf_dir)
     codec = nvq.NonUniformQuantizer.train(quantize.sample(base), 2)
-    decoded = nvq.nvq_decode(nvq.nvq_encode(base, codec), codec)
-    return _recall_whole(spark, sf_dir, search.search(decoded, base.filter(F.col("vec_id") % EVERY == 0), K))
+    return _recall(spark, sf_dir, nvq.nvq_search(nvq.nvq_encode(base, codec), asked(base), codec, K))

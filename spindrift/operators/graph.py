@@ -22,35 +22,146 @@ from ..session import importable
 from . import search
 
 
+#: Rows of a segment, as far as it is cut by size; random candidates of each node; fruitless steps after which a threshold search ends.
+SEGMENT_ROWS, FAR, PATIENCE = 8192, 8, 64
+
+
 def similarity(metric: str, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return search.block_scores(metric, q[None], rows)[0]
 
 
-def draw_level(vec_id: int, options: BuildOptions) -> int:
-    """Top layer of a node: geometric, from a hash of its id."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers."""
+    x = np.asarray(x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def draw_levels(ids: np.ndarray, options: BuildOptions) -> np.ndarray:
+    """Top layer of each node: geometric, from a hash of its id."""
     if not options.hierarchy:
-        return 0
-    x = (vec_id * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
-    u = ((x ^ (x >> 31)) + 1) / (2**64 + 1)
+        return np.zeros(len(ids), dtype=np.int64)
+    u = (mixed(ids).astype(np.float64) + 1) / (2.0**64 + 1)
     scale = 1.0 if options.degree == 1 else 1 / np.log(options.degree)
-    return min(31, int(-np.log(u) * scale))
+    return np.minimum(31, -np.log(u) * scale).astype(np.int64)
+
+
+def distances(metric: str, scores: np.ndarray) -> np.ndarray:
+    """Squared distance, or one less the product, that a score stands for; unknown ones are the farthest."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = 1 / scores - 1 if metric == "l2" else 2 * (1 - scores)
+    return np.where(np.isnan(d), np.inf, d)
+
+
+def pruned(own: np.ndarray, between: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Robust pruning of many nodes at once: places of the chosen candidates of each, nearest first, and -1 for none.
+
+    own: distances of each node to its candidates, infinite where there is none;
+    between: those among the candidates.  The nearest candidate left is chosen, and
+    it covers all that are ``alpha`` times as far from the node as from it.  A first
+    pass with 1 for alpha puts direction before number.
+    """
+    n, width = own.shape
+    chosen, count = np.full((n, degree), -1), np.zeros(n, dtype=np.int64)
+    at, taken = np.arange(n), ~np.isfinite(own)
+    own = own - np.minimum(0, np.where(taken, 0, own).min(axis=1, initial=0))[:, None]  # products of long vectors can be negative
+    for slack in sorted({1.0, alpha}):
+        covered = taken.copy()
+        for place in range(degree):
+            rows = at[place < count]
+            covered[rows] |= slack * between[rows, chosen[rows, place]] <= own[rows]
+        while width:
+            left = np.where(covered, np.inf, own)
+            pick = left.argmin(axis=1)
+            rows = at[np.isfinite(left[at, pick]) & (count < degree)]
+            if not len(rows):
+                break
+            p = pick[rows]
+            chosen[rows, count[rows]] = p
+            count[rows] += 1
+            taken[rows, p] = covered[rows, p] = True
+            covered[rows] |= slack * between[rows, p] <= own[rows]
+    return chosen
 
 
 @dataclass
 class Found:
-    """Results of a graph search: (score, node), best first, and what it cost."""
+    """Results of a graph search: (score, node), best first, and what it cost.
+
+    worst_approximate: the least approximate score among the results, infinite if
+    there are fewer than asked for.
+    """
 
     results: list[tuple[float, int]]
     visited: int = 0
     expanded: int = 0
     expanded_base: int = 0
+    reranked: int = 0
+    worst_approximate: float = float("inf")
+    walk: Walk | None = None
+
+
+class Walk:
+    """A best-first walk through one layer, which can be taken up again for more results.
+
+    A filter decides what is a result, not where the walk may go.
+    """
+
+    def __init__(self, adjacent: dict[int, list[int]], score, start: list[tuple[float, int]], accept=None, threshold: float | None = None) -> None:
+        self.adjacent, self.score, self.accept, self.threshold = adjacent, score, accept, threshold
+        self.seen = {n for _, n in start}
+        self.open = [(-s, n) for s, n in start]
+        heapq.heapify(self.open)
+        self.spare: list[tuple[float, int]] = []  # results that found no room yet, best first
+        self.visited, self.expanded = len(start), 0
+        for s, n in start:
+            self._offer(s, n)
+
+    def _offer(self, s: float, n: int) -> None:
+        if (self.accept is None or self.accept(n)) and (self.threshold is None or s >= self.threshold):
+            heapq.heappush(self.spare, (-s, n))
+
+    def next(self, width: int) -> list[tuple[float, int]]:
+        """The ``width`` best results that were not given yet."""
+        best: list[tuple[float, int]] = []  # the least of them first
+
+        def fill() -> None:
+            while self.spare and (len(best) < width or -self.spare[0][0] > best[0][0]):
+                s, n = heapq.heappop(self.spare)
+                heapq.heappush(best, (-s, -n))
+                if len(best) > width:
+                    s, n = heapq.heappop(best)
+                    heapq.heappush(self.spare, (-s, -n))
+
+        fill()
+        top, fruitless = -np.inf, 0
+        while self.open:
+            s, node = self.open[0]
+            if len(best) >= width and -s < best[0][0]:
+                break
+            if self.threshold is not None and fruitless >= PATIENCE and -s < self.threshold:
+                break  # the frontier is below the threshold and has not come nearer for long
+            heapq.heappop(self.open)
+            self.expanded += 1
+            fruitless += 1
+            fresh = [n for n in self.adjacent.get(node, ()) if n not in self.seen]
+            if not fresh:
+                continue
+            self.seen.update(fresh)
+            self.visited += len(fresh)
+            for n, score in zip(fresh, self.score(fresh).tolist()):
+                if score > top or (self.threshold is not None and score >= self.threshold):
+                    top, fruitless = max(top, score), 0
+                heapq.heappush(self.open, (-score, n))
+                self._offer(score, n)
+            fill()
+        return sorted(((s, -n) for s, n in best), key=lambda x: (-x[0], x[1]))
 
 
 @dataclass
 class Graph:
-    """Layers of neighbour lists over the rows of ``vectors``; rows are nodes."""
+    """Layers of neighbour lists over the rows of ``vectors``, in order of ``ids``; rows are nodes."""
 
     vectors: np.ndarray
     ids: np.ndarray
@@ -59,98 +170,248 @@ class Graph:
     layers: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
     entry: int | None = None
     deleted: set[int] = field(default_factory=set)
+    codes: np.ndarray | None = None
 
     def scores(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         s = similarity(self.metric, q, self.vectors[nodes])
         return np.where(np.isnan(s), -np.inf, s)
 
+    def provider(self, q: np.ndarray, codec=None):
+        """Scores of nodes for a query: exact, or approximate by the codes of the nodes."""
+        if codec is None:
+            return lambda nodes: self.scores(q, nodes)
+        tables = codec.tables(q[None], "l2" if self.metric == "l2" else "dot")
+
+        def approximate(nodes: list[int]) -> np.ndarray:
+            s = codec.scores(q[None], self.codes[nodes], self.metric, tables)[0]
+            return np.where(np.isnan(s), -np.inf, s)
+
+        return approximate
+
     # searching
 
-    def _layer(self, q: np.ndarray, level: int, start: list[tuple[float, int]], width: int, accept=None, threshold: float | None = None) -> Found:
-        """Best-first search of a layer, ``width`` results wide.
+    def search(self, q: np.ndarray, k: int, rerank_k: int | None = None, threshold: float | None = None, accept=None, floor: float | None = None, codec=None) -> Found:
+        """The k best nodes; ``rerank_k`` widens the search.
 
-        The filter decides what is a result, not where the search may go.
+        With a codec the walk goes by approximate scores, and the ``rerank_k`` best
+        get exact ones: all that reach ``floor``, or the first if none does.  The
+        threshold holds for the scores that the walk goes by.
         """
-        adjacent = self.layers[level]
-        seen = {n for _, n in start}
-        open_ = [(-s, n) for s, n in start]
-        heapq.heapify(open_)
-        ok = lambda n, s: (accept is None or accept(n)) and (threshold is None or s >= threshold)
-        results = [(s, -n) for s, n in start if ok(n, s)]
-        heapq.heapify(results)
-        recent: list[float] = []
-        best: list[float] = []
-        out = Found([], visited=len(start))
-        while open_:
-            s, node = open_[0]
-            if len(results) >= width and -s < results[0][0]:
-                break
-            heapq.heappop(open_)
-            out.expanded += 1
-            fresh = [n for n in adjacent.get(node, ()) if n not in seen]
-            if fresh:
-                seen.update(fresh)
-                out.visited += len(fresh)
-                for n, score in zip(fresh, self.scores(q, fresh).tolist()):
-                    if len(results) < width or score >= results[0][0] or threshold is not None:
-                        heapq.heappush(open_, (-score, n))
-                    if ok(n, score):
-                        heapq.heappush(results, (score, -n))
-                        if len(results) > width:
-                            heapq.heappop(results)
-                    if threshold is not None:
-                        recent.append(score)
-                        heapq.heappush(best, score)
-                        if len(best) > 100:
-                            heapq.heappop(best)
-                if threshold is not None and len(recent) >= 500 and out.visited % 100 < len(fresh):
-                    # far from the threshold for long: nothing better is near
-                    high = float(np.quantile(recent[-500:], 0.99))
-                    if high < best[0] and high < threshold:
-                        break
-        out.results = sorted(((s, -n) for s, n in results), key=lambda x: (-x[0], self.ids[x[1]]))
-        return out
-
-    def search(self, q: np.ndarray, k: int, rerank_k: int | None = None, threshold: float | None = None, accept=None) -> Found:
-        """The k best nodes; ``rerank_k`` widens the search."""
         width = k if rerank_k is None else rerank_k
         if width < k:
             raise ValueError(f"rerank_k {width} must be at least k {k}")
         if self.entry is None:
             return Found([])
         q = np.asarray(q, dtype=np.float64)
-        start = [(float(self.scores(q, [self.entry])[0]), self.entry)]
+        score = self.provider(q, codec)
+        start = [(float(score([self.entry])[0]), self.entry)]
         visited = expanded = 0
         for level in range(len(self.layers) - 1, 0, -1):  # down the hierarchy, unfiltered
-            found = self._layer(q, level, start, 1)
-            visited, expanded = visited + found.visited, expanded + found.expanded
-            start = found.results[:1] or start
+            walk = Walk(self.layers[level], score, start)
+            start = walk.next(1) or start
+            visited, expanded = visited + walk.visited, expanded + walk.expanded
         live = (lambda n: n not in self.deleted and (accept is None or accept(n))) if self.deleted or accept else None
-        found = self._layer(q, 0, start, width, live, threshold)
-        return Found(found.results[:k], visited + found.visited, expanded + found.expanded, found.expanded)
+        walk = Walk(self.layers[0], score, start, live, threshold)
+        found = walk.next(width)
+        return self._found(q, found, k, floor, codec, walk, visited, expanded)
+
+    def resume(self, q: np.ndarray, before: Found, k: int, rerank_k: int | None = None, floor: float | None = None, codec=None) -> Found:
+        """The next k after an earlier search, whose walk goes on from where it stood."""
+        return self._found(np.asarray(q, dtype=np.float64), before.walk.next(k if rerank_k is None else rerank_k), k, floor, codec, before.walk, 0, 0)
+
+    def _found(self, q: np.ndarray, found: list[tuple[float, int]], k: int, floor: float | None, codec, walk: Walk, visited: int, expanded: int) -> Found:
+        reranked, worst = 0, float("inf")
+        if codec is not None:
+            chosen = [x for x in found if floor is None or x[0] >= floor] or found[:1]
+            exact = self.scores(q, [n for _, n in chosen]).tolist() if chosen else []
+            both = sorted(((e, n, s) for e, (s, n) in zip(exact, chosen)), key=lambda x: (-x[0], x[1]))[:k]
+            reranked, worst = len(chosen), min((s for *_, s in both), default=worst) if len(both) == k else worst
+            # what has no room now comes with the next page
+            given = {n for _, n, _ in both}
+            for s, n in found:
+                if n not in given:
+                    heapq.heappush(walk.spare, (-s, n))
+            results = [(e, n) for e, n, _ in both]
+        else:
+            results = found[:k]
+            for s, n in found[k:]:
+                heapq.heappush(walk.spare, (-s, n))
+        return Found(results, visited + walk.visited, expanded + walk.expanded, walk.expanded, reranked, worst, walk)
 
     # building
 
     def diverse(self, q: np.ndarray, candidates: list[tuple[float, int]], degree: int) -> list[int]:
-        """Of the candidates (best first), those that no chosen one is clearly nearer to than q; the slack grows until there are enough."""
-        if len(candidates) <= 1:
-            return [n for _, n in candidates[:degree]]
+        """Of the candidates (best first), those that pruning leaves of a node at q."""
+        if not candidates:
+            return []
         nodes = [n for _, n in candidates]
-        rows = self.vectors[nodes]
-        between = search.block_scores(self.metric, rows, rows)
-        own = np.array([s for s, _ in candidates])
-        chosen: list[int] = []
-        slack = 1.0
-        while slack <= self.options.alpha + 1e-6 and len(chosen) < degree:
-            for i in range(len(nodes)):
-                if len(chosen) == degree:
-                    break
-                if i not in chosen and (not chosen or (between[i, chosen] <= own[i] * slack).all()):
-                    chosen.append(i)
-            slack += 0.2
-        return [nodes[i] for i in sorted(chosen, key=lambda i: (-own[i], self.ids[nodes[i]]))]
+        own = distances(self.metric, np.array([s for s, _ in candidates]))
+        between = distances(self.metric, search.block_scores(self.metric, self.vectors[nodes], self.vectors[nodes]))
+        chosen = pruned(own[None], between[None], degree, self.options.alpha)[0]
+        return [nodes[i] for i in chosen[chosen >= 0]]
+
+    def _choose(self, nodes: np.ndarray, pools: list[np.ndarray], degree: int) -> list[list[int]]:
+        """Neighbours of each node out of its pool of other nodes; pools of like size are pruned together."""
+        out: list[list[int]] = [[] for _ in nodes]
+        sizes = np.array([len(p) for p in pools])
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        at = 0
+        while at < len(order):
+            step = max(1, search.SCORES // max(1, int(sizes[order[min(len(order) - 1, at + 255)]]) ** 2))
+            part = order[at : at + min(256, step)]
+            at += len(part)
+            width = int(sizes[part].max())
+            pool = np.zeros((len(part), width), dtype=np.int64)
+            there = np.arange(width)[None] < sizes[part][:, None]
+            pool[there] = np.concatenate([pools[i] for i in part])
+            own = np.where(there, distances(self.metric, self._pair_scores(nodes[part][:, None], pool)[:, 0]), np.inf)
+            near = np.lexsort((self.ids[pool], own))  # nearest first, so that ties go by id
+            pool, own = np.take_along_axis(pool, near, 1), np.take_along_axis(own, near, 1)
+            chosen = pruned(own, distances(self.metric, self._pair_scores(pool, pool)), degree, self.options.alpha)
+            for row, i in enumerate(part):
+                out[i] = pool[row, chosen[row][chosen[row] >= 0]].tolist()
+        return out
+
+    def _pair_scores(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Scores of each node of a row of ``left`` with each of the same row of ``right``."""
+        a, b = self.vectors[left], self.vectors[right]
+        product = a @ b.transpose(0, 2, 1)
+        if self.metric == "dot":
+            return (1 + product) / 2
+        a2, b2 = (a * a).sum(axis=2)[:, :, None], (b * b).sum(axis=2)[:, None]
+        if self.metric == "l2":
+            return 1 / (1 + np.maximum(0, a2 + b2 - 2 * product))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (1 + product / np.sqrt(a2 * b2)) / 2
+
+    def _nearest(self, nodes: np.ndarray, among: np.ndarray, k: int) -> list[np.ndarray]:
+        """The k nearest others of each node, by blocks of products."""
+        out = []
+        step = max(1, search.SCORES // max(1, len(among)))
+        for start in range(0, len(nodes), step):
+            rows = nodes[start : start + step]
+            s = search.block_scores(self.metric, self.vectors[rows], self.vectors[among])
+            s = np.where(np.isnan(s), -np.inf, s)
+            s[rows[:, None] == among[None]] = -np.inf
+            wide = min(k, len(among))
+            top = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
+            out += [among[t[np.isfinite(v)]] for t, v in zip(top, np.take_along_axis(s, top, 1))]
+        return out
+
+    def _layer_lists(self, level: int, nodes: np.ndarray, pools: list[np.ndarray]) -> None:
+        """Neighbour lists of a layer: each node's own choice, then with those who chose it."""
+        degree = self.options.layer_degree(level)
+        lists = self._choose(nodes, pools, degree)
+        both = {int(n): set(near) for n, near in zip(nodes, lists)}
+        for n, near in zip(nodes.tolist(), lists):
+            for other in near:
+                both[other].add(n)
+        full = [n for n in nodes.tolist() if len(both[n]) > degree]
+        adjacent = {n: sorted(near, key=lambda x: self.ids[x]) for n, near in both.items()}
+        # of very many only the nearest count, as a list takes the nearest first
+        wide = 8 * self.options.beam
+        cut = [np.array(adjacent[n]) if len(adjacent[n]) <= wide else self._nearest(np.array([n]), np.array(adjacent[n]), wide)[0] for n in full]
+        adjacent |= dict(zip(full, self._choose(np.array(full, dtype=np.int64), cut, degree)))
+        self.layers[level] = adjacent
+        self._connect(level)
+
+    def reached(self, level: int) -> set[int]:
+        """Nodes of a layer that a walk can come to from the entry, or from the least node if that is not in it."""
+        adjacent = self.layers[level]
+        if not adjacent:
+            return set()
+        first = self.entry if self.entry in adjacent else min(adjacent, key=lambda n: self.ids[n])
+        seen, open_ = {first}, [first]
+        while open_:
+            fresh = {n for node in open_ for n in adjacent[node]} - seen
+            seen |= fresh
+            open_ = list(fresh)
+        return seen
+
+    def _connect(self, level: int) -> None:
+        """Let the nearest reached node with room point to each part that a walk cannot come to."""
+        adjacent, degree = self.layers[level], self.options.layer_degree(level)
+        seen = self.reached(level)
+        for node in sorted(adjacent.keys() - seen, key=lambda n: self.ids[n]):
+            if node in seen:
+                continue
+            there = np.array(sorted(seen))
+            room = np.array([n for n in there if len(adjacent[n]) < degree])
+            if len(room):
+                near = int(room[np.argmax(self.scores(self.vectors[node], room))])
+                adjacent[near].append(node)
+            else:
+                near = int(there[np.argmax(self.scores(self.vectors[node], there))])
+                adjacent[near][-1] = node
+            seen, open_ = seen | {node}, [node]
+            while open_:
+                fresh = {n for o in open_ for n in adjacent[o]} - seen
+                seen |= fresh
+                open_ = list(fresh)
+
+    def _far(self, nodes: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """A few other nodes for each, by a hash of its id."""
+        return among[(mixed(self.ids[nodes][:, None] * FAR + np.arange(FAR)) % np.uint64(len(among))).astype(np.int64)]
+
+    def _start(self) -> None:
+        """Empty layers and the entry: the node of the highest level, the least of these."""
+        tops = draw_levels(self.ids, self.options)
+        self.layers = [{} for _ in range(int(tops.max()) + 1 if len(tops) else 1)]
+        self.entry = int(np.lexsort((self.ids, -tops))[0]) if len(tops) else None
+        self._tops = tops
+
+    @classmethod
+    def build(cls, ids: np.ndarray, vectors: np.ndarray, metric: str, options: BuildOptions) -> Graph:
+        """A graph in one batch: candidates of a node are its ``beam`` nearest and a few far ones."""
+        order = np.argsort(ids, kind="stable")
+        graph = cls(np.asarray(vectors, dtype=np.float64)[order], np.asarray(ids)[order], metric, options)
+        graph._start()
+        for level in range(len(graph.layers)):
+            nodes = np.flatnonzero(graph._tops >= level)
+            near, far = graph._nearest(nodes, nodes, options.beam), graph._far(nodes, nodes)
+            graph._layer_lists(level, nodes, [(u := np.unique(np.concatenate([a, b])))[u != n] for n, a, b in zip(nodes, near, far)])
+        return graph
+
+    @classmethod
+    def merge(cls, parts: list[Graph], options: BuildOptions) -> Graph:
+        """One graph of the live nodes of several, whose ids differ.
+
+        Candidates of a node are its neighbours in its own graph, what deleted ones
+        among these pointed to, its nearest nodes in every other graph, and a few
+        far ones.  No node is searched for in its own graph again.
+        """
+        live = [np.array([n not in p.deleted for n in range(len(p.ids))], dtype=bool) for p in parts]
+        ids = np.concatenate([p.ids[k] for p, k in zip(parts, live)])
+        if len(np.unique(ids)) != len(ids):
+            raise ValueError("an id stands in several graphs")
+        order = np.argsort(ids, kind="stable")
+        graph = cls(np.concatenate([p.vectors[k] for p, k in zip(parts, live)])[order], ids[order], parts[0].metric, options)
+        graph._start()
+        source = np.repeat(np.arange(len(parts)), [int(k.sum()) for k in live])[order]
+        place = [dict(zip(np.flatnonzero(k).tolist(), np.searchsorted(graph.ids, p.ids[k]).tolist())) for p, k in zip(parts, live)]
+        known: dict[int, set[int]] = {}
+        for p, to in zip(parts, place):
+            for node, near in p.layers[0].items():
+                if node in to:
+                    pool = set(near) | {n for x in near if x in p.deleted for n in p.layers[0].get(x, ())}
+                    known[to[node]] = {to[n] for n in pool if n in to}
+        for level in range(len(graph.layers)):
+            nodes = np.flatnonzero(graph._tops >= level)
+            pools: dict[int, set[int]] = {int(n): set(known.get(int(n), ())) if level == 0 else set() for n in nodes}
+            for i in range(len(parts)):
+                of = nodes[source[nodes] == i]
+                ask = nodes[source[nodes] != i] if level == 0 else nodes
+                if len(of) and len(ask):
+                    for n, near in zip(ask.tolist(), graph._nearest(ask, of, options.beam)):
+                        pools[n].update(near.tolist())
+            for n, far in zip(nodes.tolist(), graph._far(nodes, nodes)):
+                pools[n].update(far.tolist())
+            graph._layer_lists(level, nodes, [np.array(sorted(pools[int(n)] - {int(n)}), dtype=np.int64) for n in nodes])
+        return graph
 
     def _link(self, level: int, node: int, candidates: list[tuple[float, int]]) -> None:
+        """Give a node its neighbours, and let them point back, within the overflow."""
         degree = self.options.layer_degree(level)
         adjacent = self.layers[level]
         adjacent[node] = self.diverse(self.vectors[node], candidates, degree)
@@ -167,28 +428,27 @@ class Graph:
         order = sorted(range(len(near)), key=lambda i: (-s[i], self.ids[near[i]]))
         self.layers[level][node] = self.diverse(self.vectors[node], [(float(s[i]), near[i]) for i in order], degree)
 
-    def add(self, node: int) -> None:
-        top = draw_level(int(self.ids[node]), self.options)
+    def add(self, id_: int, vector: np.ndarray) -> int:
+        """Insert one more vector, by a search for its neighbours; ids must come in ascending order."""
+        if len(self.ids) and id_ <= self.ids[-1]:
+            raise ValueError("ids must come in ascending order")
+        node, vector = len(self.ids), np.asarray(vector, dtype=np.float64)
+        self.vectors, self.ids = np.concatenate([self.vectors, vector[None]]) if node else vector[None], np.append(self.ids, id_)
+        top = int(draw_levels(np.array([id_]), self.options)[0])
+        entry_top = -1 if self.entry is None else max(level for level, a in enumerate(self.layers) if self.entry in a)
         while len(self.layers) <= top:
             self.layers.append({})
-        if self.entry is None:
-            for level in range(top + 1):
-                self.layers[level][node] = []
-            self.entry = node
-            return
-        q = self.vectors[node]
-        start = [(float(self.scores(q, [self.entry])[0]), self.entry)]
-        entry_top = max(level for level, a in enumerate(self.layers) if self.entry in a)
-        for level in range(len(self.layers) - 1, -1, -1):
-            if level > entry_top:
-                self.layers[level].setdefault(node, [])
-                continue
-            found = self._layer(q, level, start, self.options.beam if level <= top else 1)
-            start = found.results or start
+        score = self.provider(vector)
+        start = [] if self.entry is None else [(float(score([self.entry])[0]), self.entry)]
+        for level in range(entry_top, -1, -1):
+            start = Walk(self.layers[level], score, start).next(self.options.beam if level <= top else 1) or start
             if level <= top:
-                self._link(level, node, [(s, n) for s, n in found.results if n != node])
+                self._link(level, node, start)
+        for level in range(entry_top + 1, top + 1):
+            self.layers[level][node] = []
         if top > entry_top:
             self.entry = node
+        return node
 
     def finish(self) -> Graph:
         """Search every node again if asked to, and bring all lists down to their degree."""
@@ -196,26 +456,27 @@ class Graph:
             for level in range(min(2, len(self.layers)) - 1, -1, -1):
                 for node in list(self.layers[level]):
                     near = self.layers[level][node]
-                    if not near:
-                        continue
-                    start = [(float(self.scores(self.vectors[node], [near[0]])[0]), near[0])]
-                    found = self._layer(self.vectors[node], level, start, self.options.beam)
-                    merged = {n: s for s, n in found.results if n != node}
-                    merged |= dict(zip(near, self.scores(self.vectors[node], near).tolist()))
-                    self._link(level, node, sorted(((s, n) for n, s in merged.items()), key=lambda x: (-x[0], self.ids[x[1]])))
+                    if near:
+                        score = self.provider(self.vectors[node])
+                        found = Walk(self.layers[level], score, [(float(score(near[:1])[0]), near[0])]).next(self.options.beam)
+                        merged = {n: s for s, n in found if n != node} | dict(zip(near, score(near).tolist()))
+                        self._link(level, node, sorted(((s, n) for n, s in merged.items()), key=lambda x: (-x[0], self.ids[x[1]])))
         for level, adjacent in enumerate(self.layers):
             for node in list(adjacent):
                 if len(adjacent[node]) > self.options.layer_degree(level):
                     self._prune(level, node, self.options.layer_degree(level))
         return self
 
-    @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray, metric: str, options: BuildOptions) -> Graph:
-        order = np.argsort(ids, kind="stable")
-        graph = cls(np.asarray(vectors, dtype=np.float64)[order], np.asarray(ids)[order], metric, options)
-        for node in range(len(order)):
-            graph.add(node)
-        return graph.finish()
+    def check(self) -> Graph:
+        """An error if the entry is not where a search can start, or a list names what is not there."""
+        nodes = self.layers[0].keys()
+        if (self.entry is None) != (not nodes) or (nodes and self.entry not in self.layers[-1]):
+            raise ValueError("the entry is not a node of the highest layer")
+        for level, adjacent in enumerate(self.layers):
+            below = self.layers[level - 1].keys() if level else adjacent.keys()
+            if not adjacent.keys() <= below or any(n == node or n not in adjacent for node, near in adjacent.items() for n in near):
+                raise ValueError(f"layer {level} points to what is not in it")
+        return self
 
     # deleting
 
@@ -267,24 +528,36 @@ class Graph:
         return pd.DataFrame(out, columns=["segment", "level", "node", "neighbors", "scores", "entry"])
 
     @classmethod
-    def from_rows(cls, rows: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, metric: str, options: BuildOptions) -> Graph:
+    def from_rows(cls, rows: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, metric: str, options: BuildOptions, parts: int = 0) -> Graph:
+        """A graph from its rows; with ``parts`` codes of so many numbers come from those beside the neighbours."""
         order = np.argsort(ids, kind="stable")
         graph = cls(np.asarray(vectors, dtype=np.float64)[order], np.asarray(ids)[order], metric, options)
         place = {int(v): i for i, v in enumerate(graph.ids)}
         graph.layers = [{} for _ in range(int(rows.level.max()) + 1 if len(rows) else 1)]
+        if parts:
+            graph.codes = np.zeros((len(graph.ids), parts), dtype=np.int64)
         for r in rows.itertuples():
             graph.layers[r.level][place[r.node]] = [place[n] for n in r.neighbors if n in place]
             if r.entry:
                 graph.entry = place[r.node]
+            if parts:
+                graph.codes[place[r.node]] = r.codes
+                for n, c in zip(r.neighbors, r.neighbor_codes):
+                    graph.codes[place[n]] = c
         return graph
 
 
 GRAPH = "segment int, level int, node long, neighbors array<long>, scores array<double>, entry boolean"
 
 
-def with_segment(vectors: DataFrame, n: int, id_col: str = "vec_id") -> DataFrame:
-    """A segment number from a hash of the id; choose n so that a segment fits in a task."""
-    return vectors.withColumn("segment", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
+def segments_for(rows: int, most: int = SEGMENT_ROWS) -> int:
+    """Segments of about ``most`` rows, which a task can hold."""
+    return max(1, -(-rows // most))
+
+
+def with_segment(vectors: DataFrame, n: int | None = None, id_col: str = "vec_id") -> DataFrame:
+    """A segment number from a hash of the id; without n by the number of rows."""
+    return vectors.withColumn("segment", F.pmod(F.xxhash64(id_col), F.lit(n or segments_for(vectors.count()))).cast("int"))
 
 
 def build(vectors: DataFrame, metric: str = "cosine", options: BuildOptions = BuildOptions()) -> DataFrame:
@@ -297,39 +570,68 @@ def build(vectors: DataFrame, metric: str = "cosine", options: BuildOptions = Bu
     return vectors.select("segment", "vec_id", "embedding").groupBy("segment").applyInPandas(one, GRAPH)
 
 
-RESULT = "query_id long, vec_id long, score double, visited long, expanded long, expanded_base long"
+def compact(graph: DataFrame, vectors: DataFrame, targets: int, deleted: DataFrame | None = None, metric: str = "cosine", options: BuildOptions = BuildOptions()) -> DataFrame:
+    """Graphs of ``targets`` segments out of those of more, without the deleted ids; segment s goes to s modulo targets.
+
+    The base belongs to the result with its segment taken likewise.
+    """
+    importable(graph.sparkSession)
+    to = F.pmod(F.col("segment"), F.lit(targets)).cast("int")
+    rows = vectors.select("segment", "vec_id", "embedding").withColumn("target", to)
+    rows = rows.join(deleted.select("vec_id", F.lit(True).alias("gone")).distinct(), "vec_id", "left") if deleted is not None else rows.withColumn("gone", F.lit(None).cast("boolean"))
+
+    def one(key, edges: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for segment, own in edges.groupby("segment"):
+            base = pdf[pdf["segment"] == segment]
+            g = Graph.from_rows(own, base["vec_id"].to_numpy(), np.stack(base["embedding"].to_numpy()), metric, options)
+            gone = set(base.loc[base["gone"].notna(), "vec_id"])
+            g.delete({i for i, v in enumerate(g.ids) if v in gone})
+            parts.append(g)
+        if not any(len(p.ids) > len(p.deleted) for p in parts):
+            return edges[:0].drop(columns="target")
+        return Graph.merge(parts, options).check().rows(int(key[0]))
+
+    return graph.withColumn("target", to).groupBy("target").cogroup(rows.groupBy("target")).applyInPandas(one, GRAPH)
+
+
+RESULT = "query_id long, vec_id long, score double, visited long, expanded long, expanded_base long, reranked long, worst_approximate double"
 
 
-def _searcher(shared, k: int, metric: str, rerank_k: int | None, threshold: float | None, filtered: bool, exclude_self: bool, options: BuildOptions):
-    columns = ["query_id", "vec_id", "score", "visited", "expanded", "expanded_base"]
+def _searcher(shared, k: int, metric: str, rerank_k: int | None, threshold: float | None, filtered: bool, exclude_self: bool, options: BuildOptions, floor: float | None, codec):
+    columns = [c.split()[0] for c in RESULT.split(", ")]
 
     def one(edges: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(edges) or not len(rows):
             return pd.DataFrame(columns=columns)
-        g = Graph.from_rows(edges, rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()), metric, options)
+        g = Graph.from_rows(edges, rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()), metric, options, codec.value.m if codec else 0)
         good = np.isin(g.ids, rows.loc[rows["ok"].fillna(False).astype(bool), "vec_id"]) if filtered else np.ones(len(g.ids), dtype=bool)
         found = []
         for i, q in zip(*shared.value):
-            r = g.search(q, k, rerank_k, threshold, (lambda n, i=i: good[n] and (not exclude_self or g.ids[n] != i)) if filtered or exclude_self else None)
-            found += [(int(i), int(g.ids[n]), s, r.visited, r.expanded, r.expanded_base) for s, n in r.results]
+            r = g.search(q, k, rerank_k, threshold, (lambda n, i=i: good[n] and (not exclude_self or g.ids[n] != i)) if filtered or exclude_self else None, floor, codec.value if codec else None)
+            found += [(int(i), int(g.ids[n]), s, r.visited, r.expanded, r.expanded_base, r.reranked, r.worst_approximate) for s, n in r.results]
         return pd.DataFrame(found, columns=columns)
 
     return one
 
 
-def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", rerank_k: int | None = None, threshold: float | None = None, accept: Column | None = None, exclude_self: bool = True, options: BuildOptions = BuildOptions(), block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
+def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", rerank_k: int | None = None, threshold: float | None = None, accept: Column | None = None, exclude_self: bool = True, options: BuildOptions = BuildOptions(), block_bytes: int = search.BLOCK_BYTES, floor: float | None = None, codec=None) -> DataFrame:
     """Approximate search in every segment, ranked together; counters are sums over segments.
 
     accept: a condition on rows of ``vectors``.  Queries go to the segments in
-    blocks of bounded size.
+    blocks of bounded size.  codec: walk by the codes that ``with_codes`` has put
+    beside the neighbours, and rescore the ``rerank_k`` best as in ``Graph.search``.
     """
     spark = importable(vectors.sparkSession)
+    if codec is not None and "neighbor_codes" not in graph.columns:
+        raise ValueError("this graph has no codes beside its neighbours")
     base = vectors.select("segment", "vec_id", "embedding", (accept if accept is not None else F.lit(True)).alias("ok"))
+    shared_codec = spark.sparkContext.broadcast(codec) if codec is not None else None
     out = None
     for ids, block in search.query_blocks(queries, "vec_id", "embedding", block_bytes):
-        shared = spark.sparkContext.broadcast((ids, block))
+        shared = spark.sparkContext.broadcast((ids, block.astype(np.float64)))
 
-        part = graph.groupBy("segment").cogroup(base.groupBy("segment")).applyInPandas(_searcher(shared, k, metric, rerank_k, threshold, accept is not None, exclude_self, options), RESULT)
+        part = graph.groupBy("segment").cogroup(base.groupBy("segment")).applyInPandas(_searcher(shared, k, metric, rerank_k, threshold, accept is not None, exclude_self, options, floor, shared_codec), RESULT)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], RESULT)
 
@@ -368,7 +670,8 @@ def rescored(graph: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
 
 
 def with_codes(graph: DataFrame, codes: DataFrame) -> DataFrame:
-    """Each node with its neighbours' codes beside it, in order, so that one row serves a step of the search."""
-    edges = graph.select("segment", "level", "node", F.posexplode("neighbors").alias("place", "vec_id")).join(codes, "vec_id")
-    lists = edges.groupBy("segment", "level", "node").agg(F.array_sort(F.collect_list(F.struct("place", "codes"))).alias("x"))
-    return graph.join(lists, ["segment", "level", "node"], "left").withColumn("neighbor_codes", F.coalesce(F.col("x.codes"), F.array().cast("array<array<int>>"))).drop("x")
+    """Each node with its code and its neighbours' codes beside it, in order, so that one row serves a step of the search."""
+    edges = graph.select("segment", "level", "node", F.posexplode("neighbors").alias("place", "vec_id")).join(codes.select("vec_id", F.col("codes").alias("near")), "vec_id")
+    lists = edges.groupBy("segment", "level", "node").agg(F.array_sort(F.collect_list(F.struct("place", "near"))).alias("x"))
+    own = graph.join(codes.select(F.col("vec_id").alias("node"), "codes"), "node")
+    return own.join(lists, ["segment", "level", "node"], "left").withColumn("neighbor_codes", F.coalesce(F.col("x.near"), F.array().cast("array<array<int>>"))).drop("x")

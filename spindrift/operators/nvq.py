@@ -106,6 +106,31 @@ class NonUniformQuantizer:
     def decode(self, parts: list[dict[str, np.ndarray]]) -> np.ndarray:
         return np.concatenate([values(p["levels"].astype(float), p["rate"][:, None], p["low"][:, None], p["high"][:, None]) for p in parts], axis=1) + self.mean
 
+    def scores(self, queries: np.ndarray, parts: list[dict[str, np.ndarray]], metric: str) -> np.ndarray:
+        """Scores of each query with each code, part by part; no decoded vector is put together.
+
+        What a part gives to a product, a length or a distance is taken from its
+        own levels, moved by the mean where the metric asks for it.
+        """
+        product = np.zeros((len(queries), len(parts[0]["rate"])))
+        length2 = np.zeros(product.shape[1])
+        away = np.zeros_like(product)
+        for (a, s), p in zip(quantize.subspaces(len(self.mean), self.m), parts):
+            x = values(p["levels"].astype(float), p["rate"][:, None], p["low"][:, None], p["high"][:, None])
+            q, mean = queries[:, a : a + s], self.mean[a : a + s]
+            if metric == "l2":
+                moved = q - mean
+                away += (moved * moved).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * moved @ x.T
+            else:
+                product += q @ x.T + (q @ mean)[:, None]
+                length2 += ((x + mean) ** 2).sum(axis=1)
+        if metric == "l2":
+            return 1 / (1 + np.maximum(0, away))
+        if metric == "dot":
+            return (1 + product) / 2
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (1 + product / np.sqrt((queries * queries).sum(axis=1)[:, None] * length2[None])) / 2
+
     def errors(self, points: np.ndarray) -> np.ndarray:
         return ((points - self.decode(self.encode(points))) ** 2).mean(axis=1)
 
@@ -163,3 +188,10 @@ def nvq_decode(encoded: DataFrame, codec: NonUniformQuantizer) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.ListArray.from_arrays(offsets, flat)], names=["vec_id", "embedding"])
 
     return encoded.select("vec_id", "parts").mapInArrow(run, "vec_id long, embedding array<float>")
+
+
+def nvq_search(encoded: DataFrame, queries: DataFrame, codec: NonUniformQuantizer, k: int | None, metric: str = "cosine", exclude_self: bool = True, threshold: float | None = None, block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
+    """The k best by the scores of the codes themselves, as (query_id, rank, vec_id, score)."""
+    blocks = ((ids, (codec, q.astype(np.float64))) for ids, q in search.query_blocks(queries, "vec_id", "embedding", block_bytes))
+    found = search.scan(encoded.select("vec_id", "parts"), blocks, lambda batch: unpack(batch.column("parts").to_pylist()), lambda q, parts: q[0].scores(q[1], parts, metric), None, k, threshold, exclude_self)
+    return search.ranked(found, k)

@@ -32,9 +32,8 @@ def subspaces(dim: int, m: int) -> list[tuple[int, int]]:
 
 def sample(vectors: DataFrame, n: int = MAX_TRAINING, id_col: str = "vec_id", vec_col: str = "embedding") -> np.ndarray:
     """At most n vectors, those whose ids hash lowest: the same ones each time."""
-    rows = vectors.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).filter("v is not null").orderBy(F.xxhash64("i"), "i").limit(n)
-    found = [r.v for r in rows.collect()]
-    return np.array(found, dtype=np.float64)
+    rows = vectors.select(F.col(id_col).alias("i"), F.col(vec_col).cast("array<float>").alias("v")).filter("v is not null").orderBy(F.xxhash64("i"), "i").limit(n)
+    return search.matrix(rows.select("v").toArrow().column("v").combine_chunks())
 
 
 def balanced_sample(sources: list[DataFrame], n: int = MAX_TRAINING, least: int = 1000, id_col: str = "vec_id") -> DataFrame:
@@ -143,16 +142,39 @@ class ProductQuantizer:
 
     def table(self, query: np.ndarray, metric: str) -> np.ndarray:
         """Partial sums of a query with every centroid, k for each subspace."""
+        return self.tables(query[None], metric)[0]
+
+    def tables(self, queries: np.ndarray, metric: str) -> np.ndarray:
+        """Partial sums of each query, a row each."""
         if metric not in ("l2", "dot"):
             raise ValueError("partial sums are for l2 and dot")
-        moved = query - self.center if self.center is not None and metric == "l2" else query
+        moved = queries - self.center if self.center is not None and metric == "l2" else queries
         rows = []
         for (a, s), b in zip(self.parts, self.codebooks):
-            total = np.zeros(len(b))
+            total = np.zeros((len(queries), len(b)))
             for d in range(s):
-                total += (moved[a + d] - b[:, d]) ** 2 if metric == "l2" else moved[a + d] * b[:, d]
+                total += (moved[:, a + d, None] - b[None, :, d]) ** 2 if metric == "l2" else moved[:, a + d, None] * b[None, :, d]
             rows.append(total)
-        return np.concatenate(rows)
+        return np.concatenate(rows, axis=1)
+
+    def looked_up(self, tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Sums of the values that each code has in each query's table."""
+        total = np.zeros((len(tables), len(codes)))
+        for m in range(self.m):
+            total += tables[:, m * self.k + codes[:, m].astype(np.int64)]
+        return total
+
+    def scores(self, queries: np.ndarray, codes: np.ndarray, metric: str, tables: np.ndarray | None = None) -> np.ndarray:
+        """Approximate scores of each query with each code."""
+        tables = self.tables(queries, "l2" if metric == "l2" else "dot") if tables is None else tables
+        total = self.looked_up(tables, codes)
+        if metric == "l2":
+            return 1 / (1 + total)
+        if metric == "dot":
+            return (1 + total) / 2
+        length2 = self.looked_up(self.magnitudes()[None], codes)[0]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (1 + total / np.sqrt(length2[None] * self._sum(queries, queries)[:, None])) / 2
 
     def magnitudes(self) -> np.ndarray:
         """Squared length of every centroid, k for each subspace."""
@@ -165,13 +187,25 @@ class ProductQuantizer:
             total += a[:, d] * b[:, d]
         return total
 
-    def pair_table(self, metric: str) -> np.ndarray:
-        """Partial sums of every unordered pair of centroids of a subspace, as m triangular tables."""
-        rows = []
-        for b in self.codebooks:
-            low, high = np.triu_indices(len(b))
-            rows.append(((b[low] - b[high]) ** 2).sum(axis=1) if metric == "l2" else (b[low] * b[high]).sum(axis=1))
-        return np.concatenate(rows)
+    def pair_tables(self, metric: str) -> list[np.ndarray]:
+        """Partial sums of every pair of centroids, a table of k by k for each subspace."""
+        if metric == "l2":
+            return [((b[:, None] - b[None]) ** 2).sum(axis=2) for b in self.codebooks]
+        return [(b[:, None] * b[None]).sum(axis=2) for b in self.codebooks]
+
+    def code_scores(self, left: np.ndarray, right: np.ndarray, metric: str, tables: list[np.ndarray] | None = None) -> np.ndarray:
+        """Scores of each code with each other code."""
+        tables = self.pair_tables("l2" if metric == "l2" else "dot") if tables is None else tables
+        total = np.zeros((len(left), len(right)))
+        for m, t in enumerate(tables):
+            total += t[left[:, m, None], right[None, :, m]]
+        if metric == "l2":
+            return 1 / (1 + total)
+        if metric == "dot":
+            return (1 + total) / 2
+        own = [sum(t[c[:, m], c[:, m]] for m, t in enumerate(tables)) for c in (left, right)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (1 + total / np.sqrt(own[0][:, None] * own[1][None])) / 2
 
     def sizes(self) -> dict[str, int]:
         """Bytes of a vector, of its code, and of the codebooks as 32-bit numbers."""
@@ -200,63 +234,86 @@ def codebook_rows(spark: SparkSession, codec: ProductQuantizer) -> DataFrame:
     return spark.createDataFrame([(m, c, [float(x) for x in v]) for m, b in enumerate(codec.codebooks) for c, v in enumerate(b)], "m int, c int, centroid array<double>")
 
 
-def literal(values: np.ndarray) -> Column:
-    return F.array(*(F.lit(float(x)) for x in values))
+def from_rows(rows: DataFrame, center: np.ndarray | None = None, weight: float = 1.0) -> ProductQuantizer:
+    """The codec whose codebook a table (m, c, centroid) holds, as ``codebook_rows`` gives it."""
+    books: dict[int, dict[int, list[float]]] = {}
+    for r in rows.toLocalIterator():  # k centroids of the length of a vector in all
+        books.setdefault(r.m, {})[r.c] = r.centroid
+    parts = [np.array([books[m][c] for c in range(len(books[m]))], dtype=np.float64) for m in range(len(books))]
+    return ProductQuantizer(sum(p.shape[1] for p in parts), parts, center, weight)
+
+
+DECODED = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("decoded", T.ArrayType(T.DoubleType()))])
+
+
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def code_matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return search.matrix(batch.column("codes")).astype(np.int64)
 
 
 def pq_decode(codes: DataFrame, codec: ProductQuantizer) -> DataFrame:
     """Vectors again: centroids of the codes in order, and the centre added if there is one."""
-    books = F.array(*(F.array(*(literal(v) for v in b)) for b in codec.codebooks))
-    decoded = F.flatten(F.transform("codes", lambda c, m: F.get(F.get(books, m), c)))
-    if codec.center is not None:
-        decoded = F.zip_with(decoded, literal(codec.center), lambda x, y: x + y)
-    return codes.select("vec_id", decoded.alias("decoded"))
+    shared = importable(codes.sparkSession).sparkContext.broadcast(codec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), lists(shared.value.decode(code_matrix(batch)))], names=DECODED.fieldNames())
+
+    return codes.select("vec_id", "codes").mapInArrow(run, DECODED)
+
+
+TABLES = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("query2", T.DoubleType())])
 
 
 def query_tables(queries: DataFrame, codec: ProductQuantizer, metric: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For each query its table of partial sums, and its squared length."""
-    spark = importable(queries.sparkSession)
-    rows = [(int(r.i), codec.table(np.asarray(r.v, dtype=np.float64), "l2" if metric == "l2" else "dot").tolist(), [float(x) for x in r.v]) for r in queries.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).toLocalIterator()]
-    return spark.createDataFrame(rows, "query_id long, sums array<double>, query array<double>").select("query_id", "sums", V.norm2(F.col("query")).alias("query2"))
-
-
-def pq_scores(codes: DataFrame, tables: DataFrame, codec: ProductQuantizer, metric: str) -> DataFrame:
-    """Approximate scores of all codes for the queries of ``tables``: sums of looked-up values."""
-    k = codec.k
-    # the queries of one block: a table of k * m numbers each, made on the driver
-    pairs = codes.crossJoin(F.broadcast(tables))
-    total = V.lookup_sum(F.col("codes"), F.col("sums"), k)
-    if metric == "l2":
-        value = 1 / (1 + total)
-    elif metric == "dot":
-        value = (1 + total) / 2
-    else:
-        length2 = V.lookup_sum(F.col("codes"), literal(codec.magnitudes()), k)
-        value = (1 + total / F.sqrt(length2 * F.col("query2"))) / 2
-    return pairs.select("query_id", "vec_id", value.alias("score"))
-
-
-def pq_search(codes: DataFrame, queries: DataFrame, codec: ProductQuantizer, k: int, metric: str = "cosine", exclude_self: bool = True) -> DataFrame:
-    """The k best by approximate score; rows of codes are scored where they are, and partial bests meet in the ranking."""
-    scored = pq_scores(codes, query_tables(queries, codec, metric), codec, metric)
-    if exclude_self:
-        scored = scored.filter("query_id <> vec_id")
-    return search.ranked(scored, k)
-
-
-def pq_pair_scores(left: DataFrame, right: DataFrame, codec: ProductQuantizer, metric: str) -> DataFrame:
-    """Scores of code against code for rows of (a, b) joined from both sides, through triangular tables."""
-    k, size = codec.k, codec.k * (codec.k + 1) // 2
-    table = literal(codec.pair_table("l2" if metric == "l2" else "dot"))
-    pairs = left.select(F.col("vec_id").alias("a"), F.col("codes").alias("x")).join(right.select(F.col("vec_id").alias("b"), F.col("codes").alias("y")), F.col("a") < F.col("b"))
-
-    def total(u: Column, v: Column) -> Column:
-        places = F.transform(F.zip_with(u, v, lambda p, q: V.triangle_index(p, q, k)), lambda t, m: (m * size + t).cast("int"))
-        return F.aggregate(places, F.lit(0.0), lambda s, i: s + F.get(table, i))
-
-    x, y = F.col("x"), F.col("y")
-    value = 1 / (1 + total(x, y)) if metric == "l2" else (1 + total(x, y)) / 2 if metric == "dot" else (1 + total(x, y) / F.sqrt(total(x, x) * total(y, y))) / 2
-    return pairs.select("a", "b", value.alias("score"))
+    shared = importable(queries.sparkSession).sparkContext.broadcast(codec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q = search.matrix(batch.column("v"))
+                sums = shared.value.tables(q, "l2" if metric == "l2" else "dot")
+                yield pa.RecordBatch.from_arrays([batch.column("i"), lists(sums), pa.array(shared.value._sum(q, q))], names=TABLES.fieldNames())
+
+    return queries.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")).filter("v is not null").mapInArrow(run, TABLES)
+
+
+def pq_search(codes: DataFrame, queries: DataFrame, codec: ProductQuantizer, k: int | None, metric: str = "cosine", exclude_self: bool = True, threshold: float | None = None, block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
+    """The k best by approximate score: sums of values looked up in the queries' tables, a block of queries at a time.
+
+    Codes are scored where they are, each task keeps its best, and these meet in
+    the ranking.  k None: all, or all that reach the threshold.
+    """
+    if metric not in V.METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    # a query's table has m * k numbers beside the query itself
+    room = max(1, block_bytes // max(1, 1 + codec.m * codec.k // codec.dim))
+
+    def blocks() -> Iterator[tuple[np.ndarray, object]]:
+        for ids, q in search.query_blocks(queries, "vec_id", "embedding", room):
+            q = q.astype(np.float64)
+            yield ids, (codec, q, codec.tables(q, "l2" if metric == "l2" else "dot"))
+
+    found = search.scan(codes.select("vec_id", "codes"), blocks(), code_matrix, lambda q, c: q[0].scores(q[1], c, metric, q[2]), None, k, threshold, exclude_self)
+    return search.ranked(found, k)
+
+
+def pq_code_scores(left: DataFrame, right: DataFrame, codec: ProductQuantizer, metric: str, block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
+    """Scores of code against code, as (query_id, vec_id, score): each row of ``left``, in blocks, with each other row of ``right``."""
+    tables = codec.pair_tables("l2" if metric == "l2" else "dot")
+    blocks = ((ids, (codec, tables, c.astype(np.int64))) for ids, c in search.query_blocks(left, "vec_id", "codes", block_bytes))
+    return search.scan(right.select("vec_id", "codes"), blocks, code_matrix, lambda q, c: q[0].code_scores(q[2], c, metric, q[1]))
+
+
+def pq_pair_scores(left: DataFrame, right: DataFrame, codec: ProductQuantizer, metric: str, block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
+    """Scores of the pairs a of ``left`` and b of ``right`` with a < b."""
+    return pq_code_scores(left, right, codec, metric, block_bytes).filter("query_id < vec_id").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score")
 
 
 # binary
@@ -266,14 +323,25 @@ def bq_encode(vectors: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), V.sign_words(F.col(vec_col), dim).alias("words"))
 
 
-def bq_search(codes: DataFrame, queries: DataFrame, dim: int, k: int, exclude_self: bool = True) -> DataFrame:
-    """The k nearest by Hamming distance, as the score ``1 - distance / dim``; queries are codes too and are broadcast a block at a time."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("words").alias("query"))
-    if exclude_self:
-        pairs = codes.join(F.broadcast(q), F.col("query_id") != F.col("vec_id"))
-    else:
-        pairs = codes.crossJoin(F.broadcast(q))
-    return search.ranked(pairs.select("query_id", "vec_id", (1 - V.hamming(F.col("query"), F.col("words")) / dim).alias("score")), k)
+def bq_scores(codes: DataFrame, queries: DataFrame, dim: int, k: int | None = None, exclude_self: bool = True, block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
+    """Scores ``1 - distance / dim`` by Hamming distance for blocks of queries, which are codes too; all, or the k best that a task meets."""
+
+    def words(column: pa.Array) -> np.ndarray:
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        return flat.astype(np.int64).reshape(len(column), -1)
+
+    def rough(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+        away = np.zeros((len(q), len(b)), dtype=np.int64)
+        for w in range(q.shape[1]):
+            away += np.bitwise_count((q[:, w, None] ^ b[None, :, w]).view(np.uint64))
+        return 1 - away / dim
+
+    return search.scan(codes.select("vec_id", "words"), search.query_blocks(queries, "vec_id", "words", block_bytes), lambda batch: words(batch.column("words")), rough, None, k, None, exclude_self)
+
+
+def bq_search(codes: DataFrame, queries: DataFrame, dim: int, k: int, exclude_self: bool = True, block_bytes: int = search.BLOCK_BYTES) -> DataFrame:
+    """The k nearest by Hamming distance, ranked."""
+    return search.ranked(bq_scores(codes, queries, dim, k, exclude_self, block_bytes), k)
 
 
 def bq_error(vec: Column) -> Column:

@@ -2,15 +2,18 @@
 
 Queries are taken in blocks of bounded size that go to every task; the base is
 read once a block and never shuffled.  Each batch of base rows is scored as one
-matrix product and gives its best rows for each query, and only those meet in a
-final ranking.  The products choose candidates with a margin for rounding; what is
-ranked is the score expression, so that results do not depend on the product's
-order of summation.
+matrix product, which chooses candidates with a margin for rounding; these are
+scored again in the order of the score expression, so that results equal those of
+plain SQL.  A task keeps the best rows for each query over all its batches, and
+only their ids and scores meet in a final ranking.
+
+Where every row is a query, rows are dealt to pairs of blocks instead, and no
+vector passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,8 @@ from pyspark.sql import types as T
 from ..functions import vectors as V
 from ..session import importable
 
-#: Largest block of query vectors that goes to every task.
-BLOCK_BYTES = 8 << 20
+#: Largest block of query vectors that goes to every task; scores that a task computes at once; rows of a block where all are queries.
+BLOCK_BYTES, SCORES, PART = 8 << 20, 4 << 20, 8192
 MARGIN = 1e-6
 
 
@@ -46,14 +49,33 @@ def block_scores(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (1 + product / np.sqrt(q2[:, None] * b2[None])) / 2
 
 
+def exact_scores(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of row i of one matrix with row i of the other, summed from left to right as the score expression does."""
+
+    def total(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(q))
+        for u, v in zip(x, y):
+            out += u * v
+        return out
+
+    x, y = np.ascontiguousarray(q.T), np.ascontiguousarray(b.T)
+    if metric == "l2":
+        return 1 / (1 + total(x - y, x - y))
+    if metric == "dot":
+        return (1 + total(x, y)) / 2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (1 + total(x, y) / np.sqrt(total(x, x) * total(y, y))) / 2
+
+
 def query_blocks(queries: DataFrame, id_col: str, vec_col: str, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries in blocks of about ``limit`` bytes; only a block at a time is held."""
     ids: list[int] = []
     rows: list[np.ndarray] = []
     size = 0
     for r in queries.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).filter("v is not null").toLocalIterator():
-        rows.append(np.asarray(r.v, dtype=np.float64))
+        rows.append(np.asarray(r.v))
         ids.append(r.i)
-        size += rows[-1].nbytes
+        size += 8 * len(rows[-1])
         if size >= limit:
             yield np.array(ids, dtype=np.int64), np.stack(rows)
             ids, rows, size = [], [], 0
@@ -61,40 +83,153 @@ def query_blocks(queries: DataFrame, id_col: str, vec_col: str, limit: int) -> I
         yield np.array(ids, dtype=np.int64), np.stack(rows)
 
 
-CANDIDATES = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+class Best:
+    """The k best of each query so far, by score and then by id."""
 
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        #: Least score that still gets in, once a query has k.
+        self.least = np.full(n, -np.inf)
 
-def candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None, threshold: float | None, id_col: str, vec_col: str, block_bytes: int) -> DataFrame:
-    """Pairs that can be among the k best of a query or reach the threshold, with the base vector."""
-    if metric not in V.METRICS:
-        raise ValueError(f"unknown metric {metric!r}")
+    def add(self, query: np.ndarray, id_: np.ndarray, score: np.ndarray) -> None:
+        query, id_, score = np.concatenate([self.query, query]), np.concatenate([self.id, id_]), np.concatenate([self.score, score])
+        order = np.lexsort((id_, -score, query))
+        query, id_, score = query[order], id_[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        stay = place < self.k
+        self.query, self.id, self.score = query[stay], id_[stay], score[stay]
+        last = place[stay] == self.k - 1
+        self.least[self.query[last]] = self.score[last]
+
+
+SCORED = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def scored_batch(ids: np.ndarray, query: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(vec_id), pa.array(score)], names=SCORED.fieldNames())
+
+
+def scan(base: DataFrame, blocks: Iterator[tuple[np.ndarray, object]], read: Callable, rough: Callable, exact: Callable | None = None, k: int | None = None, threshold: float | None = None, exclude_self: bool = True) -> DataFrame:
+    """Scores of all rows of ``base`` for blocks of queries, as (query_id, vec_id, score): the k best that each task meets, or all.
+
+    base: vec_id and whatever ``read`` turns from a batch into arrays of its rows.
+    rough: a matrix of scores of the queries with these rows.  exact: scores of single
+    pairs (queries, their places, rows, their places), where the matrix is rounded.
+    A score that is not a number is no result.
+    """
     spark = importable(base.sparkSession)
-    rows = base.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding")).filter("embedding is not null")
     out = None
-    for ids, block in query_blocks(queries, id_col, vec_col, block_bytes):
+    for ids, block in blocks:
         shared = spark.sparkContext.broadcast((ids, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own_ids, q = shared.value
+            own, q = shared.value
+            best = Best(len(own), k) if k is not None else None
+            step = max(16, SCORES // len(own))
             for whole in batches:
-                for start in range(0, whole.num_rows, 4096):
-                    batch = whole.slice(start, 4096)
-                    b = matrix(batch.column("embedding"))
-                    if b.shape[1] != q.shape[1]:
-                        raise ValueError(f"queries of {q.shape[1]} dimensions and vectors of {b.shape[1]}")
-                    s = block_scores(metric, q, b)
-                    s[np.isnan(s)] = -np.inf
-                    keep = np.ones(s.shape, dtype=bool) if threshold is None else s >= threshold - MARGIN
-                    if k is not None and k + 1 < s.shape[1]:  # one more, as the query may be a base row itself
-                        least = np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1]
-                        keep &= s >= least[:, None] - MARGIN * np.maximum(1, np.abs(least[:, None]))
+                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    rows, vec_id = read(batch), batch.column("vec_id").to_numpy()
+                    s = rough(q, rows)
+                    margin = 0 if exact is None else MARGIN * np.maximum(1, np.abs(s))
+                    with np.errstate(invalid="ignore"):
+                        keep = ~np.isnan(s) if threshold is None else s >= threshold - margin
+                        if best is not None:
+                            floor = best.least
+                            if k + 1 < s.shape[1]:  # one more, as the query may be among the rows
+                                floor = np.maximum(floor, np.partition(np.where(np.isnan(s), -np.inf, s), s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1])
+                            keep &= s >= floor[:, None] - margin
                     at_q, at_b = np.nonzero(keep)
-                    take = pa.array(at_b)
-                    yield pa.RecordBatch.from_arrays([pa.array(own_ids[at_q]), batch.column("vec_id").take(take), batch.column("embedding").take(take).cast(pa.list_(pa.float32()))], names=CANDIDATES.fieldNames())
-
-        found = rows.mapInArrow(run, CANDIDATES)
+                    if exclude_self:
+                        other = own[at_q] != vec_id[at_b]
+                        at_q, at_b = at_q[other], at_b[other]
+                    values = s[at_q, at_b] if exact is None else exact(q, at_q, rows, at_b)
+                    good = ~np.isnan(values) if threshold is None else values >= threshold
+                    at_q, at_b, values = at_q[good], at_b[good], values[good]
+                    if best is not None:
+                        best.add(at_q, vec_id[at_b], values)
+                    elif len(at_q):
+                        yield scored_batch(own, at_q, vec_id[at_b], values)
+            if best is not None and len(best.query):
+                yield scored_batch(own, best.query, best.id, best.score)
+
+        found = base.mapInArrow(run, SCORED)
         out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], CANDIDATES)
+    return out if out is not None else spark.createDataFrame([], SCORED)
+
+
+def candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None, threshold: float | None, exclude_self: bool, id_col: str, vec_col: str, block_bytes: int) -> DataFrame:
+    """Exact scores of the pairs that can be among the k best of a query or reach the threshold."""
+    if metric not in V.METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    rows = base.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding")).filter("embedding is not null")
+
+    def rough(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if b.shape[1] != q.shape[1]:
+            raise ValueError(f"queries of {q.shape[1]} dimensions and vectors of {b.shape[1]}")
+        return block_scores(metric, q, b)
+
+    blocks = ((ids, q.astype(np.float64)) for ids, q in query_blocks(queries, id_col, vec_col, block_bytes))
+    return scan(rows, blocks, lambda batch: matrix(batch.column("embedding")), rough, lambda q, i, b, j: exact_scores(metric, q[i], b[j]), k, threshold, exclude_self)
+
+
+def dealt(vectors: DataFrame, id_col: str, vec_col: str, part: int) -> DataFrame:
+    """Each row in every pair of blocks that its own block is in: (i, j, own, vec_id, embedding), i <= j."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding")).filter("embedding is not null")
+    parts = max(1, -(-rows.count() // part))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    rows = rows.select("vec_id", "embedding", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
+    return rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "embedding")
+
+
+def all_pairs(vectors: DataFrame, k: int | None, threshold: float | None, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", part: int = PART) -> DataFrame:
+    """Every row as a query against all others, as ``scan``; without k each pair once, with query_id < vec_id.
+
+    A task compares two blocks of about ``part`` rows.
+    """
+    importable(vectors.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        out = []
+        ids, rows, own = table.column("vec_id").to_numpy(), matrix(table.column("embedding").combine_chunks()), table.column("own").to_numpy()
+        same = (own == own[0]).all()
+        left = np.flatnonzero(own == table.column("i")[0].as_py())
+        right = left if same else np.flatnonzero(own != table.column("i")[0].as_py())
+        # with k, both blocks ask each other
+        for ask, of in ((left, right),) if same or k is None else ((left, right), (right, left)):
+            best = Best(len(ask), k) if k is not None else None
+            step = max(16, SCORES // max(1, len(ask)))
+            for at in (of[i : i + step] for i in range(0, len(of), step)):
+                s = block_scores(metric, rows[ask], rows[at])
+                with np.errstate(invalid="ignore"):
+                    keep = ~np.isnan(s) if threshold is None else s >= threshold - MARGIN
+                    if best is not None:
+                        floor = best.least
+                        if k + 1 < s.shape[1]:
+                            floor = np.maximum(floor, np.partition(np.where(np.isnan(s), -np.inf, s), s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1])
+                        keep &= s >= floor[:, None] - MARGIN * np.maximum(1, np.abs(s))
+                q, b = np.nonzero(keep)
+                other = ids[ask][q] != ids[at][b] if k is not None or not same else ids[ask][q] < ids[at][b]
+                q, b = q[other], b[other]
+                values = exact_scores(metric, rows[ask][q], rows[at][b])
+                good = ~np.isnan(values) if threshold is None else values >= threshold
+                q, b, values = q[good], b[good], values[good]
+                if best is not None:
+                    best.add(q, ids[at][b], values)
+                else:
+                    low, high = np.minimum(ids[ask][q], ids[at][b]), np.maximum(ids[ask][q], ids[at][b])
+                    out.append(scored_batch(low, np.arange(len(low)), high, values))
+            if best is not None:
+                out.append(scored_batch(ids[ask], best.query, best.id, best.score))
+        return pa.Table.from_batches(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+    return dealt(vectors, id_col, vec_col, part).groupBy("i", "j").applyInArrow(run, SCORED)
+
+
+def nearest_of_all(vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", part: int = PART) -> DataFrame:
+    """The k most similar other rows of every row, as ``search`` with all rows as queries."""
+    return ranked(all_pairs(vectors, k, None, metric, id_col, vec_col, part), k)
 
 
 def ranked(scored: DataFrame, k: int | None, skip: int = 0, by: str = "query_id") -> DataFrame:
@@ -139,20 +274,12 @@ def search(
     if deleted is not None:
         base = base.join(deleted.select(id_col).distinct(), id_col, "left_anti")
     wanted = None if k is None else k + skip
-    found = candidates(base, queries, metric, wanted, threshold, id_col, vec_col, block_bytes)
-    if exclude_self:
-        found = found.filter("query_id <> vec_id")
-    vectors = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).alias("query"))
-    scored = found.join(vectors, "query_id").select("query_id", "vec_id", V.score(metric, F.col("query"), F.col("embedding")).alias("score")).filter(~F.isnan("score"))
-    if threshold is not None:
-        scored = scored.filter(F.col("score") >= threshold)
-    return ranked(scored, k, skip)
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All pairs (a, b), a < b, whose score reaches the threshold: a similarity self-join, block against base."""
-    found = search(vectors, vectors, None, metric, threshold, exclude_self=True, id_col=id_col, vec_col=vec_col, block_bytes=block_bytes)
-    return found.filter("query_id < vec_id").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score")
+    return ranked(candidates(base, queries, metric, wanted, threshold, exclude_self, id_col, vec_col, block_bytes), k, skip)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", part: int = PART) -> DataFrame:
+    """All pairs (a, b), a < b, whose score reaches the threshold: a similarity self-join, block against block."""
+    return all_pairs(vectors, None, threshold, metric, id_col, vec_col, part).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score")
 
 
 def merge(parts: list[DataFrame], k: int) -> DataFrame:
