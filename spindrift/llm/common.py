@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written = threading.local()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -41,9 +45,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/spindrift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    paths().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def paths() -> list[str]:
+    """Tables that this thread has staged and not yet dropped."""
+    if not hasattr(_written, "paths"):
+        _written.paths = []
+    return _written.paths
+
+
+def concluded(df: DataFrame, name: str, since: int) -> DataFrame:
+    """Stage ``df``, and drop the tables that were staged after the first ``since`` ones, which only led to it."""
+    out = staged(df, name)
+    own = paths()
+    spent, own[since:-1] = own[since:-1], []
+    spark = df.sparkSession
+    for path in spent:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def id_order(column: str | Column) -> Column:
     """Ids as they are compared: a null id comes after every other."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(NO_ID))

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-THRESHOLD, MIN_CHARS, NEAR_CHARS = 2, 10, 10
+THRESHOLD, MIN_CHARS, NEAR_CHARS = 2, 1, 10
 LETTERS = "etaoinsrhldcumpgbfyvw"
-#: Hashes of candidate lines up to this number go to every task; more are joined.
-SMALL = 500_000
+#: White space that counts as a space each: any but the line feed.
+SPACES = "\t\r\x0b\x0c"
 
 
 def let(value: Column, then) -> Column:
@@ -51,12 +51,31 @@ def keys(wide: Column, length: Column, k: int) -> tuple[list[Column], list[Colum
     return own, other
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of the letters modulo 8, in three bits each."""
-    whole, out = F.octet_length(line), F.lit(0).cast("bigint")
-    for n, letter in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft(((whole - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 8).cast("bigint"), 3 * n))
-    return out
+def cut(text: Column) -> Column:
+    """The lines of a text as they are compared: with a space for each white space, and none at the ends."""
+    alike = text
+    for c in SPACES:
+        alike = F.replace(alike, F.lit(c), F.lit(" "))
+    some = F.contains(text, F.lit(SPACES[0]))  # a look that most texts need alone
+    for c in SPACES[1:]:
+        some = some | F.contains(text, F.lit(c))
+    return F.transform(F.split(F.when(some, alike).otherwise(text), "\n"), lambda x: F.btrim(x))
+
+
+def with_counts(rows: DataFrame, line: str, counts: str) -> DataFrame:
+    """Counts of the letters of a line modulo 8, in three bits each, as a column more.
+
+    The letters are taken out one after the other, the most frequent ones first, so
+    that the rest soon gets short.
+    """
+    kept = rows.columns
+    rows = rows.select(*kept, F.col(line).alias("_rest"), F.lit(0).alias("_size"), F.lit(0).cast("bigint").alias("_counts"))
+    for n, letter in enumerate([*LETTERS, None]):
+        # what the letter before this one took out
+        taken = F.shiftleft(((F.col("_size") - F.octet_length("_rest")) % 8).cast("bigint"), 3 * (n - 1)) if n else F.lit(0).cast("bigint")
+        rest = F.replace("_rest", F.lit(letter), F.lit("")) if letter else F.lit("")
+        rows = rows.select(*kept, rest.alias("_rest"), F.octet_length("_rest").alias("_size"), F.col("_counts").bitwiseOR(taken).alias("_counts"))
+    return rows.select(*kept, F.col("_counts").alias(counts))
 
 
 def count_distance(a: Column, b: Column) -> Column:
@@ -142,7 +161,7 @@ def shared_start(a: Column, b: Column, steps: int = 16) -> Column:
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc and copy tell documents apart; rows that agree in both are the same document."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(common.id_order(F.col(f"`{id_col}`").cast("long")).alias("doc"), F.xxhash64(text).alias("copy"), F.split(text, "\n").alias("lines"))
+    return docs.select(common.id_order(F.col(f"`{id_col}`").cast("long")).alias("doc"), F.xxhash64(text).alias("copy"), cut(text).alias("lines"))
 
 
 def near_lines(rows: DataFrame, k: int, least: int) -> DataFrame:
@@ -150,79 +169,87 @@ def near_lines(rows: DataFrame, k: int, least: int) -> DataFrame:
 
     A line is earlier if its first document is; within one document the hash decides.
     """
-    each = rows.select("doc", F.explode(F.transform("lines", lambda x: F.btrim(x))).alias("line")).filter(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
-    wide = each.select("line", "h", F.encode("line", "UTF-32").alias("wide")).withColumn("n", (F.octet_length("wide") / 4).cast("int"))
+    each = rows.select("doc", F.explode("lines").alias("line")).filter(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
+    wide = with_counts(each, "line", "counts").select("h", "counts", F.encode("line", "UTF-32").alias("wide")).withColumn("n", (F.octet_length("wide") / 4).cast("int"))
     own, other = keys(F.col("wide"), F.col("n"), k)
     names = [f"k{i}" for i in range(len(own) + len(other))]
     # equal lines meet here, before anything is multiplied: numbers alone, and no text, are dealt out
-    tagged = wide.select("h", letter_counts(F.col("line")).alias("counts"), *(c.alias(n) for c, n in zip(own + other, names))).distinct()
+    tagged = wide.select("h", "counts", *(c.alias(n) for c, n in zip(own + other, names))).distinct()
     index = tagged.select("h", "counts", F.explode(F.array(*names[: len(own)])).alias("key")).toDF("a", "a_counts", "key")
     probe = tagged.select("h", "counts", F.explode(F.array(*names)).alias("probe_key")).toDF("b", "b_counts", "probe_key")
     met = index.join(probe, (F.col("key") == F.col("probe_key")) & (F.col("a") != F.col("b")) & (count_distance(F.col("a_counts"), F.col("b_counts")) <= 2 * k))
     pairs = common.staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = common.staged(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
-    if wanted.count() <= SMALL:  # some MB at most; the lines are then found where they are
-        wanted = F.broadcast(wanted)
     distinct = common.staged(each.join(wanted, "h", "left_semi").groupBy("h", "line").agg(F.min("doc").alias("first")), "lines")
     side = lambda x: distinct.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line"), F.col("first").alias(f"{x}_first"))
+    rest = lambda x, same: F.substring(F.col(x), same + 1, F.length(x))
     # no edit is needed where two lines begin alike
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", shared_start(F.col("a_line"), F.col("b_line")))
-    rest = lambda x: F.substring(F.col(x), F.col("same") + 1, F.length(x))
-    near = common.staged(met.select("*", rest("a_line").alias("a_rest"), rest("b_line").alias("b_rest")), "met").filter(edits(F.col("a_rest"), F.col("b_rest"), k) <= k)
+    distance = let(shared_start(F.col("a_line"), F.col("b_line")), lambda same: edits(rest("a_line", same), rest("b_line", same), k))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(distance <= k)
     later = (F.col("a_first") > F.col("b_first")) | ((F.col("a_first") == F.col("b_first")) & (F.col("a") > F.col("b")))
-    ends = near.select(F.explode(F.array(F.struct(F.col("a_line").alias("line"), later.alias("gone")), F.struct(F.col("b_line").alias("line"), (~later).alias("gone")))).alias("x")).select("x.*")
-    return common.staged(ends.groupBy("line").agg(F.count("*").alias("n_links"), F.max("gone").alias("gone")).select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "n_links", "gone"), "near")
+    both = F.array(F.struct(F.col("a").alias("h"), F.xxhash64(F.lit(1), "a_line").alias("h2"), later.alias("gone")), F.struct(F.col("b").alias("h"), F.xxhash64(F.lit(1), "b_line").alias("h2"), (~later).alias("gone")))
+    # hashes alone go on from here, a row for each line that has a link
+    found = common.staged(near.select(F.explode(both).alias("x")).select("x.*"), "links")
+    return found.groupBy("h", "h2").agg(F.count("*").alias("n_links"), F.max("gone").alias("gone"))
 
 
 def marks(rows: DataFrame, k: int, least: int, near_least: int) -> DataFrame:
-    """Per document: places of lines that go because of other documents, and number of links of its lines."""
+    """Per document: places of lines that go, and number of links of its lines."""
     near = near_lines(rows, k, near_least)
-    at = rows.select("doc", "copy", F.posexplode(F.transform("lines", lambda x: F.btrim(x))).alias("place", "line")).filter(F.length("line") >= least)
-    at = at.select("doc", "copy", "place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    known = at.groupBy("h", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "h2", "first", F.lit(0).cast("bigint").alias("n_links"), F.lit(False).alias("gone"))
-    lines = known.union(near.select("h", "h2", F.lit(common.NO_ID).alias("first"), "n_links", "gone")).groupBy("h", "h2").agg(F.min("first").alias("first"), F.max("n_links").alias("n_links"), F.max("gone").alias("gone"))
+    at = rows.select("doc", "copy", F.posexplode("lines").alias("place", "line")).filter(F.length("line") >= least)
+    at = common.staged(at.select("doc", "copy", "place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")), "places")
+    again = at.groupBy("h", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "h2", "first", F.lit(0).cast("bigint").alias("n_links"), F.lit(False).alias("gone"))
+    lines = again.union(near.select("h", "h2", F.lit(common.NO_ID).alias("first"), "n_links", "gone")).groupBy("h", "h2").agg(F.min("first").alias("first"), F.max("n_links").alias("n_links"), F.max("gone").alias("gone"))
     lines = common.staged(lines, "known-lines")  # a table of its own, so that the join can split a common line
-    found = at.join(lines, ["h", "h2"]).filter("gone or first < doc or n_links > 0")
-    return found.groupBy("doc", "copy").agg(F.collect_set(F.when(F.col("gone") | (F.col("first") < F.col("doc")), F.col("place"))).alias("gone"), F.sum("n_links").alias("n_links"))
+    found = at.join(lines, ["h", "h2"]).select("doc", "copy", F.struct("h", "h2", "place", (F.col("gone") | (F.col("first") < F.col("doc"))).alias("gone"), "n_links").alias("x"))
+    # equal lines of a document are neighbours; all but the first of them go
+    sets = found.groupBy("doc", "copy").agg(F.sort_array(F.collect_set("x")).alias("x"))
+    before = lambda i: F.get(F.col("x"), i - 1)
+    gone = F.transform("x", lambda x, i: F.when(x["gone"] | ((i > 0) & (before(i)["h"] == x["h"]) & (before(i)["h2"] == x["h2"])), x["place"]))
+    return sets.select("doc", "copy", F.filter(gone, lambda i: i.isNotNull()).alias("gone"), F.aggregate("x", F.lit(0).cast("bigint"), lambda n, x: n + x["n_links"]).alias("n_links"))
 
 
 def _deduped(docs: DataFrame, k: int, least: int, near_least: int, id_col: str, text_col: str) -> DataFrame:
-    # only lines of near_chars and more are indexed, so that their own segments alone must be longer than k
-    if not 0 <= k <= 15 or near_least < (k + 1) * (k + 1):
-        raise ValueError("the threshold must be 0 to 15, and near_chars enough for segments of more than that")
-    found = common.staged(marks(prepared(docs, id_col, text_col), k, least, near_least), "marks")
+    if not 0 <= k <= 15 or least < 1 or near_least <= k:
+        raise ValueError("the threshold must be 0 to 15, min_chars 1 at least, and near_chars more than the threshold")
+    since = len(common.paths())
+    found = common.concluded(marks(prepared(docs, id_col, text_col), k, least, max(least, near_least)), "marks", since)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.id_order(F.col(f"`{id_col}`").cast("long")).alias("doc"), F.xxhash64(text).alias("copy"))
     # a text goes through this join once, and is cut into lines after it
-    rows = rows.join(found, ["doc", "copy"], "left").withColumn("lines", F.split(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), "\n"))
-    # later copies of a line within its document: neighbours after sorting by hash and place
-    own = F.array_sort(F.transform("lines", lambda x, i: F.struct(F.xxhash64(F.btrim(x)).alias("h"), F.xxhash64(F.lit(1), F.btrim(x)).alias("h2"), i.alias("i"), (F.length(F.btrim(x)) >= least).alias("long"))))
-    rows = rows.withColumn("own", own)
-    again = F.filter(F.transform("own", lambda x, i: F.when(x["long"] & (i > 0) & (F.get(F.col("own"), i - 1)["h"] == x["h"]) & (F.get(F.col("own"), i - 1)["h2"] == x["h2"]), x["i"])), lambda x: x.isNotNull())
-    rows = rows.withColumn("gone", F.array_union(again, F.coalesce("gone", F.array().cast("array<int>"))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    return rows.withColumn("kept", F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    rows = rows.join(found, ["doc", "copy"], "left").withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
+    lines, none = F.split("text", "\n"), F.coalesce(F.size("gone"), F.lit(0)) == 0
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    kept = F.when(none, F.col("text")).otherwise(let(lines, lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")))
+    return rows.withColumn("kept", kept).withColumn("n_removed", F.when(none, 0).otherwise(F.size("gone")).cast("long"))
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text without its duplicate lines, as (doc_id, n_lines, n_removed, n_links, text).
 
-    A line is what stands between line feeds, without white space at its ends.
-    It goes if it is equal to an earlier one, in a document with a smaller id or
-    before it in its own, or within ``threshold`` edits of a line that first
-    stands in a document with a smaller id.  Lines under ``min_chars`` always
-    stay; those under ``near_chars`` go for equal ones alone (by default there are
-    none between the two).  n_links counts,
-    over the lines of the document, the different lines within the threshold.
+    A line is what stands between line feeds, without white space at its ends and
+    with a space for each other white space; one of nothing else always stays.
+    A line goes if it is equal to an earlier one, in a document with a smaller id
+    or before it in its own, or within ``threshold`` edits of a line that first
+    stands in a document with a smaller id.  Lines under ``near_chars`` go for
+    equal ones alone, as so many edits make another line of them; the join itself
+    is exact for any line longer than the threshold.  Lines under ``min_chars``
+    stay.  n_links counts, over the lines of the document, the different lines
+    within the threshold.
     Rows that agree in id and text are one document and get the same result; a
-    null id comes after all others; a null text counts as empty.
+    null id comes after all others; a null text counts as empty.  A very long text
+    is cut into lines within a row, and a very long line is compared whole.  An
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = _deduped(docs.select(f"`{id_col}`", f"`{text_col}`"), threshold, min_chars, near_chars, id_col, text_col)
-    n_lines = F.size(F.filter("lines", lambda x: F.length(F.btrim(x)) > 0))
-    return rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("kept").alias("text"))
+    n_lines = F.size(F.filter(cut(F.col("text")), lambda x: F.length(x) > 0))
+    return rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), "n_removed", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("kept").alias("text"))
 
 
 def texts(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the duplicate lines of each text left out; a null text stays null."""
+    """``docs`` with the duplicate lines of each text left out, and all columns as they were.
+
+    Lines go as in ``dedup``; a null text stays null, an empty one empty.
+    """
     rows = _deduped(docs, threshold, min_chars, near_chars, id_col, text_col)
     return rows.select(*(F.when(F.col(f"row.`{c}`").isNotNull(), F.col("kept")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
