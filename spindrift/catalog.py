@@ -144,8 +144,7 @@ def part_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("centroid", f"WITH {E_}, x AS (SELECT unnest(v) x, generate_subscripts(v, 1) - 1 pos FROM e) SELECT pos::INT pos, round(avg(x), 9) mean, round(sum(x), 9) total FROM x GROUP BY pos")
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = table(spark, sf_dir).select(F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))
-    return each.groupBy("pos").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.sum("x"), 9).alias("total"))
+    return metrics.centroid(table(spark, sf_dir)).select("pos", F.round("mean", 9).alias("mean"), F.round("total", 9).alias("total"))
 
 
 # search
@@ -634,6 +633,14 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(table(spark, sf_dir, "events"), ["event_type"], ["value"]).select("event_type", "runs", F.round("avg_value", 6).alias("avg_value"), F.round("std_value", 6).alias("std_value"))
 
 
+@registered("run_times")
+def run_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries a second of the exact search under each metric, over repeated runs."""
+    base = table(spark, sf_dir)
+    runs = metrics.timed(importable(spark), {m: lambda m=m: search.search(base, asked(base), K, m) for m in V.METRICS}, asked(base).count(), repeats=2, warm_up=0)
+    return metrics.throughput(runs, ["name"])
+
+
 @registered("parameter_grid", "SELECT d::INT degree, b::INT beam, o::INT overquery FROM unnest([16, 32]) a(d), unnest([64, 100]) c(b), unnest([1, 2, 5]) e(o)")
 def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = options.grid(degree=[16, 32], beam=[64, 100], overquery=[1, 2, 5])

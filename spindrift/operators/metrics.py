@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +56,28 @@ def throughput(runs: DataFrame, by: list[str] = []) -> DataFrame:
 def summary(runs: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Averages and deviations of the values over repeated runs."""
     return runs.groupBy(*by).agg(F.count("*").alias("runs"), *(f(v).alias(f"{n}_{v}") for v in values for n, f in (("avg", F.avg), ("std", F.stddev_pop))))
+
+
+RUNS = "name string, run int, queries long, seconds double"
+
+
+def timed(spark: SparkSession, searches: dict[str, Callable[[], DataFrame]], queries: int, repeats: int = 3, warm_up: int = 1) -> DataFrame:
+    """Times of whole runs, as (name, run, queries, seconds): each search is carried out over and over, and its rows are thrown away.
+
+    The first ``warm_up`` runs start workers and compile code, and are not counted.
+    ``throughput`` and ``latency`` sum the times up.
+    """
+    rows = []
+    for name, search in searches.items():
+        for run in range(-warm_up, repeats):
+            began = time.perf_counter()
+            search().write.format("noop").mode("overwrite").save()
+            if run >= 0:
+                rows.append((name, run, queries, time.perf_counter() - began))
+    return spark.createDataFrame(rows, RUNS)
+
+
+def centroid(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """Mean and sum of all vectors, a row for each dimension: (pos, mean, total)."""
+    each = vectors.select(F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "x"))
+    return each.groupBy("pos").agg(F.avg("x").alias("mean"), F.sum("x").alias("total"))

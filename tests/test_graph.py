@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import graph, metrics, search
+from spindrift.operators import graph, metrics, quantize, search
 from spindrift.plans.options import BuildOptions
 from spindrift.plans.session import VectorSession
 
@@ -107,3 +107,98 @@ def test_session(spark):
     assert s.memory()["rows"] == 120 and s.memory()["edges"] > 0 and s.quantizer(2, 16).m == 2
     with pytest.raises(Exception, match="dimensions"):
         s.write([(1, [1.0])]) or s.search(q, 1).collect()
+
+
+def test_pruning_equals_its_definition():
+    rng = np.random.default_rng(2)
+    for alpha in (1.0, 1.2):
+        own, points = rng.random((40, 12)), rng.normal(size=(40, 12, 3))
+        own.sort(axis=1)
+        between = ((points[:, :, None] - points[:, None]) ** 2).sum(axis=3)
+        got = graph.pruned(own, between, 5, alpha)
+        for row in range(40):
+            chosen = []
+            for slack in sorted({1.0, alpha}):
+                for i in range(12):  # nearest first
+                    if len(chosen) < 5 and i not in chosen and all(slack * between[row, c, i] > own[row, i] for c in chosen):
+                        chosen.append(i)
+            assert [i for i in got[row] if i >= 0] == chosen
+
+
+def test_walks_are_taken_up_again(built):
+    q = POINTS[7]
+    first = built.search(q, 5, rerank_k=20)
+    second = built.resume(q, first, 5)
+    both = [n for _, n in first.results + second.results]
+    assert len(set(both)) == 10 and len(set(both) & set(truth(q, 10))) >= 9
+    rest = built.resume(q, second, 300)
+    assert len(set(both) | {n for _, n in rest.results}) == 300 and not set(both) & {n for _, n in rest.results}
+
+
+def test_search_by_codes():
+    codec = quantize.ProductQuantizer.train(POINTS, 4, 32)
+    g = graph.Graph.build(np.arange(300), POINTS, "cosine", OPTIONS)
+    g.codes = codec.encode(POINTS).astype(np.int64)
+    hits = 0
+    for q in RNG.normal(size=(40, 8)):
+        found = g.search(q, 5, rerank_k=60, codec=codec)
+        s = g.scores(q, [n for _, n in found.results])
+        assert [x for x, _ in found.results] == pytest.approx(sorted(s, reverse=True)) and found.reranked == 60 and found.worst_approximate < 1.1
+        hits += len({n for _, n in found.results} & set(truth(q, 5)))
+        high = g.search(q, 5, rerank_k=60, codec=codec, floor=2.0)
+        assert high.reranked == 1 and len(high.results) == 1
+    assert hits / 200 > 0.9
+
+
+def test_merged_graphs(built):
+    thirds = [np.arange(i, 300, 3) for i in range(3)]
+    parts = [graph.Graph.build(t, POINTS[t], "cosine", OPTIONS) for t in thirds]
+    parts[0].delete({0, 5, 9})
+    gone = {int(parts[0].ids[n]) for n in (0, 5, 9)}
+    merged = graph.Graph.merge(parts, OPTIONS).check()
+    assert set(merged.ids) == set(range(300)) - gone and len(merged.reached(0)) == 297
+    assert all(len(near) <= 12 and len(set(near)) == len(near) for near in merged.layers[0].values())
+    hits = 0
+    for q in RNG.normal(size=(60, 8)):
+        found = {int(merged.ids[n]) for _, n in merged.search(q, 5, rerank_k=50).results}
+        hits += len(found & set(truth(q, 5, ok=lambda i: i not in gone)))
+    assert hits / 300 > 0.95
+    with pytest.raises(ValueError, match="several"):
+        graph.Graph.merge([parts[1], parts[1]], OPTIONS)
+
+
+def test_insertion(built):
+    g = graph.Graph.build(np.arange(200), POINTS[:200], "cosine", OPTIONS)
+    for i in range(200, 300):
+        assert g.add(i, POINTS[i]) == i
+    g.finish().check()
+    assert overlap(g) > 0.95
+    one = graph.Graph(POINTS[:0], np.arange(0), "cosine", OPTIONS)
+    one.add(3, POINTS[3])
+    assert one.check().search(POINTS[0], 2).results[0][1] == 0
+    g.entry = None
+    with pytest.raises(ValueError, match="entry"):
+        g.check()
+
+
+def test_compacted_tables(spark):
+    df = graph.with_segment(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(POINTS)], "vec_id long, embedding array<float>"), 4).cache()
+    edges = graph.build(df, "cosine", OPTIONS)
+    gone = df.filter("vec_id < 30").select("vec_id")
+    merged = graph.compact(edges, df, 2, gone, options=OPTIONS).cache()
+    assert merged.select("segment").distinct().count() == 2 and merged.filter("level = 0").count() == 270 and merged.filter("entry").count() == 2
+    live = df.filter("vec_id >= 30").withColumn("segment", F.pmod("segment", F.lit(2)).cast("int"))
+    q = df.filter("vec_id % 15 = 0").select("vec_id", "embedding")
+    found = search.ranked(graph.graph_search(merged, live, q, 5, rerank_k=30, options=OPTIONS), 5)
+    assert metrics.recall(search.search(live, q, 5), found, 5, 5).first().recall > 0.95
+    codec = quantize.ProductQuantizer.train(POINTS, 4, 32)
+    fused = graph.with_codes(merged, quantize.pq_encode(df, codec))
+    by_codes = search.ranked(graph.graph_search(fused, live, q, 5, rerank_k=60, options=OPTIONS, codec=codec), 5)
+    assert metrics.recall(search.search(live, q, 5), by_codes, 5, 5).first().recall > 0.9
+    with pytest.raises(ValueError, match="codes"):
+        graph.graph_search(merged, live, q, 5, codec=codec)
+
+
+def test_timed_runs(spark):
+    runs = metrics.timed(spark, {"a": lambda: spark.range(5), "b": lambda: spark.range(9)}, 7, repeats=2, warm_up=0)
+    assert runs.count() == 4 and runs.filter("seconds <= 0 or queries <> 7").count() == 0 and metrics.throughput(runs, ["name"]).count() == 2

@@ -142,3 +142,13 @@ def test_options():
     for bad in (dict(degree=0), dict(overflow=0.9), dict(alpha=0), dict(beam=0), dict(degree=(8, 4), hierarchy=False)):
         with pytest.raises(ValueError):
             options.BuildOptions(**bad)
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_scores_of_non_uniform_codes_are_those_of_decoded_vectors(base, metric):
+    codec = nvq.NonUniformQuantizer.train(POINTS, 2)
+    parts = codec.encode(POINTS)
+    assert np.allclose(codec.scores(POINTS[:7], parts, metric), search.block_scores(metric, POINTS[:7], codec.decode(parts)))
+    got = nvq.nvq_search(nvq.nvq_encode(base, codec), base.filter("vec_id < 4"), codec, 3, metric).collect()
+    want = search.search(base, base.filter("vec_id < 4"), 3, metric).collect()
+    assert len(got) == 12 and len({(r.query_id, r.vec_id) for r in got} & {(r.query_id, r.vec_id) for r in want}) >= 11

@@ -148,3 +148,15 @@ def test_compaction(spark, base):
     for bad in (([a], [6], [ok]), ([a, b], [6], [ok, ok]), ([a, b], [6, 7], [ok, ok]), ([a, b], [6, 6], [ok, frozenset()]), ([a, b], [6, 6], [frozenset(), frozenset()])):
         with pytest.raises(ValueError):
             segments.validate(*bad)
+
+
+def test_all_rows_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(90)] + [(200, [0.0] * 6), (201, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    for metric in ("cosine", "l2", "dot"):
+        want = {tuple(r) for r in search.search(df, df, 3, metric).collect()}
+        assert {tuple(r) for r in search.nearest_of_all(df, 3, metric, part=20).collect()} == want
+        near = {(r.query_id, r.vec_id, r.score) for r in search.search(df, df, None, metric, threshold=0.6).collect() if r.query_id < r.vec_id}
+        assert {tuple(r) for r in search.similar_pairs(df, 0.6, metric, part=20).collect()} == near and near
+    assert search.similar_pairs(df.filter("false"), 0.6).count() == 0
