@@ -62,18 +62,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(seen) + self.shift, -30, 30))))
 
 
-def fit_hinge(rows: list[np.ndarray], values: np.ndarray, signs: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L1 hinge loss; row i has ``values`` at its indices, scaled to unit length, and a bias."""
+def fit_hinge(rows, at: np.ndarray, values: np.ndarray, signs: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the L1 hinge loss over the rows ``at``; a row has ``values`` at its indices, scaled to unit length, and a bias."""
     w, bias = np.zeros(len(values)), 0.0
-    alpha = np.zeros(len(rows))
+    alpha = np.zeros(len(at))
     squares = values**2
-    norm = np.array([max(1e-12, squares[r].sum()) for r in rows])
+    norm = np.array([max(1e-12, squares[rows[r]].sum()) for r in at])
     scale = 1 / np.sqrt(norm)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            r = rows[i]
+        for i in rng.permutation(len(at)):
+            r = rows[at[i]]
             x = values[r] * scale[i]
             gradient = signs[i] * (w[r] @ x + bias) - 1
             new = min(max(alpha[i] - gradient / 2.0, 0.0), cost[i])  # the row and its bias have squared length 2
@@ -105,7 +105,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, cost: f
 
     def solve(use: np.ndarray) -> tuple[np.ndarray, float]:
         at = np.flatnonzero(use)
-        w, bias = fit_hinge([rows[i] for i in at], ratio, signs[at], cost * weight[at])
+        w, bias = fit_hinge(rows, at, ratio, signs[at], cost * weight[at])
         return w * ratio, bias
 
     def margins(w: np.ndarray, bias: float, at: np.ndarray) -> np.ndarray:
@@ -144,13 +144,36 @@ def calibrate(margins: np.ndarray, labels: np.ndarray, weight: np.ndarray, round
     return float(a), float(b)
 
 
+def packed(seen: np.ndarray) -> bytes:
+    """The n-grams of a text as their indices, or as bits if that is shorter: SIZE // 8 bytes at most, whatever the text's length."""
+    at = np.flatnonzero(seen).astype("<u4")
+    return at.tobytes() if at.nbytes < SIZE // 8 else np.packbits(seen).tobytes()
+
+
+class Rows:
+    """Indices of the n-grams of each text, of which bits are unpacked when they are looked at."""
+
+    def __init__(self, grams: list[bytes]) -> None:
+        self.grams = grams
+
+    def __len__(self) -> int:
+        return len(self.grams)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i >= len(self.grams):
+            raise IndexError(i)
+        own = self.grams[i]
+        return np.frombuffer(own, dtype="<u4") if len(own) < SIZE // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(own, dtype=np.uint8), count=SIZE))
+
+
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("grams", T.BinaryType())])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model:
     """Fit on the labelled documents, or on the ``max_rows`` of them that a hash of the id puts first.
 
-    A label other than 0 or 1, a null one too, is left out; of several labels for
+    The driver gets 20 kB for each row, however long its text: 123 MB at most by
+    default.  A label other than 0 or 1, a null one too, is left out; of several labels for
     one id the highest counts.  Labels without a document are ignored.
     """
     chosen = (
@@ -166,11 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text"):
-                grams = [np.flatnonzero(f).astype("<u4").tobytes() for f in batch_features(batch.column("text"))]
+                grams = [packed(f) for f in batch_features(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(grams, pa.binary())], names=ROWS.fieldNames())
 
     found = joined.mapInArrow(run, ROWS).orderBy(F.xxhash64("doc_id"), "doc_id", "grams").limit(max_rows).collect()
-    return fit([np.frombuffer(r.grams, dtype="<u4") for r in found], np.array([r.y for r in found]))
+    return fit(Rows([r.grams for r in found]), np.array([r.y for r in found]))
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -180,7 +203,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Score of each row, between 0 and 1.
 
     A null text is scored as an empty one, which gets the model's bias alone; a
-    null id stays null; other columns are not looked at.
+    null id stays null; repeated rows get the same score, and an empty table gives
+    no rows; other columns are not looked at.  A very long text is scored whole.
     """
     # the model has a fixed number of buckets
     shared = docs.sparkSession.sparkContext.broadcast(model)
