@@ -5,8 +5,9 @@ each word on, so that any excerpt of 13 words holds one.  A text that holds a re
 with at most e edits shares at least m + 1 - q * (1 + e) of its q-grams, all on
 diagonals that differ by e at most.  The q-grams that a text shares with the items
 are counted in overlapping diagonal bands; bands that reach the bound are
-verified by an alignment within the band.  Regions too short for the bound are
-looked up with no edit allowed.
+verified by an alignment within the band.  Regions too short for an edit within
+the bound are looked up as they are; items too short for a q-gram stand as whole
+words.
 
 Items are compared with documents in blocks of bounded size: a block of items
 goes to every task, and each document passes through it whole.
@@ -27,6 +28,8 @@ from . import common, hashing
 Q, REGION, ERRORS, BLOCK_BYTES = 12, 160, 0.06, 4 << 20
 #: Any run of so many words of an item is a region as well.
 WORDS = 13
+#: Bytes of a text that are looked up at once, so that what is held for a byte stays bounded.
+PIECE = 1 << 16
 TABLE_BITS = 22
 #: Upper case as lower case, and all white space as one kind.
 NORMAL = np.arange(256, dtype=np.uint8)
@@ -78,7 +81,13 @@ class Items:
             begins = [0, *(np.flatnonzero(data == 0x20) + 1).tolist(), len(data) + 1]
             spans |= {(a, b - 1) for a, b in zip(begins, begins[WORDS:])}
             self.regions += [(item, a, data[a:b], edit_budget(b - a, errors, q)) for a, b in sorted(spans)]
-        self.regions = [r for r in self.regions if len(r[2]) >= q]
+        # items of fewer bytes than a q-gram, by their size
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        long = [r for r in self.regions if len(r[2]) >= q]
+        short = [r for r in self.regions if 0 < len(r[2]) < q]
+        for i, r in enumerate(short):
+            self.short.setdefault(len(r[2]), {}).setdefault(r[2].tobytes(), []).append(len(long) + i)
+        self.regions = long
         grams = [hashing.runs(hashing.prefix(hashing.BYTE[r[2]]), np.arange(len(r[2]) - q + 1), np.arange(q, len(r[2]) + 1)) for r in self.regions]
         flat = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         owner = np.repeat(np.arange(len(grams)), list(map(len, grams)))
@@ -91,9 +100,34 @@ class Items:
         self.size = np.array([len(r[2]) for r in self.regions], dtype=np.int64)
         self.budget = np.array([r[3] for r in self.regions], dtype=np.int64)
         self.bound = self.size + 1 - q * (1 + self.budget)
+        #: What two neighbouring pieces of a text share, so that one of them holds all of a region and its band.
+        self.overlap = int(self.size.max() + 6 * self.budget.max()) + 2 * q if long else 0
+        self.regions = long + short
 
     def hits(self, data: np.ndarray) -> list[tuple[int, int, int]]:
-        """(region, place in the text, edits) of what the text holds; one place for each region."""
+        """(region, place in the text, edits) of what the text holds; the best place for each region."""
+        out: dict[int, tuple[int, int]] = {}
+        step = max(PIECE, 2 * self.overlap)
+        for start in range(0, max(1, len(data) - self.overlap), step):
+            for r, place, edits in self._hits(data[start : start + step + self.overlap]):
+                if r not in out or edits < out[r][1]:
+                    out[r] = start + place, edits
+        return [(r, *v) for r, v in out.items()] + self._short_hits(data)
+
+    def _short_hits(self, data: np.ndarray) -> list[tuple[int, int, int]]:
+        """Short items that stand in the text as whole words."""
+        if not self.short or not len(data):
+            return []
+        edge = np.concatenate([[0], np.flatnonzero(data == 0x20) + 1, [len(data) + 1]])  # where words begin
+        out, text = [], data.tobytes()
+        for size, items in self.short.items():
+            places: dict[bytes, int] = {}
+            for at in edge[np.isin(edge + size + 1, edge)].tolist():
+                places.setdefault(text[at : at + size], at)
+            out += [(r, places[t], 0) for t, regions in items.items() if t in places for r in regions]
+        return out
+
+    def _hits(self, data: np.ndarray) -> list[tuple[int, int, int]]:
         q = self.q
         if len(data) < q or not len(self.known):
             return []
@@ -159,9 +193,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, region: int = REGIO
     One row for each text and item: the regions of the item that were found, and
     place (in bytes of the normalised text, to within the band) and edits of the
     best.  ``copy`` is a hash of the text, which tells rows with one id apart.
-    Items of fewer than ``q`` bytes, empty or null ones match nothing; null texts
-    hold nothing; null ids stay null.  Repeated items give a row each, repeated
-    rows repeated results.  No items, or no documents, give no rows.
+    Items of fewer than ``q`` bytes must stand as whole words; empty or null ones
+    match nothing; null texts hold nothing; null ids stay null.  Repeated items give
+    a row each, repeated rows repeated results.  No items, or no documents, give no
+    rows.  A very long text is looked up in overlapping pieces.  Other columns are
+    ignored, whatever their names.
     """
     if region < 2 * q:
         raise ValueError("a region must hold two q-grams")
@@ -190,9 +226,9 @@ def _prepared(shared, q: int, region: int, errors: float) -> Items:
 def _search(shared, q: int, region: int, errors: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _prepared(shared, q, region, errors)
-        for whole in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "text")):
             out: list[tuple] = []
-            for doc_id, copy, text in zip(*(whole.column(c).to_pylist() for c in ("doc_id", "copy", "text"))):
+            for doc_id, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text"))):
                 best: dict[int, list] = {}
                 for r, place, edits in items.hits(np.frombuffer(normal(text), dtype=np.uint8)):
                     old = best.setdefault(items.regions[r][0], [0, place, edits])
@@ -209,8 +245,8 @@ def _search(shared, q: int, region: int, errors: float):
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, region: int = REGION, errors: float = ERRORS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` whose text holds no region of an item, with all their columns.
 
-    A null text holds nothing.  After every few blocks of items the rows are
-    written, so that the chain of passes stays short.
+    What counts as held is that of ``leaks``; a null text holds nothing.  After every
+    few blocks of items the rows are written, so that the chain of passes stays short.
     """
     for n, block in enumerate(item_blocks(benchmark, item_col, item_text_col, block_bytes)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
