@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 from . import common
 
 MAGIC, HEADER = b"SPINPACK", struct.Struct("<8sIIQQQ")
-BLOCK, FILE_IDS, PARTITION_CHARS, MEMO = 4096, 1 << 20, 16 << 20, 500_000
+BLOCK, FILE_IDS, PARTITION_CHARS, MOST_PARTITIONS, MEMO = 4096, 1 << 20, 16 << 20, 1 << 15, 500_000
 NULL_ID = -(2**63)
 
 
@@ -181,13 +181,14 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
     """Encode every text, append ``end_id`` and write file images in ascending order of document id.
 
     Returns the table of files, already written: ``shard`` and ``part`` give
-    their order.  Ties of the id are ordered by text; a null id comes last and is
+    their order.  Ties of the id are ordered by a hash of the text, so that many rows of one id are not one task's; a null id comes last and is
     read back as null; a null text counts as empty, so gives the end id alone.
-    An empty table gives no files.
+    An empty table gives no files; other columns are ignored, whatever their names.
+    A very long text is encoded whole and stands in one file.
     """
     rows = common.documents(docs, id_col, text_col).withColumn("key", common.id_order("doc_id"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // PARTITION_CHARS))
+    n = min(MOST_PARTITIONS, max(1, -(-chars // PARTITION_CHARS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard = model(path), TaskContext.get().partitionId()
@@ -213,7 +214,8 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
         if doc_ids:
             yield flush()
 
-    ordered = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text").select("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", "text").select("doc_id", "text")
     return common.staged(ordered.mapInArrow(run, FILES), "packed")
 
 
@@ -246,8 +248,8 @@ def read(files: DataFrame) -> DataFrame:
 def starts(files: DataFrame) -> DataFrame:
     """For each file, the ids in all files before it.
 
-    Only numbers of ids are summed: first by shard, whose number is that of the
-    writing tasks, then by file within a shard.
+    Only numbers of ids are summed: first by shard, of which there are
+    MOST_PARTITIONS at most, then by file within a shard.
     """
     sizes = files.select("shard", "part", "n_ids")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
