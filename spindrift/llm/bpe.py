@@ -151,7 +151,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     One row comes out for each row, in no order, with the columns ``doc_id``,
     ``ids`` and ``decoded`` alone.  A null text counts as empty and gives no ids;
-    a null id stays null; repeated rows give repeated results.
+    a null id stays null; repeated rows give repeated results, an empty table none;
+    other columns are ignored, whatever their names.  A very long text is cut into
+    chunks, one after the other within its row, whose ids it gives whole.
     """
 
     return common.documents(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, codec(path, pattern, chunk, overlap)), ENCODED)

@@ -107,9 +107,8 @@ MEASURED = T.StructType(
 def measure_batch(meter: Meter, batch: pa.RecordBatch, text_col: str, langs: list[str | None]) -> list[tuple]:
     """The columns of MEASURED after the first, for each row."""
     column = batch.column(text_col).fill_null("")
-    data, offsets = hashing.text_bytes(column)
-    starts, ends, first = hashing.words(data, offsets)
-    repeats = repeated(hashing.word_hashes(data, starts, ends), first)
+    _, _, keys, first = hashing.word_table(*hashing.text_bytes(column))
+    repeats = repeated(keys, first)
     out = []
     for text, lang, n, repeat in zip(column.to_pylist(), langs, np.diff(first).tolist(), repeats.tolist()):
         word_chars = len(text) - sum(map(text.count, SPACES))
@@ -141,7 +140,10 @@ def measure(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, id
 
     One row comes out for each row.  A null text has no words and so fails the
     base rules; a null id stays null; a null or unknown language falls back to
-    the script of the text.  Columns other than those named are ignored.
+    the script of the text.  Repeated rows give repeated results, an empty table
+    none.  Columns other than those named are ignored.  A very long text is measured
+    whole.  White space never counts as byte fallback, though the piece vocabulary
+    writes line feeds and tabs as bytes.
     """
     lang = F.col(f"`{lang_col}`") if lang_col and lang_col in docs.columns else F.lit(None)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), lang.cast("string").alias("lang"))
@@ -160,7 +162,11 @@ OUT = [pa.field("", t) for t in [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float6
 
 
 def keep(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose verdict is to keep them, with all their columns."""
+    """The rows of ``docs`` whose verdict is to keep them, with all their columns.
+
+    The verdict is that of ``measure``: a null or empty text is not kept, repeated
+    rows share their fate, a missing language column leaves the script to decide.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = meter(ranks_path, pattern, pieces_path)

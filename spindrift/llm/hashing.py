@@ -93,6 +93,34 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return runs(prefix(BYTE[data]), starts, ends)
 
 
+def word_table(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words, and for each text the index of its first word, with the number of words at the end.
+
+    Long data is taken in parts of about ``step`` bytes that end at white space or
+    at the end of a text, so that what is kept for each byte stays bounded.
+    """
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + step)
+        while end < len(data):
+            ahead = SPACES[data[end : end + 65_536]]
+            inner = int(np.searchsorted(offsets, end))
+            stop = int(ahead.argmax()) if ahead.any() else len(ahead)
+            if inner < len(offsets) and offsets[inner] <= end + stop:
+                end = int(offsets[inner])
+                break
+            end += stop
+            if ahead.any():
+                break
+        low, high = np.searchsorted(offsets, [at, end], side="right")
+        own = np.concatenate([[at], offsets[low:high][offsets[low:high] < end], [end]]) - at
+        starts, ends, _ = words(data[at:end], own)
+        parts.append((starts + at, ends + at, word_hashes(data[at:end], starts, ends)))
+        at = end
+    starts, ends, keys = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return starts, ends, keys, np.searchsorted(starts, offsets)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values."""
     step, out = 1, x
