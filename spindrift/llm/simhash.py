@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,7 +176,7 @@ def links(classes: DataFrame, n: int, lanes: int, radius: int, groups: int, reac
     """Links (a, b) between the representatives of distinct fingerprints that span every linked set.
 
     classes has ``rep`` and ``fp``, each fingerprint once; n is about their number
-    and sets the depth of the trees.  A shard with many at home is split by them.
+    and sets the depth of the trees.  A task holds 2 * SPLIT rows of a shard at most.
     """
     forest = Forest(64 * lanes, groups, reach, max(0, int(n / LEAF)).bit_length())
 
@@ -190,38 +190,26 @@ def links(classes: DataFrame, n: int, lanes: int, radius: int, groups: int, reac
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         prints = np.frombuffer(b"".join(pdf["fp"]), dtype=np.uint64).reshape(-1, lanes)
-        reps, labels = pdf["rep"].to_numpy(), linked(prints, pdf["home"].to_numpy(), radius)
+        reps, labels = pdf["rep"].to_numpy(), linked(prints, pdf["home"].to_numpy(), radius, asking=pdf["ask"].to_numpy())
         out = pd.DataFrame({"a": reps, "b": reps[labels]})
         return out[out.a != out.b].drop_duplicates()
 
     dealt = classes.select("rep", "fp").mapInArrow(deal, SHARDS)
-    large = dealt.filter("home").groupBy("shard").count().filter(F.col("count") > SPLIT).select("shard", F.ceil(F.col("count") / SPLIT).cast("long").alias("parts"))
-    split = dealt.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    # each part has its share of those at home; all others of the shard come as queries
-    own = F.pmod(F.xxhash64("fp"), "parts")
-    parts = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("part") == own))
-    return parts.groupBy("shard", "part").applyInPandas(search, "a long, b long")
-
-
-def all_links(classes: DataFrame, n: int, lanes: int, radius: int) -> DataFrame:
-    """Links as of ``links``, from every pair of fingerprints, in blocks of about SPLIT rows against each other.
-
-    For a radius so wide that every side of a tree can hold a match.
-    """
-    parts = max(1, -(-n // SPLIT))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        prints = np.frombuffer(b"".join(pdf["fp"]), dtype=np.uint64).reshape(-1, lanes)
-        reps, home = pdf["rep"].to_numpy(), pdf["home"].to_numpy()
-        # in a block of two parts, those at home have met each other elsewhere
-        labels = linked(prints, home, radius, asking=None if home.all() else ~home)
-        out = pd.DataFrame({"a": reps, "b": reps[labels]})
-        return out[out.a != out.b].drop_duplicates()
-
-    own, other = F.pmod(F.xxhash64("fp"), F.lit(parts)), F.col("other")
-    dealt = classes.select("rep", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("other"))
-    blocks = dealt.select("rep", "fp", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), (F.col("own") <= other).alias("home"))
-    return blocks.groupBy("i", "j").applyInPandas(search, "a long, b long")
+    # a large shard is cut into parts of those at home and parts of the queries, and each pair of parts is a task's
+    share = lambda n: F.ceil(F.sum(n) / SPLIT).cast("long")
+    large = dealt.groupBy("shard").agg(F.count("*").alias("n"), share(F.col("home").cast("long")).alias("homes"), share((~F.col("home")).cast("long")).alias("asking")).filter(F.col("n") > SPLIT).drop("n")
+    split = dealt.join(large, "shard", "left")
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("asking")))
+    block = lambda i, j, home, ask: F.struct(i.alias("i"), j.alias("j"), home.alias("home"), ask.alias("ask"))
+    count = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    none = F.array().cast("array<struct<i:bigint,j:bigint,home:boolean,ask:boolean>>")
+    at_home = F.transform(count(F.col("homes")), lambda o: block(F.least(own, o), F.greatest(own, o), own <= o, own >= o))
+    asked = F.when(F.col("asking") > 0, F.transform(count(F.greatest("asking", F.lit(1))), lambda o: block(own, -1 - o, F.lit(True), F.lit(False)))).otherwise(none)
+    asks = F.when(F.col("homes") > 0, F.transform(count(F.greatest("homes", F.lit(1))), lambda o: block(o, -1 - own, F.lit(False), F.lit(True)))).otherwise(none)
+    whole = F.array(block(F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("home"), F.lit(True)))
+    blocks = F.when(F.col("homes").isNull(), whole).when(F.col("home"), F.concat(at_home, asked)).otherwise(asks)
+    parts = split.select("shard", "rep", "fp", F.explode(blocks).alias("at")).select("shard", "rep", "fp", "at.*")
+    return parts.groupBy("shard", "i", "j").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, lanes: int = 1, radius: int = 4, groups: int = 3, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,14 +220,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, lanes: int = 1, radius: int
     share an id are one document.  Rows without an id share the last one, which
     is returned as null.  A ``reach`` of less than ``radius // groups`` differing
     bits a group makes the search approximate; by default all links are found.
-    No groups at all compare every pair.
-    An empty table gives no rows.
+    An empty table gives no rows; other columns are ignored, whatever their names.
+    A very long text is fingerprinted whole, with a number for each of its words.
     """
-    prints = common.staged(fingerprints(docs, width, lanes, id_col, text_col), "prints")
+    prints, since = common.staged(fingerprints(docs, width, lanes, id_col, text_col), "prints"), len(common.paths())
     classes = common.staged(prints.groupBy("fp").agg(F.min(common.id_order("doc_id")).alias("rep")), "classes")
     n = classes.count()
-    found = components.components(links(classes, n, lanes, radius, groups, radius // groups if reach is None else reach) if groups else all_links(classes, n, lanes, radius))
+    found = components.components(links(classes, n, lanes, radius, groups, radius // groups if reach is None else reach))
     of = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    of = common.concluded(of, "components", since)
     out = prints.join(of, "fp").select("doc_id", "fp", F.col("component_id"))
     return out.withColumn("component_id", F.when(F.col("component_id") == common.NO_ID, None).otherwise(F.col("component_id")))
 
@@ -248,74 +237,3 @@ def digests(found: DataFrame) -> DataFrame:
     """Fingerprints of one lane in hexadecimal digits, highest first."""
     digits = F.lower(F.hex("fp"))
     return found.select("doc_id", F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(8)))).alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(LOWER[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes().split(), width), dtype=np.uint64))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of sets as sorted arrays; two empty ones are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def agreed(ids: list[int], sets: list[np.ndarray], least: float) -> list[int]:
-    """Smallest id that each text reaches over pairs of at least that Jaccard similarity; texts of one id are united.
-
-    Pairs that are united already are not compared, so that a group of copies of
-    one text takes a pass.
-    """
-    groups: list[list[int]] = []
-    for i, own in enumerate(sets):
-        joined, apart = [i], []
-        for group in groups:
-            near = any(ids[i] == ids[j] or (min(len(own), len(sets[j])) >= least * max(len(own), len(sets[j])) and jaccard(own, sets[j]) >= least) for j in group)
-            if near:
-                joined = group + joined
-            else:
-                apart.append(group)
-        groups = [*apart, joined]
-    out = [0] * len(ids)
-    for group in groups:
-        for i in group:
-            out[i] = min(ids[j] for j in group)
-    return out
-
-
-def verified(docs: DataFrame, found: DataFrame, width: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """Ids of ``docs`` that are the smallest of their set, as (first); sets are those of ``found``, cut where no similarity of ``least`` holds them together."""
-    members = common.staged(found.select(common.id_order("doc_id").alias("id"), common.id_order("component_id").alias("set")).distinct(), "members")
-    many = members.groupBy("set").agg(F.count("*").alias("n"))
-    members = common.staged(members.join(many, "set"), "members")
-    texts = common.documents(docs, id_col, text_col).select(common.id_order("doc_id").alias("id"), "text").join(members.filter("n > 1").select("id", "set"), "id")
-    # equal texts meet first
-    texts = texts.groupBy("set", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.min("id").alias("id"), F.min("text").alias("text"))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        ids = pdf["id"].tolist()
-        return pd.DataFrame({"id": ids, "least": agreed(ids, [shingle_set(t, width) for t in pdf["text"]], least)}, dtype="int64")
-
-    checked = texts.groupBy("set").applyInPandas(cut, "id long, least long").filter("id = least")
-    return members.filter("n = 1").select(F.col("id").alias("first")).union(checked.select("id")).distinct()
-
-
-def one_of_each(docs: DataFrame, width: int = 5, lanes: int = 3, radius: int = 47, groups: int = 0, reach: int | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document of each set of near-duplicates, the one with the smallest id, and all columns.
-
-    Near-duplicates are linked at a Jaccard similarity of ``least`` of their
-    shingles, which fingerprints propose and the shingles themselves decide.  Of
-    rows that share an id the least text stays; rows without an id all stay.
-    The defaults take shingles of five words and fingerprints of 192 bits, of which
-    two texts of similarity 0.8 differ in 29 on average, with a deviation of 5; a
-    radius of 47 leaves out about one such pair in several thousand.  So wide a
-    radius reaches every side of a tree, so that all pairs are compared.
-    """
-    found = common.staged(near_duplicates(docs, width, lanes, radius, groups, reach, id_col, text_col), "found")
-    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    first = common.staged(verified(docs, found, width, least, id_col, text_col).select(F.col("first").alias("_first")), "first")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("_id"), text.alias("_text"))
-    stay = rows.join(first, rows._id == first._first, "left_semi")
-    one = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_text"))).filter("_n = 1")
-    return one.select("row").union(rows.filter("_id is null").select("row")).select("row.*")
