@@ -70,7 +70,7 @@ def canonical(value: Column, of: Column) -> Column:
     return (
         F.when(of == "email", F.lower(value))
         .when(of.isin("phone", "ssn", "card"), F.regexp_replace(value, r"\D", ""))
-        .when(of == "person", F.regexp_replace(value, rf"^{_TITLE}\.? ", ""))
+        .when(of == "person", F.regexp_replace(value, rf"^(?:{_TITLE}\.? )?(?:{_GIVEN} )?", ""))
         .otherwise(value)
     )
 
@@ -149,19 +149,21 @@ def is_cyrillic(value: Column) -> Column:
 def person(value: Column, seed: list[Column]) -> Column:
     """Title kept; a given name of the same script and gender; a made-up surname, the same for all who share one.
 
-    Drawn again, the surname depends on the whole name, as that is what must differ.
+    Given names go round their list by a keyed step, so that no two become one; the
+    surnames are kept apart by ``collisions``.  Drawn again, a surname is longer.
     """
     title = F.regexp_extract(value, rf"^({_TITLE}\.? )?", 1)
     rest = F.regexp_replace(value, rf"^{_TITLE}\.? ", "")
     given = F.regexp_extract(rest, rf"^({_GIVEN}) ", 1)
     surname = F.regexp_replace(rest, rf"^{_GIVEN} ", "")
-    attempt = seed[-1]
-    base = F.when(attempt == 0, surname).otherwise(rest)
-    fresh = F.initcap(F.when(is_cyrillic(surname), syllables(4, "cyrillic", [base, *seed])).otherwise(syllables(4, "latin", [base, *seed])))
+    drawn = lambda script: F.concat(syllables(4, script, [surname, *seed]), F.when(seed[-1] > 0, syllables(3, script, [surname, *seed, F.lit("more")])).otherwise(""))
+    fresh = F.initcap(F.when(is_cyrillic(surname), drawn("cyrillic")).otherwise(drawn("latin")))
     first = F.lit("")
     for script, genders in NAMES.items():
         for gender, names in genders.items():
-            pick = F.element_at(F.array(*map(F.lit, names)), (draw(len(names), given, *seed) + 1).cast("int"))
+            listed = F.array(*map(F.lit, names))
+            step = 1 + draw(len(names) - 1, *seed[:-1])
+            pick = F.element_at(listed, (F.pmod(F.array_position(listed, given) - 1 + step, F.lit(len(names))) + 1).cast("int"))
             first = F.when(given.isin(names), F.concat(pick, F.lit(" "))).otherwise(first)
     return F.concat(title, first, fresh)
 
@@ -227,15 +229,39 @@ def found(text: Column) -> Column:
     return F.transform(typed, lambda x: F.struct(x["value"].alias("value"), x["kind"].alias("kind"), canonical(x["value"], x["kind"]).alias("canonical")))
 
 
-def collisions(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+def crowded(entities: DataFrame) -> DataFrame:
+    """The cells (kind, cell) of digit strings that hold over a tenth of all that such a string can be.
+
+    A permutation of digits keeps the length and the first ones; a cell is what
+    agrees in these.
+    """
+    n = F.length("canonical")
+    moved = F.when(F.col("kind") == "phone", n - 1).when(F.col("kind") == "card", n - 2).otherwise(n)
+    free = 2 * F.least(F.floor(moved / 2), F.lit(17))
+    cells = in_cells(entities).groupBy("kind", "cell").agg(F.count("*").alias("n"), F.max(F.when(F.col("kind") == "ip", F.lit(2.0**32)).otherwise(F.pow(F.lit(10.0), free))).alias("size"))
+    return cells.filter(F.col("kind").isin("phone", "ssn", "card", "ip") & (F.col("n") > F.col("size") / 10)).select("kind", "cell")
+
+
+def in_cells(entities: DataFrame) -> DataFrame:
+    n = F.length("canonical")
+    digits = F.col("kind").isin("phone", "ssn", "card")
+    kept = F.when(F.col("kind") == "phone", 1 + (n - 1) % 2).when(F.col("kind") == "card", 1 + n % 2).otherwise(n % 2)
+    return entities.withColumn("cell", F.when(digits, F.concat_ws("-", n.cast("string"), F.substring("canonical", F.lit(1), kept))).otherwise(""))
+
+
+def collisions(entities: DataFrame, key: str) -> DataFrame:
     """Entities (kind, canonical) that need another draw, with its number ``attempt``.
 
     entities: kind and canonical, each pair once.  Of the entities with one
-    surrogate the least keeps it.  A surrogate that is a real value is always
-    drawn again.
+    surrogate the least keeps it.  A surrogate that is a real value is drawn again,
+    so that a round leaves a tenth of the entities at most, until none collides.
+    In a cell of digit strings so crowded that other strings are scarce, the first
+    draw stands: it is a permutation, which keeps all apart, though some surrogate
+    can be another's real value.
     """
-    drawn = entities.withColumn("attempt", F.lit(0))
-    for _ in range(rounds):
+    dense = common.staged(crowded(entities), "crowded")
+    drawn = in_cells(entities).join(dense, ["kind", "cell"], "left_anti").select("kind", "canonical", F.lit(0).alias("attempt"))
+    while True:
         # within a function of one row, the long expression is not compiled, which would take much memory
         fresh = let(F.struct("canonical", "kind", "attempt"), lambda x: canonical(surrogate(x["canonical"], x["kind"], key, x["attempt"]), x["kind"]))
         named = common.staged(drawn.withColumn("surrogate", fresh), "surrogates")
@@ -248,20 +274,23 @@ def collisions(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
         if not flagged.filter("collides").limit(1).count():
             return flagged.filter("attempt > 0").select("kind", "canonical", "attempt")
         drawn = flagged.drop("collides")
-    raise RuntimeError("surrogates still collide; the space of one kind is too small for its entities")
 
 
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text with surrogates for its entities, as (doc_id, text, n_entities).
 
     A null text counts as empty; a null id stays null; one row comes out for each
-    row; other columns are ignored.  The key decides all draws: keep it secret and
-    use it again to treat more documents alike.
+    row, none for an empty table, and repeated rows get the same result; other
+    columns are ignored, whatever their names; texts are treated whole, however
+    long.  Persons are known again by their surname, numbers by their digits: a
+    phone number with and without its country code is two entities.  The key decides
+    all draws: keep it secret and use it again to treat more documents alike.
     """
     rows = common.documents(docs, id_col, text_col)
     each = rows.select(F.explode(found(F.col("text"))).alias("x")).select("x.kind", "x.canonical")
+    since = len(common.paths())
     entities = common.staged(each.groupBy("kind", "canonical").count().drop("count"), "entities")
-    redrawn = collisions(entities, key)
+    redrawn = common.concluded(collisions(entities, key), "redrawn", since)
     if redrawn.limit(1).count():
         # only documents that hold such an entity are joined
         spread = rows.withColumn("copy", F.xxhash64("text"))
