@@ -10,11 +10,12 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import regex
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.llm import binpack, bpe, components, decontaminate, fertility, hashing, lines, quality, relative, simhash, styletree, surrogates
+from spindrift.llm import binpack, bpe, components, decontaminate, fertility, hashing, lines, quality, relative, shingles, simhash, styletree, surrogates
 
 RANKS, PIECES, WORD = P.path("byte_bpe_multi_50k.tiktoken"), P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 
@@ -56,12 +57,16 @@ def test_banded_edit_distance(spark, k):
         assert min(d, k + 1) == min(levenshtein(a, b), k + 1), (a, b)
 
 
-def brute_lines(rows, k=2, least=10, near=40):
+def compared(line):
+    return "".join(" " if c in "\t\r\x0b\x0c" else c for c in line).strip(" ")
+
+
+def brute_lines(rows, k=2, least=1, near=10):
     docs = sorted({(d if d is not None else 2**63 - 1, t) for d, t in rows})
     first = {}
     for d, t in docs:
-        for line in t.split("\n"):
-            first[line.strip(" ")] = min(first.get(line.strip(" "), d), d)
+        for line in map(compared, t.split("\n")):
+            first[line] = min(first.get(line, d), d)
     long = [x for x in first if len(x) >= near]
     gone, links = set(), Counter()
     for i, a in enumerate(long):
@@ -75,12 +80,12 @@ def brute_lines(rows, k=2, least=10, near=40):
     for d, t in docs:
         seen, kept = set(), []
         for line in t.split("\n"):
-            s = line.strip(" ")
+            s = compared(line)
             if len(s) >= least and (s in gone or s in seen or first[s] < d):
                 continue
             seen.add(s)
             kept.append(line)
-        out[d, t] = "\n".join(kept), sum(links[x.strip(" ")] for x in t.split("\n"))
+        out[d, t] = "\n".join(kept), sum(links[compared(x)] for x in t.split("\n"))
     return out
 
 
@@ -112,6 +117,36 @@ def test_short_lines_within_two_edits_go(spark):
     assert by_id(lines.dedup(spark.createDataFrame(rows[:2], "doc_id long, text string")))[2].text == ""
 
 
+def test_the_join_is_exact_for_lines_of_a_few_characters(spark):
+    r = random.Random(12)
+    rows = [(i, "\n".join("".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) for _ in range(3))) for i in range(150)]
+    for near in (3, 5):
+        want = brute_lines(rows, near=near)
+        got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), near_chars=near).collect()
+        assert {(x.doc_id, x.text, x.n_links) for x in got} == {(d, *v) for (d, _), v in want.items()}
+
+
+def test_white_space_at_the_ends_and_kinds_of_it_do_not_count(spark):
+    rows = [(1, "one\r\n\ttwo  words\n }\n\n"), (2, "one\n two \twords\r\n}\n\n\r\nnew")]
+    got = by_id(lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1].text == rows[0][1] and got[2].text == "\n\r\nnew" and got[2].n_removed == 3 and got[2].n_lines == 4
+
+
+def test_letter_counts(spark):
+    r = random.Random(13)
+    pairs = []
+    for _ in range(300):
+        a = [r.choice(lines.LETTERS + "xé ") for _ in range(r.randint(0, 136))]
+        b = list(a)
+        for _ in range(2):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = r.choice(["", "e", "t", "x"])
+        pairs.append(("".join(a), "".join(b)))
+    df = lines.with_counts(lines.with_counts(spark.createDataFrame(pairs, "a string, b string"), "a", "x"), "b", "y")
+    for row in df.select("a", "x", lines.count_distance(F.col("x"), F.col("y")).alias("d")).collect():
+        assert row.x == sum(row.a.count(c) % 8 << 3 * i for i, c in enumerate(lines.LETTERS)) and row.d <= 4
+
+
 def test_line_dedup_on_odd_rows(odd, none):
     want = brute_lines([(d, t) for d, t in source(odd)])
     got = lines.dedup(odd).collect()
@@ -193,6 +228,74 @@ def test_repeated_branches_go_without_names(spark):
     assert all(text[i] == f"Own text number {i}" for i in range(40))
     assert text[100] == "Same words on all pages\nOwn text number 1\nTwo of 1" and text[101] == "" and text[102] == "x"
     assert styletree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    wide = [(*r, "c", 1, "p", [1]) for r in rows] + [(103, "http://long.example/", "<p>" + "<b>word</b> " * 200_000, "c", 1, "p", [1])]
+    named = styletree.extract(spark.createDataFrame(wide, "page_id long, url string, html string, host string, low long, path string, above array<int>")).collect()
+    assert {r.page_id: r.text for r in named if r.page_id != 103} == text and [r.n_chars for r in named if r.page_id == 103] == [999_999]
+
+
+def test_inline_furniture_and_comments_go_and_names_are_a_prior():
+    assert styletree.main_text('<p>Text <span class="ad">Buy <span>now</span></span> on <a class="x" href="/id">link</a></p>') == "Text on link"
+    assert styletree.main_text('<p>Text <span hidden>gone</p><p>next</p>') == "Text\nnext"
+    assert styletree.main_text("<article><p>Story</p><article><p>First!</p></article><section><article>Me too</article></section></article>") == "Story"
+    assert styletree.main_text('<article><p>a</p><div class="related-work">b</div><div class="comments-list">c</div><p class="advice">d</p></article>') == "a\nb\nd"
+
+
+def test_hints_in_an_article_give_way_to_many_pages(spark):
+    page = "<article><p>Story {n} is told</p><div class='notice'>Point {n} of note</div><div class='share'>Tell your friends</div></article>"
+    rows = [(i, "https://h.example/a", page.format(n=i)) for i in range(30)] + [(99, "https://other.example", page.format(n=99))]
+    got = {r.page_id: r.text for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} is told\nPoint {i} of note" for i in range(30)) and got[99] == "Story 99 is told"
+
+
+def test_tree_equals_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(40):
+        items = "".join(f"<li>{r.choice('abc')}" for _ in range(3))
+        kind = r.choice(["<ul>%s</ul>", "<ol>%s</ol>", "<p>%s"])
+        rows.append((i, f"http://{'ab'[i % 3 == 0]}.example/", f"<body><div class='x{i}'>{kind % items}<p>{r.choice(['same', str(i)])}</p></div><div id=y>{r.randint(0, 2)}<p>t</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(x.host, x.path): (x.n_pages, x.importance) for x in styletree.tree(df.select(styletree.host(F.col("url")).alias("host"), "html")).collect()}
+    want = {}
+    for host in {u for _, u, _ in rows}:
+        pages = [styletree.seen(h) for _, u, h in rows if u == host]
+        nodes = {n.path: n for p in pages for n, *_ in p}
+        on = {q: sum(any(n.path == q and k == styletree.PAGE for n, k, *_ in p) for p in pages) for q in nodes}
+        for q in nodes:
+            texts = Counter((n.path, v, size) for p in pages for n, k, v, size in p if k == styletree.CONTENT and q in n.above)
+            if not texts or on[q] < 2:
+                continue
+            total = sum(size * c for (_, _, size), c in texts.items())
+            content = 1 - sum(size * c * np.log(c) / np.log(on[path]) for (path, _, size), c in texts.items() if on[path] > 1) / total
+            styles = Counter(v for p in pages for n, k, v, _ in p if k == styletree.LAYOUT and n.path == q)
+            shares = [c / sum(styles.values()) for c in styles.values()]
+            layout = -sum(x * np.log(x) for x in shares) / np.log(on[q])
+            w = styletree.GAMMA ** len(styles)
+            want[host[7:-1], q] = on[q], (1 - w) * layout + w * content
+    got = {k: v for k, v in got.items() if v[0] > 1}
+    assert set(got) == set(want) and len(got) > 12
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_the_tree_finds_the_text_of_pages_without_telling_names(spark, make_prose):
+    """Nameless divs alone: menus, adverts and footers come back on the pages of a host, articles don't."""
+    r, rows, want = random.Random(21), [], {}
+    for h in range(6):
+        menu = "".join(f"<li>{make_prose(500 + 10 * h + i, 2)}" for i in range(6))
+        adverts = [make_prose(600 + 10 * h + i, 9) for i in range(3)]
+        foot = make_prose(700 + h, 8)
+        for n in range(30):
+            story = [make_prose(10_000 + 100 * (30 * h + n) + i, r.randint(5, 60)) for i in range(r.randint(1, 6))]
+            own = "".join(f"<p>{p}</p>" for p in story)
+            rows.append((len(rows), f"http://h{h}.example/{n}", f"<html><body><div class=a><ul>{menu}</ul></div><div class=b>{r.choice(adverts)}</div><div class=c><div>{own}</div></div><div class=d>{foot}</div></body></html>"))
+            want[rows[-1][0]] = "\n".join(story)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in styletree.extract(df).collect()}
+    uncut = {x.page_id: x.text for x in styletree.extract(df, low=0.0, low_inside=0.0).collect()}
+    assert sum(got[i] != uncut[i] for i in want) == len(want)  # pages that the tree changes
+    kept = sum(len(set(got[i].split("\n")) & set(t.split("\n"))) for i, t in want.items())
+    assert kept >= 0.99 * sum(len(set(t.split("\n"))) for t in want.values())  # recall of blocks
+    assert kept >= 0.99 * sum(len(set(t.split("\n"))) for t in got.values())  # precision
 
 
 # quality classifier
@@ -210,6 +313,31 @@ def test_quality_learns_and_generalises(spark, make_prose):
     assert all(got[i].score == again[i].score for i in range(400))
 
 
+def test_fit_equals_brute_force():
+    """Ratios and the hinge loss by plain definitions: no single weight of a row can be moved to a lower dual objective."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(60)]
+    labels = np.array([int(20 <= r.mean()) for r in rows])
+    p, q = np.ones(quality.SIZE), np.ones(quality.SIZE)
+    for r, y in zip(rows, labels):
+        for x in r:
+            (p if y else q)[x] += 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    signs, cost = np.where(labels == 1, 1.0, -1.0), np.ones(60)
+    w, bias = quality.fit_hinge(rows, np.arange(60), ratio, signs, cost, rounds=400)
+    x = np.zeros((60, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+        x[i, 40] = 1.0
+    primal = lambda v: 0.5 * v @ v + np.maximum(0, 1 - signs * (x @ v)).sum()
+    found = np.append(w[:40], bias)
+    assert all(primal(found) <= primal(found + rng.normal(0, s, 41)) + 1e-3 for s in (0.01, 0.1, 0.5) for _ in range(200))
+    many = np.zeros(quality.SIZE, dtype=bool)
+    many[::3] = True
+    kept = quality.Rows([quality.packed(many), quality.packed(np.arange(quality.SIZE) < 7)])
+    assert kept[0].tolist() == np.flatnonzero(many).tolist() and kept[1].tolist() == list(range(7)) and max(map(len, kept.grams)) <= quality.SIZE // 8
+
+
 def test_quality_on_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (6, 0)], "doc_id long, quality int")
     model = quality.train(odd, labels)
@@ -257,6 +385,30 @@ def test_substring_dedup_equals_brute_force(spark):
     for window, anchor in ((10, 3), (6, 6), (8, 1)):
         got = sorted((x.doc_id, x.n_words, x.n_removed, bytes(x.kept)) for x in relative.dedup(df, window, anchor).collect())
         assert got == brute_spans(rows, window)
+        texts = {(x.doc_id, x.copy): x.text.split() for x in relative.prepared(df, "doc_id", "text").collect()}
+        covered = {k: set() for k in texts}
+        for x in relative.factors(df, window, anchor).collect():
+            own, source = texts[x.doc, x.copy], texts[x.source, x.source_copy]
+            assert x.source < x.doc and x.n_words >= window
+            assert own[x.start : x.start + x.n_words] == source[x.source_start : x.source_start + x.n_words] and x.start + x.n_words <= len(own)
+            covered[x.doc, x.copy] |= set(range(x.start, x.start + x.n_words))
+        assert {(d, len(texts[d, c]), len(v)) for (d, c), v in covered.items()} == {x[:3] for x in brute_spans(rows, window)}
+
+
+def test_seeds_grow_along_their_diagonal():
+    s = [{"start": a, "n": n, "source": d, "source_copy": 0, "source_start": p} for a, n, d, p in ((7, 1, 1, 17), (0, 5, 1, 10), (5, 2, 1, 15), (8, 1, 2, 18), (9, 1, 2, 30))]
+    assert relative.extended(s, 10) == [(0, 17, 1, 0, 10), (8, 10, 2, 0, 18), (9, 10, 2, 0, 30)]
+
+
+def test_words_are_hashed_in_parts():
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab\u00e9 \n") for _ in range(r.randint(0, 90))) for _ in range(60)] + ["", "x" * 300, " "]
+    data, offsets = hashing.text_bytes(pa.array(texts))
+    starts, ends, first = hashing.words(data, offsets)
+    for step in (1, 7, 64, 10**6):
+        a, b, keys, c = hashing.word_table(data, offsets, step)
+        assert a.tolist() == starts.tolist() and b.tolist() == ends.tolist() and c.tolist() == first.tolist()
+        assert keys.tolist() == hashing.word_hashes(data, starts, ends).tolist()
 
 
 def test_substring_dedup_on_odd_rows(odd, none):
@@ -295,6 +447,46 @@ def test_excerpts_of_thirteen_words_are_found(spark, make_prose):
     assert {x.doc_id for x in decontaminate.clean(df, bench).collect()} == {100}
 
 
+def test_short_items_stand_as_whole_words_and_long_texts_are_cut(spark, make_prose, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 700)
+    items = [(1, "Two  words"), (2, "elevenbytes"), (3, make_prose(950, 30)), (4, "x")]
+    docs = [(1, "here two words stand"), (2, "two wordsmiths"), (3, "elevenbytes"), (4, "eleven bytes, or elevenbytesx"), (5, make_prose(951, 500) + " two\nWORDS")]
+    docs += [(100 + i, f"{make_prose(952, i)} {make_prose(950, 30)} {make_prose(953, 400)}") for i in range(0, 120, 7)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(df, bench).collect()}
+    assert found == {(1, 1), (3, 2), (5, 1)} | {(d, 3) for d, _ in docs if d >= 100}
+    same = np.frombuffer(b"a" * 5000, dtype=np.uint8)
+    index = decontaminate.Items([(1, b"a" * 300)], decontaminate.Q, decontaminate.REGION, decontaminate.ERRORS)
+    assert index.hits(same) and not index.hits(np.frombuffer(b"ab" * 2500, dtype=np.uint8))
+
+
+def test_decontamination_equals_brute_force(spark, make_prose):
+    """Every region of every item against every text, by the plain table of edits."""
+    r = random.Random(15)
+
+    def least_edits(region, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(region, 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    items = [(i, make_prose(960 + i, 16)) for i in range(4)]
+    docs = []
+    for i in range(24):
+        part = list(items[i % 4][1][r.randint(0, 20) : r.randint(60, 130)])
+        for _ in range(r.randint(0, 9)):
+            at = r.randrange(len(part))
+            part[at : at + r.randint(0, 1)] = r.choice(["", "q", "zz"])
+        docs.append((i, f"{make_prose(970 + i, 4)} {''.join(part)} {make_prose(990 + i, 3)}"))
+    index = decontaminate.Items([(i, decontaminate.normal(t)) for i, t in items], decontaminate.Q, decontaminate.REGION, decontaminate.ERRORS)
+    want = {(d, item) for d, t in docs for item, _, region, budget in index.regions if least_edits(region.tobytes(), decontaminate.normal(t)) <= budget}
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want and 4 < len(want) < 24
+
+
 def test_decontamination_on_odd_rows(odd, none, spark):
     bench = spark.createDataFrame([(1, odd.filter("doc_id = 1").first().text[:300])], "item_id long, text string")
     assert {x.doc_id for x in decontaminate.leaks(odd, bench).collect()} == {1, 2}
@@ -391,9 +583,10 @@ def test_word_bpe_is_the_library(text):
 
 def test_packing_query(odd, none):
     got = binpack.digests(binpack.write(odd, WORD, 1, file_ids=500)).collect()
-    rows = sorted(((2**63 - 1 if d is None else d, t) for d, t in source(odd)))
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    rows = sorted(((2**63 - 1 if d is None else d, signed(t), t) for d, t in source(odd)))
     start, want = 0, []
-    for d, t in rows:
+    for d, _, t in rows:
         ids = MODEL.library(t) + b"\1\0\0\0"
         want.append((None if d == 2**63 - 1 else d, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
@@ -433,6 +626,29 @@ def test_base_rules_equal_brute_force(odd, none, spark):
     assert kept.columns == odd.columns and kept.count() == fertility.measure(odd, RANKS, P.PATTERN, PIECES).filter("kept").count()
 
 
+def test_verdict_equals_the_libraries(spark):
+    """Measures and verdict from the libraries' own encodings."""
+    import sentencepiece
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pieces, base = sentencepiece.SentencePieceProcessor(model_file=PIECES), bpe.codec(RANKS, P.PATTERN).base
+    got = by_id(fertility.measure(docs, RANKS, P.PATTERN, PIECES))
+    space = {f"<0x{ord(c):02X}>" for c in fertility.SPACES}
+    for row in docs.collect():
+        text, r = row.text or "", got[row.doc_id]
+        words = regex.findall(r"[^\x20\x09-\x0D]+", text)
+        ids = base.encode_ordinary(text)
+        counts = Counter(ids)
+        entropy = -sum(c / len(ids) * np.log2(c / len(ids)) for c in counts.values()) / np.log2(len(ids)) if len(ids) > 1 else 0.0
+        per_token = sum(map(len, words)) / len(ids) if ids and words else 0.0
+        bytes_ = sum(pieces.is_byte(i) and pieces.id_to_piece(i) not in space for i in pieces.encode(text))
+        fallback = bytes_ / len(text.encode()) if ids and words else 0.0
+        assert abs(r.chars_per_token - per_token) < 1e-9 and abs(r.fallback_share - fallback) < 1e-9
+        assert abs(r.token_entropy - (entropy if words else 0.0)) < 1e-9
+        low, high, most, least = fertility.BANDS[row.lang if row.lang in fertility.BANDS else fertility.script(text)]
+        assert r.kept == (not r.base_failed and low <= per_token <= high and fallback <= most and entropy >= least)
+
+
 def test_byte_fallback_is_that_of_the_pieces():
     m = fertility.meter(RANKS, P.PATTERN, PIECES)
     import sentencepiece
@@ -521,23 +737,22 @@ def test_one_of_each_group_stays(spark, make_prose, odd):
     near = base.copy()
     near[40] = "changed"
     rows = [(5, " ".join(base), "a"), (9, " ".join(near), "b"), (2, make_prose(78, 300), "c"), (9, " ".join(near), "b"), (None, " ".join(base), "d")]
-    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _id string"))
+    got = shingles.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _id string"))
     assert got.columns == ["doc_id", "text", "_id"] and sorted((r.doc_id or -1) for r in got.collect()) == [-1, 2, 5]
-    assert simhash.one_of_each(odd).columns == odd.columns
+    assert shingles.one_of_each(odd).columns == odd.columns
 
 
-def test_one_of_each_goes_by_the_jaccard_similarity(spark, make_prose, monkeypatch):
-    monkeypatch.setattr(simhash, "SPLIT", 40)  # several blocks
+def test_one_of_each_goes_by_the_similarity_of_shingles(spark, make_prose):
     r, rows = random.Random(12), []
     for i in range(60):
         w = [f"{x}{r.randint(0, 999)}" for x in make_prose(2000 + i, 200).split()]
         rows.append((2 * i, " ".join(w)))
-        for at in r.sample(range(len(w)), r.randint(2, 14)):
+        for at in r.sample(range(len(w)), r.randint(2, 22)):
             w[at] = "new"
         rows.append((2 * i + 1, " ".join(w)))
     grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
-    near = {b for (a, x), (b, y) in zip(rows[::2], rows[1::2]) if len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y))}
-    got = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = {b for (a, x), (b, y) in zip(rows[::2], rows[1::2]) if len(grams(x) & grams(y)) >= 0.8 * (len(grams(x)) * len(grams(y))) ** 0.5}
+    got = {x.doc_id for x in shingles.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert 5 < len(near) < 55 and got == {d for d, _ in rows} - near
 
 
@@ -562,3 +777,24 @@ def test_sliding_minimum():
     x = np.random.default_rng(0).integers(0, 1000, 60)
     for width in (1, 2, 3, 7, 43):
         assert hashing.sliding_min(x, width).tolist() == [x[i : i + width].min() for i in range(len(x) - width + 1)]
+
+
+# very long texts
+
+
+def test_very_long_texts(spark, make_prose):
+    """A text of some MB beside short ones, whole or as one line or one word, through all operators on documents."""
+    words = make_prose(3000, 20_000).split()
+    long = "\n".join([" ".join(words[i : i + 400] + [str(i)]) for i in range(0, 20_000, 400)] * 12)
+    rows = [(1, long, "en"), (2, long.replace("\n", " "), "en"), (3, "x" * 600_000, "en"), (4, make_prose(3001, 60), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    bench = spark.createDataFrame([(1, " ".join(words[500:540]))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(df, bench).collect()} == {1, 2}
+    assert by_id(bpe.encode(df, RANKS, P.PATTERN))[1].decoded == long.encode()
+    assert by_id(fertility.measure(df, RANKS, P.PATTERN, PIECES))[1].n_dup_lines == 11 * 50
+    assert simhash.near_duplicates(df).count() == 4 and {r.doc_id for r in shingles.one_of_each(df).collect()} == {1, 3, 4}
+    removed = {r.doc_id: (r.n_words, r.n_removed) for r in relative.dedup(df).collect()}
+    assert removed[1][1] == 0 and removed[2] == (removed[1][0], removed[1][0]) and removed[3] == (1, 0)
+    assert by_id(lines.dedup(df))[1].n_removed == 11 * 50
+    assert surrogates.replace(df, "k").count() == 4 and binpack.digests(binpack.write(df, WORD, 1)).count() == 4
+    assert quality.score(df, quality.fit([np.array([1, 2]), np.array([3])], np.array([0, 1]))).count() == 4
