@@ -752,8 +752,10 @@ def test_one_of_each_goes_by_the_similarity_of_shingles(spark, make_prose):
         rows.append((2 * i + 1, " ".join(w)))
     grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
     near = {b for (a, x), (b, y) in zip(rows[::2], rows[1::2]) if len(grams(x) & grams(y)) >= 0.8 * (len(grams(x)) * len(grams(y))) ** 0.5}
-    got = {x.doc_id for x in shingles.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id for x in shingles.one_of_each(df).collect()}
     assert 5 < len(near) < 55 and got == {d for d, _ in rows} - near
+    assert {x.id for x in shingles.families(df, exhaustive=True).collect() if x.id == x.family} == got
 
 
 def test_components(spark):
