@@ -758,6 +758,31 @@ def test_one_of_each_goes_by_the_similarity_of_shingles(spark, make_prose):
     assert {x.id for x in shingles.families(df, exhaustive=True).collect() if x.id == x.family} == got
 
 
+@pytest.mark.parametrize("split", [7, 4096])
+def test_one_of_each_compares_all_that_can_be_linked(spark, make_prose, monkeypatch, split):
+    """Groups of texts about at the bound, where the nearest rows of other families are often not within it."""
+    monkeypatch.setattr(shingles, "SPLIT", split)
+    r, rows = random.Random(31), []
+    for i in range(4):
+        base = [f"{x}{r.randint(0, 999)}" for x in make_prose(4000 + i, 200).split()]
+        for j in range(40):
+            w = base.copy()
+            for at in r.sample(range(len(w)), r.randint(3, 7)):
+                w[at] = f"new{r.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    least = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if least[a] != least[b] and len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5:
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 20 < len(set(least)) < 140
+    assert {x.id: x.family for x in shingles.families(df).collect()} == dict(enumerate(least))
+    assert {x.doc_id for x in shingles.one_of_each(df).collect()} == set(least)
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (None, 3), (20, 1), (1, 2)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
