@@ -147,6 +147,28 @@ def test_letter_counts(spark):
         assert row.x == sum(row.a.count(c) % 8 << 3 * i for i, c in enumerate(lines.LETTERS)) and row.d <= 4
 
 
+def test_count_distance_is_the_sum_over_all_letters(spark):
+    r = random.Random(14)
+    top = 2**63 - 1
+    pairs = [(r.getrandbits(63), r.getrandbits(63)) for _ in range(500)] + [(0, top), (top, 0), (top, top), (4 << 60, 0), (0, 4 << 57)]
+    apart = lambda a, b: sum(min((x - y) % 8, (y - x) % 8) for x, y in zip((a >> 3 * n & 7 for n in range(21)), (b >> 3 * n & 7 for n in range(21))))
+    for row in spark.createDataFrame(pairs, "a long, b long").select("a", "b", lines.count_distance(F.col("a"), F.col("b")).alias("d")).collect():
+        assert row.d == apart(row.a, row.b)
+
+
+def test_only_lines_that_share_a_key_go_on(spark, make_prose):
+    alone = [make_prose(5000 + i, 14) for i in range(40)]
+    near, far = alone[0][:20] + "q" + alone[0][21:], alone[1][:60] + make_prose(5100, 8)
+    far = (far + "x" * len(alone[1]))[: len(alone[1])]  # as long as the other, which it starts like
+    rows = [(i, x) for i, x in enumerate([*alone, *alone[20:], near, far])]
+    each = spark.createDataFrame(rows, "doc long, line string").withColumn("h", F.xxhash64("line"))
+    line = {x.h: x.line for x in each.collect()}
+    met = lines.meeting(each, 2)
+    assert {line[x.h] for x in met.collect()} == {alone[0], near, alone[1], far}
+    # rows are dealt out by key once, and read twice
+    assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup_on_odd_rows(odd, none):
     want = brute_lines([(d, t) for d, t in source(odd)])
     got = lines.dedup(odd).collect()
