@@ -19,6 +19,8 @@ from . import common
 
 THRESHOLD, MIN_CHARS, NEAR_CHARS = 2, 1, 10
 LETTERS = "etaoinsrhldcumpgbfyvw"
+#: Tasks that the copies of one line are dealt to where lines are looked up.
+PARTS = 8
 #: White space that counts as a space each: any but the line feed.
 SPACES = "\t\r\x0b\x0c"
 
@@ -207,8 +209,9 @@ def near_lines(rows: DataFrame, k: int, least: int) -> DataFrame:
     A line is earlier if its first document is; within one document the hash decides.
     """
     each = rows.select("doc", F.explode("lines").alias("line")).filter(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
-    wanted = common.staged(meeting(each, k), "meeting").select("h")
-    distinct = each.join(wanted.hint("shuffle_hash"), "h", "left_semi").groupBy("h", "line").agg(F.min("doc").alias("first"))
+    # copies of a common line go to several tasks, by their documents
+    wanted = common.staged(meeting(each, k), "meeting").select("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).alias("part"))
+    distinct = each.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PARTS))).join(wanted.hint("shuffle_hash"), ["h", "part"], "left_semi").groupBy("h", "line").agg(F.min("doc").alias("first"))
     distinct = common.staged(with_counts(distinct, "line", "counts"), "lines")
     keyed, own, names = tagged(distinct, k, "counts")
     index = keyed.select("h", "counts", F.explode(F.array(*own)).alias("key")).toDF("a", "a_counts", "key")
