@@ -197,7 +197,9 @@ def meeting(each: DataFrame, k: int) -> DataFrame:
     work in a key grows with its rows, not with their pairs.
     """
     rows, own, names = tagged(each, k)
-    dealt = rows.select("h", F.posexplode(F.array(*names)).alias("at", "key")).select("key", "h", (F.col("at") < len(own)).alias("own")).repartition("key")
+    # a task holds all its keys twice over, so there are more tasks than in other stages, and each stays small
+    parts = 2 * int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("h", F.posexplode(F.array(*names)).alias("at", "key")).select("key", "h", (F.col("at") < len(own)).alias("own")).repartition(parts, "key")
     shared = dealt.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own")).filter("own and low <> high").select("key")
     # an inner join and all columns, so that both sides read the same exchange: a semi-join would be moved below it
     return dealt.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.max("own").alias("own"))
