@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from ..functions import vectors as V
 from ..session import importable
 
-#: Largest block of query vectors that goes to every task; scores that a task computes at once; rows of a block where all are queries.
-BLOCK_BYTES, SCORES, PART = 8 << 20, 4 << 20, 8192
+#: Largest block of query vectors that goes to every task; scores that a task computes at once, and for so many queries; rows of a block where all are queries.
+BLOCK_BYTES, SCORES, ASKING, PART = 8 << 20, 1 << 18, 256, 8192
 MARGIN = 1e-6
 
 
@@ -153,13 +153,32 @@ def scored_batch(ids: np.ndarray, query: np.ndarray, vec_id: np.ndarray, score:
     return pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(vec_id), pa.array(score)], names=SCORED.fieldNames())
 
 
+def share(block: object, of: slice) -> object:
+    """Some queries of a block, whose arrays have a row for each query."""
+    return tuple(share(x, of) for x in block) if isinstance(block, tuple) else block[of] if isinstance(block, np.ndarray) else block
+
+
+def chosen(s: np.ndarray, k: int | None, threshold: float | None, margin: float, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the scores that can be among the k best of a row and those of ``least``, or reach the threshold, within a margin for rounding."""
+    wide = margin * np.maximum(1, np.abs(s)) if margin else 0
+    with np.errstate(invalid="ignore"):
+        keep = ~np.isnan(s) if threshold is None else s >= threshold - wide
+        if k is not None:
+            floor = least
+            if k + 1 < s.shape[1]:  # one more, as the query may be among the rows
+                floor = np.maximum(floor, np.partition(np.where(np.isnan(s), -np.inf, s), s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1])
+            keep &= s >= floor[:, None] - wide
+    return np.nonzero(keep)
+
+
 def scan(base: DataFrame, blocks: Iterator[tuple[np.ndarray, object]], read: Callable, rough: Callable, exact: Callable | None = None, k: int | None = None, threshold: float | None = None, exclude_self: bool = True) -> DataFrame:
     """Scores of all rows of ``base`` for blocks of queries, as (query_id, vec_id, score): the k best that each task meets, or all.
 
     base: vec_id and whatever ``read`` turns from a batch into arrays of its rows.
     rough: a matrix of scores of the queries with these rows.  exact: scores of single
     pairs (queries, their places, rows, their places), where the matrix is rounded.
-    A score that is not a number is no result.
+    A score that is not a number is no result.  A task scores at most ASKING queries
+    and SCORES pairs at once, however large the block.
     """
     spark = importable(base.sparkSession)
     out = None
@@ -168,33 +187,35 @@ def scan(base: DataFrame, blocks: Iterator[tuple[np.ndarray, object]], read: Cal
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, q = shared.value
-            best = Best(len(own), k) if k is not None else None
-            step = max(16, SCORES // len(own))
+            asking = [slice(i, i + ASKING) for i in range(0, len(own), ASKING)]
+            best = [Best(len(own[a]), k) for a in asking] if k is not None else None
+            step = max(16, SCORES // min(ASKING, len(own)))
             for whole in batches:
                 for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                     rows, vec_id = read(batch), batch.column("vec_id").to_numpy()
-                    s = rough(q, rows)
-                    margin = 0 if exact is None else MARGIN * np.maximum(1, np.abs(s))
-                    with np.errstate(invalid="ignore"):
-                        keep = ~np.isnan(s) if threshold is None else s >= threshold - margin
+                    for n, a in enumerate(asking):
+                        part = share(q, a)
+                        s = rough(part, rows)
+                        if k is None and threshold is None and exact is None and not np.isnan(s).any():  # nothing is left out but a row itself
+                            at_q, at_b, values = np.repeat(np.arange(len(own[a])), len(vec_id)), np.tile(np.arange(len(vec_id)), len(own[a])), s.ravel()
+                        else:
+                            at_q, at_b = chosen(s, k, threshold, 0 if exact is None else MARGIN, best and best[n].least)
+                            values = s[at_q, at_b] if exact is None else None
+                        if exclude_self:
+                            other = own[a][at_q] != vec_id[at_b]
+                            if not other.all():
+                                at_q, at_b, values = at_q[other], at_b[other], None if values is None else values[other]
+                        if exact is not None:
+                            values = exact(part, at_q, rows, at_b)
+                            good = ~np.isnan(values) if threshold is None else values >= threshold
+                            at_q, at_b, values = at_q[good], at_b[good], values[good]
                         if best is not None:
-                            floor = best.least
-                            if k + 1 < s.shape[1]:  # one more, as the query may be among the rows
-                                floor = np.maximum(floor, np.partition(np.where(np.isnan(s), -np.inf, s), s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1])
-                            keep &= s >= floor[:, None] - margin
-                    at_q, at_b = np.nonzero(keep)
-                    if exclude_self:
-                        other = own[at_q] != vec_id[at_b]
-                        at_q, at_b = at_q[other], at_b[other]
-                    values = s[at_q, at_b] if exact is None else exact(q, at_q, rows, at_b)
-                    good = ~np.isnan(values) if threshold is None else values >= threshold
-                    at_q, at_b, values = at_q[good], at_b[good], values[good]
-                    if best is not None:
-                        best.add(at_q, vec_id[at_b], values)
-                    elif len(at_q):
-                        yield scored_batch(own, at_q, vec_id[at_b], values)
-            if best is not None and len(best.query):
-                yield scored_batch(own, best.query, best.id, best.score)
+                            best[n].add(at_q, vec_id[at_b], values)
+                        elif len(at_q):
+                            yield scored_batch(own[a], at_q, vec_id[at_b], values)
+            for a, b in zip(asking, best or ()):
+                if len(b.query):
+                    yield scored_batch(own[a], b.query, b.id, b.score)
 
         found = base.mapInArrow(run, SCORED)
         out = found if out is None else out.union(found)

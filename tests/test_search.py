@@ -160,3 +160,18 @@ def test_all_rows_in_blocks(spark):
         near = {(r.query_id, r.vec_id, r.score) for r in search.search(df, df, None, metric, threshold=0.6).collect() if r.query_id < r.vec_id}
         assert {tuple(r) for r in search.similar_pairs(df, 0.6, metric, part=20).collect()} == near and near
     assert search.similar_pairs(df.filter("false"), 0.6).count() == 0
+
+
+def test_scores_are_taken_in_bounded_tiles(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(1500)], "vec_id long, embedding array<float>").repartition(1)
+
+    def rough(q, rows):
+        if q.shape[0] > search.ASKING or q.shape[0] * rows.shape[0] > max(search.SCORES, 16 * search.ASKING):
+            raise ValueError("too many at once")
+        return q @ rows.T
+
+    blocks = lambda: search.query_blocks(df, "vec_id", "embedding", 1 << 30)
+    read = lambda batch: search.matrix(batch.column("embedding"))
+    assert search.scan(df, blocks(), read, rough).count() == 1500 * 1499
+    best = search.scan(df, blocks(), read, rough, None, 2)
+    assert best.count() == 3000 and best.filter("query_id = 3").orderBy("vec_id").collect()[0].vec_id == 6
