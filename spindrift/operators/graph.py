@@ -171,6 +171,8 @@ class Graph:
     entry: int | None = None
     deleted: set[int] = field(default_factory=set)
     codes: np.ndarray | None = None
+    _places: np.ndarray | None = field(default=None, init=False, repr=False)
+    _code_length2: np.ndarray | None = field(default=None, init=False, repr=False)
 
     def scores(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         s = similarity(self.metric, q, self.vectors[nodes])
@@ -180,10 +182,20 @@ class Graph:
         """Scores of nodes for a query: exact, or approximate by the codes of the nodes."""
         if codec is None:
             return lambda nodes: self.scores(q, nodes)
-        tables = codec.tables(q[None], "l2" if self.metric == "l2" else "dot")
+        table = codec.tables(q[None], "l2" if self.metric == "l2" else "dot")[0]
+        if self._places is None:  # once for all queries: where each node's codes are in a table, and the squared length they stand for
+            self._places = np.ascontiguousarray((self.codes.astype(np.int64) + codec.k * np.arange(codec.m)).T)
+            self._code_length2 = codec.magnitudes()[self._places].sum(axis=0)
+        places, own2 = self._places, float(codec._sum(q[None], q[None])[0])
 
         def approximate(nodes: list[int]) -> np.ndarray:
-            s = codec.scores(q[None], self.codes[nodes], self.metric, tables)[0]
+            total = table[places[:, nodes]].sum(axis=0)
+            if self.metric == "l2":
+                return 1 / (1 + total)
+            if self.metric == "dot":
+                return (1 + total) / 2
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = (1 + total / np.sqrt(self._code_length2[nodes] * own2)) / 2
             return np.where(np.isnan(s), -np.inf, s)
 
         return approximate
@@ -598,7 +610,28 @@ def compact(graph: DataFrame, vectors: DataFrame, targets: int, deleted: DataFra
 RESULT = "query_id long, vec_id long, score double, visited long, expanded long, expanded_base long, reranked long, worst_approximate double"
 
 
-def _searcher(shared, k: int, metric: str, rerank_k: int | None, threshold: float | None, filtered: bool, exclude_self: bool, options: BuildOptions, floor: float | None, codec):
+def completed(g: Graph, ids: np.ndarray, q: np.ndarray, found: list[Found], k: int, good: np.ndarray, exclude_self: bool) -> list[list[tuple[float, int]]]:
+    """The k best nodes of each query by exact scores, ties by id: walks say how good these are at least, and products find all that are."""
+    least = np.array([r.results[-1][0] if len(r.results) == k else -np.inf for r in found])
+    least -= search.MARGIN * np.maximum(1, np.where(np.isfinite(least), np.abs(least), 1))
+    best = search.Best(len(ids), k)
+    step = max(16, search.SCORES // len(ids))
+    for start in range(0, len(g.ids), step):
+        own, vectors = g.ids[start : start + step], g.vectors[start : start + step]
+        s = search.block_scores(g.metric, q, vectors)
+        s[:, ~good[start : start + step]] = np.nan
+        at_q, at_b = search.chosen(s, k, None, search.MARGIN, np.maximum(best.least, least))
+        if exclude_self:
+            other = ids[at_q] != own[at_b]
+            at_q, at_b = at_q[other], at_b[other]
+        values = search.exact_scores(g.metric, q[at_q], vectors[at_b])
+        there = ~np.isnan(values)
+        best.add(at_q[there], start + at_b[there], values[there])  # nodes are in order of ids
+    ends = np.searchsorted(best.query, np.arange(len(ids) + 1))
+    return [list(zip(best.score[a:b].tolist(), best.id[a:b].tolist())) for a, b in zip(ends, ends[1:])]
+
+
+def _searcher(shared, k: int, metric: str, rerank_k: int | None, threshold: float | None, filtered: bool, exclude_self: bool, options: BuildOptions, floor: float | None, codec, complete: bool):
     columns = [c.split()[0] for c in RESULT.split(", ")]
 
     def one(edges: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -606,22 +639,38 @@ def _searcher(shared, k: int, metric: str, rerank_k: int | None, threshold: floa
             return pd.DataFrame(columns=columns)
         g = Graph.from_rows(edges, rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()), metric, options, codec.value.m if codec else 0)
         good = np.isin(g.ids, rows.loc[rows["ok"].fillna(False).astype(bool), "vec_id"]) if filtered else np.ones(len(g.ids), dtype=bool)
+        allowed, place = good.tolist(), {int(v): n for n, v in enumerate(g.ids)}
+
+        def accept(i: int):
+            own = place.get(i) if exclude_self else None
+            if filtered:
+                return lambda n: allowed[n] and n != own
+            return None if own is None else lambda n: n != own
+
+        ids, block = shared.value
         found = []
-        for i, q in zip(*shared.value):
-            r = g.search(q, k, rerank_k, threshold, (lambda n, i=i: good[n] and (not exclude_self or g.ids[n] != i)) if filtered or exclude_self else None, floor, codec.value if codec else None)
-            found += [(int(i), int(g.ids[n]), s, r.visited, r.expanded, r.expanded_base, r.reranked, r.worst_approximate) for s, n in r.results]
+        for at in (slice(x, x + search.ASKING) for x in range(0, len(ids), search.ASKING)):
+            walks = [g.search(q, k, rerank_k, threshold, accept(int(i)), floor, codec.value if codec else None) for i, q in zip(ids[at], block[at])]
+            results = completed(g, ids[at], block[at], walks, k, good, exclude_self) if complete else [r.results for r in walks]
+            found += [(int(i), int(g.ids[n]), s, r.visited, r.expanded, r.expanded_base, r.reranked, r.worst_approximate) for i, r, best in zip(ids[at], walks, results) for s, n in best]
+            for r in walks:
+                r.walk = None
         return pd.DataFrame(found, columns=columns)
 
     return one
 
 
-def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", rerank_k: int | None = None, threshold: float | None = None, accept: Column | None = None, exclude_self: bool = True, options: BuildOptions = BuildOptions(), block_bytes: int = search.BLOCK_BYTES, floor: float | None = None, codec=None) -> DataFrame:
+def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", rerank_k: int | None = None, threshold: float | None = None, accept: Column | None = None, exclude_self: bool = True, options: BuildOptions = BuildOptions(), block_bytes: int = search.BLOCK_BYTES, floor: float | None = None, codec=None, complete: bool = False) -> DataFrame:
     """Approximate search in every segment, ranked together; counters are sums over segments.
 
     accept: a condition on rows of ``vectors``.  Queries go to the segments in
     blocks of bounded size.  codec: walk by the codes that ``with_codes`` has put
     beside the neighbours, and rescore the ``rerank_k`` best as in ``Graph.search``.
+    complete: let products of the queries with all rows of a segment find what the walk
+    has missed, so that results are those of an exact search, with its scores and ties.
     """
+    if complete and threshold is not None:
+        raise ValueError("a complete search takes no threshold")
     spark = importable(vectors.sparkSession)
     if codec is not None and "neighbor_codes" not in graph.columns:
         raise ValueError("this graph has no codes beside its neighbours")
@@ -631,7 +680,7 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     for ids, block in search.query_blocks(queries, "vec_id", "embedding", block_bytes):
         shared = spark.sparkContext.broadcast((ids, block.astype(np.float64)))
 
-        part = graph.groupBy("segment").cogroup(base.groupBy("segment")).applyInPandas(_searcher(shared, k, metric, rerank_k, threshold, accept is not None, exclude_self, options, floor, shared_codec), RESULT)
+        part = graph.groupBy("segment").cogroup(base.groupBy("segment")).applyInPandas(_searcher(shared, k, metric, rerank_k, threshold, accept is not None, exclude_self, options, floor, shared_codec, complete), RESULT)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], RESULT)
 

@@ -202,3 +202,19 @@ def test_compacted_tables(spark):
 def test_timed_runs(spark):
     runs = metrics.timed(spark, {"a": lambda: spark.range(5), "b": lambda: spark.range(9)}, 7, repeats=2, warm_up=0)
     assert runs.count() == 4 and runs.filter("seconds <= 0 or queries <> 7").count() == 0 and metrics.throughput(runs, ["name"]).count() == 2
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_complete_search_of_many_equal_vectors_equals_exact_search(spark, metric):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(12, 7)).astype(np.float32)
+    rows = [(i, [float(x) for x in v[i % 12]], 0) for i in range(900)] + [(901, [0.0] * 7, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    base = graph.with_segment(df, 2)
+    q = df.filter("vec_id % 50 = 0").select("vec_id", "embedding")
+    edges = graph.build(base, metric, BuildOptions(degree=4, beam=8))
+    found = graph.graph_search(edges, base, q, 10, metric, options=BuildOptions(degree=4, beam=8), complete=True)
+    keys = lambda x: {(r.query_id, r["rank"], r.vec_id, r.score) for r in x.collect()}
+    assert keys(search.ranked(found, 10)) == keys(search.search(df, q, 10, metric))
+    some = graph.graph_search(edges, base, q, 10, metric, accept=F.col("vec_id") % 3 == 1, options=BuildOptions(degree=4, beam=8), complete=True)
+    assert keys(search.ranked(some, 10)) == keys(search.search(df, q, 10, metric, accept=F.col("vec_id") % 3 == 1))
