@@ -218,3 +218,20 @@ def test_complete_search_of_many_equal_vectors_equals_exact_search(spark, metric
     assert keys(search.ranked(found, 10)) == keys(search.search(df, q, 10, metric))
     some = graph.graph_search(edges, base, q, 10, metric, accept=F.col("vec_id") % 3 == 1, options=BuildOptions(degree=4, beam=8), complete=True)
     assert keys(search.ranked(some, 10)) == keys(search.search(df, q, 10, metric, accept=F.col("vec_id") % 3 == 1))
+
+
+def test_walks_by_codes_take_lengths_of_codes_once(monkeypatch):
+    points = np.random.default_rng(2).normal(size=(200, 8))
+    codec = quantize.ProductQuantizer.train(points, 4, 16)
+    g = graph.Graph.build(np.arange(200), points, "cosine", OPTIONS)
+    g.codes = codec.encode(points).astype(np.int64)
+    calls, whole = [], quantize.ProductQuantizer.magnitudes
+    monkeypatch.setattr(quantize.ProductQuantizer, "magnitudes", lambda self: calls.append(1) or whole(self))
+    for metric in ("cosine", "l2", "dot"):
+        g.metric = metric
+        for q in points[:5] + 0.1:
+            assert (g.provider(q, codec)(list(range(200))) == codec.scores(q[None], g.codes, metric)[0]).all()
+    calls.clear()
+    g.metric = "cosine"
+    found = [g.search(q, 5, 40, codec=codec) for q in points[:5] + 0.1]
+    assert not calls and all(len(r.results) == 5 for r in found)
