@@ -235,3 +235,12 @@ def test_walks_by_codes_take_lengths_of_codes_once(monkeypatch):
     g.metric = "cosine"
     found = [g.search(q, 5, 40, codec=codec) for q in points[:5] + 0.1]
     assert not calls and all(len(r.results) == 5 for r in found)
+
+
+def test_building_and_merging_hold_bounded_products(monkeypatch):
+    held, whole = [], search.block_scores
+    monkeypatch.setattr(search, "block_scores", lambda metric, q, b: held.append(len(q) * len(b)) or whole(metric, q, b))
+    points = np.random.default_rng(4).normal(size=(1200, 6))
+    parts = [graph.Graph.build(np.arange(i, 1200, 2), points[i::2], "cosine", OPTIONS) for i in range(2)]
+    graph.Graph.merge(parts, OPTIONS)
+    assert held and max(held) <= 1 << 18
