@@ -780,6 +780,24 @@ def test_one_of_each_goes_by_the_similarity_of_shingles(spark, make_prose):
     assert {x.id for x in shingles.families(df, exhaustive=True).collect() if x.id == x.family} == got
 
 
+def test_no_pair_is_left_out_by_fingerprints_or_for_a_want_of_least_hashes(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    texts = []
+    for r in rng.integers(0, 5000, size=(30000, 28)):
+        w = [f"w{i}" for i in r]
+        texts += [" ".join(w[:24]), " ".join(w[:20] + w[24:])]  # they share 16 of 20 shingles
+    found, sizes = shingles.shingles(pa.array(texts, pa.large_string()), 5)
+    lead = np.cumsum(sizes) - sizes
+    keys = [np.minimum.reduceat(shingles.lane(found, shingles.LANES + i), lead) for i in range(8)]
+    alone = np.flatnonzero(~np.any([k[::2] == k[1::2] for k in keys], axis=0))  # the first eight least hashes all differ
+    at = [*alone.tolist(), 0, 1, 2]
+    assert len(alone)
+    rows = [(2 * i + j, texts[2 * i + j]) for i in at for j in (0, 1)]
+    monkeypatch.setattr(shingles, "RADIUS", 5)
+    got = {x.doc_id for x in shingles.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2 * i for i in at}
+
+
 @pytest.mark.parametrize("split", [7, 4096])
 def test_one_of_each_compares_all_that_can_be_linked(spark, make_prose, monkeypatch, split):
     """Groups of texts about at the bound, where the nearest rows of other families are often not within it."""
