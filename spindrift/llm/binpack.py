@@ -222,25 +222,28 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
 READ = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("place", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], Iterator[bytes]]]:
+    """For each image: the columns of its documents but for the ids, and the ids of each document, unpacked as they are asked for."""
+    for whole in batches:
+        for batch in (whole.slice(i, 1) for i in range(whole.num_rows)):
+            image = Image(batch.column("image")[0].as_py())
+            n = len(image.doc_ids)
+            columns = [
+                pa.array([batch.column("shard")[0].as_py()] * n, pa.int32()),
+                pa.array([batch.column("part")[0].as_py()] * n, pa.int32()),
+                pa.array(image.doc_ids, pa.int64(), mask=image.doc_ids == NULL_ID),
+                pa.array(image.starts[:-1], pa.int64()),
+                pa.array(np.diff(image.starts), pa.int64()),
+            ]
+            yield columns, (image.document(i).astype("<u4").tobytes() for i in range(n))
+
+
 def read(files: DataFrame) -> DataFrame:
     """The documents of file images: id, place in the file, number of ids, and the ids as unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 1) for i in range(whole.num_rows)):
-                image = Image(batch.column("image")[0].as_py())
-                n, docs = len(image.doc_ids), range(len(image.doc_ids))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("shard")[0].as_py()] * n, pa.int32()),
-                        pa.array([batch.column("part")[0].as_py()] * n, pa.int32()),
-                        pa.array(image.doc_ids, pa.int64(), mask=image.doc_ids == NULL_ID),
-                        pa.array(image.starts[:-1], pa.int64()),
-                        pa.array(np.diff(image.starts), pa.int64()),
-                        pa.array([image.document(i).astype("<u4").tobytes() for i in docs], pa.binary()),
-                    ],
-                    names=READ.fieldNames(),
-                )
+        for columns, ids in _documents(batches):
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(ids), pa.binary())], names=READ.fieldNames())
 
     return files.mapInArrow(run, READ)
 
@@ -262,12 +265,15 @@ SUMMED = T.StructType([*READ.fields[:-1], T.StructField("ids_crc32", T.LongType(
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """Per document: id, place of its first id among all, number of ids, and crc32 of the ids read back."""
+    """Per document: id, place of its first id among all, number of ids, and crc32 of the ids read back.
+
+    Images are read and summed by one worker a task, so that an executor has no more
+    workers than tasks and no ids travel between them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = pa.array([zlib.crc32(b) for b in batch.column("ids").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sums], names=SUMMED.fieldNames())
+        for columns, ids in _documents(batches):
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(map(zlib.crc32, ids), pa.int64())], names=SUMMED.fieldNames())
 
-    rows = read(files).mapInArrow(run, SUMMED)
+    rows = files.mapInArrow(run, SUMMED)
     return rows.join(starts(files), ["shard", "part"]).select("doc_id", (F.col("file_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -616,6 +616,14 @@ def test_packing_query(odd, none):
     assert binpack.digests(binpack.write(none, WORD, 1)).count() == 0
 
 
+def test_images_are_read_and_summed_by_one_worker(odd):
+    files = binpack.write(odd, WORD, 1, file_ids=500)
+    digests = binpack.digests(files)
+    assert digests._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    ids = {(r.shard, r.part, r.doc_id, r.place): (r.n_tokens, zlib.crc32(r.ids)) for r in binpack.read(files).collect()}
+    assert sorted(ids.values()) == sorted((r.n_tokens, r.ids_crc32) for r in digests.collect()) and len(ids) == odd.count()
+
+
 # quality rules
 
 
