@@ -67,6 +67,57 @@ def aligned(region: np.ndarray, text: np.ndarray, start: int, width: int, budget
     return int(row.min())
 
 
+#: Bytes of text that are aligned side by side, as far as one region does not need more.
+SIDE = 1 << 16
+
+
+def aligned_all(asked: list[tuple[np.ndarray, int, int, int]], text: np.ndarray) -> list[int | None]:
+    """What ``aligned`` gives for each (region, start, width, budget), worked out side by side."""
+    out: list[int | None] = [None] * len(asked)
+    whole, left = text.tobytes(), []
+    for i, (region, start, width, _) in enumerate(asked):
+        # a copy without edits on one of the diagonals
+        if region.tobytes() in whole[max(0, start) : max(0, start + len(region) + width - 1)]:
+            out[i] = 0
+        else:
+            left.append(i)
+    left.sort(key=lambda i: (asked[i][2], -len(asked[i][0])))
+    at = 0
+    while at < len(left):
+        width, longest = asked[left[at]][2], len(asked[left[at]][0])
+        part = [i for i in left[at : at + max(1, SIDE // (longest + width))] if asked[i][2] == width]
+        at += len(part)
+        sizes = np.array([len(asked[i][0]) for i in part])
+        padded = np.full((longest + width, len(part)), 256, dtype=np.int16)  # equals no byte
+        regions = np.zeros((longest, len(part)), dtype=np.int16)
+        for n, i in enumerate(part):
+            region, start, _, _ = asked[i]
+            regions[: len(region), n] = region
+            low, high = max(0, start), min(len(text), start + len(region) + width)
+            if low < high:
+                padded[low - start : high - start, n] = text[low:high]
+        kind = np.int16 if longest + width < 1 << 14 else np.int64
+        budgets = np.array([asked[i][3] for i in part], dtype=kind)
+        steps = np.arange(width, dtype=kind)[:, None]
+        least, here = np.zeros(len(part), dtype=kind), np.arange(len(part))
+        row = np.zeros((width, len(part)), dtype=kind)
+        for i in range(longest):
+            cost = row + (padded[i : i + width, here] != regions[i, here])
+            np.minimum(cost[:-1], row[1:] + 1, out=cost[:-1])
+            cost -= steps
+            row = np.minimum.accumulate(cost, axis=0)
+            row += steps
+            least[here] = row.min(axis=0)
+            on = (least[here] <= budgets[here]) & (sizes[here] > i + 1)
+            if not on.all():
+                here, row = here[on], row[:, on]
+                if not len(here):
+                    break
+        for n, i in enumerate(part):
+            out[i] = int(least[n]) if least[n] <= budgets[n] else None
+    return out
+
+
 class Items:
     """A block of benchmark items, indexed by q-gram."""
 
@@ -156,16 +207,22 @@ class Items:
         both = np.unique(keys * (int(self.size.max()) + 1) + gram) // (int(self.size.max()) + 1)
         band_key, shared = np.unique(both, return_counts=True)
         enough = shared >= self.bound[band_key // span]
+        bands: dict[int, list[int]] = {}
         for key in band_key[enough].tolist():
-            r, b = divmod(key, span)
-            if r in out:
-                continue
-            item, _, content, budget = self.regions[r]
-            # the region's ends can lie off the diagonals of the shared q-grams by the budget
-            start = b * (budget + 1) - len(content) - 2 * budget
-            edits = aligned(content, data, start, 6 * budget + 2, budget)
-            if edits is not None:
-                out[r] = (max(0, start), edits)
+            bands.setdefault(key // span, []).append(key % span)
+        n = 0
+        while bands:  # the first band of each region, then the second of those that are left
+            asked = []
+            for r, own in bands.items():
+                _, _, content, budget = self.regions[r]
+                # the region's ends can lie off the diagonals of the shared q-grams by the budget
+                asked.append((content, own[n] * (budget + 1) - len(content) - 2 * budget, 6 * budget + 2, budget))
+            for r, (_, start, _, _), edits in zip(list(bands), asked, aligned_all(asked, data)):
+                if edits is not None:
+                    out[r] = (max(0, start), edits)
+                if edits is not None or len(bands[r]) == n + 1:
+                    del bands[r]
+            n += 1
         return [(r, *v) for r, v in out.items()]
 
 

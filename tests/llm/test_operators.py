@@ -526,6 +526,26 @@ def test_alignment_is_the_least_within_the_band():
         assert got == (want if want <= 4 else None)
 
 
+def test_regions_side_by_side_are_aligned_as_one_by_one(monkeypatch):
+    r = random.Random(9)
+    for side in (1 << 16, 150):
+        monkeypatch.setattr(decontaminate, "SIDE", side)
+        for _ in range(60):
+            t = np.frombuffer(bytes(r.choice(b"abc") for _ in range(r.randint(1, 90))), np.uint8)
+            asked = []
+            for _ in range(r.randint(0, 12)):
+                at, budget = r.randint(-9, len(t)), r.randint(0, 3)
+                region = bytearray(t[max(0, at) : max(0, at) + r.randint(1, 40)].tobytes() or b"c")
+                for _ in range(r.randint(0, 4)):
+                    region[r.randrange(len(region))] = r.choice(b"abc")
+                asked.append((np.frombuffer(bytes(region), np.uint8), at - r.randint(0, 9), 6 * budget + 2, budget))
+            assert decontaminate.aligned_all(asked, t) == [decontaminate.aligned(a, t, *rest) for a, *rest in asked]
+    long = np.frombuffer(bytes(r.choice(b"abc") for _ in range(20_000)), np.uint8)
+    other = long.copy()
+    other[[5, 9_000, 15_000]] = ord("z")
+    assert decontaminate.aligned_all([(other, -8, 26, 4), (other, -8, 26, 2), (long, -8, 26, 4)], long) == [3, None, 0]
+
+
 # surrogates
 
 
