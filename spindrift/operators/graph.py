@@ -9,6 +9,7 @@ segments.  Everything random comes from hashes of ids.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -158,6 +159,34 @@ class Walk:
             fill()
         return sorted(((s, -n) for s, n in best), key=lambda x: (-x[0], x[1]))
 
+    def last(self, width: int) -> list[tuple[float, int]]:
+        """What ``next`` gives, by the same steps, after which the walk cannot be taken up again.
+
+        Nodes below the ``width`` best so far lead nowhere and are no result, so they are
+        not kept.  Scores come as a list; there is no threshold.
+        """
+        best = [(-s, -n) for s, n in (heapq.heappop(self.spare) for _ in range(min(width, len(self.spare))))]
+        heapq.heapify(best)
+        adjacent, seen, open_, accept, least = self.adjacent, self.seen, self.open, self.accept, best[0][0] if len(best) >= width else -np.inf
+        while open_ and -open_[0][0] >= least:
+            node = heapq.heappop(open_)[1]
+            self.expanded += 1
+            fresh = [n for n in adjacent.get(node, ()) if n not in seen]
+            seen.update(fresh)
+            self.visited += len(fresh)
+            kept = sorted((-s, n) for s, n in zip(self.score(fresh), fresh) if s >= least) if fresh else ()
+            for s, n in kept:
+                heapq.heappush(open_, (s, n))
+                if accept is not None and not accept(n):
+                    continue
+                if len(best) < width:
+                    heapq.heappush(best, (-s, -n))
+                elif -s > best[0][0]:
+                    heapq.heapreplace(best, (-s, -n))
+            if len(best) >= width:
+                least = best[0][0]
+        return sorted(((s, -n) for s, n in best), key=lambda x: (-x[0], x[1]))
+
 
 @dataclass
 class Graph:
@@ -200,14 +229,46 @@ class Graph:
 
         return approximate
 
+    def code_scores(self, q: np.ndarray, codec) -> np.ndarray:
+        """Approximate scores of all nodes, a row for each query, as ``provider`` gives them."""
+        self.provider(q[0], codec)
+        tables, total, found = np.ascontiguousarray(codec.tables(q, "l2" if self.metric == "l2" else "dot").T), np.zeros((len(self.ids), len(q))), np.empty((len(self.ids), len(q)))
+        for place in self._places:
+            total += np.take(tables, place, axis=0, out=found)
+        if self.metric == "l2":
+            return (1 / (1 + total)).T
+        if self.metric == "dot":
+            return ((1 + total) / 2).T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = (1 + total / np.sqrt(self._code_length2[:, None] * codec._sum(q, q)[None])) / 2
+        return np.where(np.isnan(s), -np.inf, s).T
+
     # searching
 
-    def search(self, q: np.ndarray, k: int, rerank_k: int | None = None, threshold: float | None = None, accept=None, floor: float | None = None, codec=None) -> Found:
+    def search_all(self, q: np.ndarray, k: int, rerank_k: int | None = None, accept=None, floor: float | None = None, codec=None) -> Iterator[Found]:
+        """What ``search`` finds for each query, by the same steps, with no walk to take up again; ``accept`` is one condition for each query, or None.
+
+        Approximate scores of some queries with all nodes are looked up at once.
+        """
+        q = np.asarray(q, dtype=np.float64)
+        step = max(1, search.SCORES // max(1, len(self.ids)))
+        for start in range(0, len(q), step):
+            part = q[start : start + step]
+            rows = self.code_scores(part, codec) if codec is not None and self.entry is not None else None
+            for n, x in enumerate(part):
+                if rows is None:
+                    score = lambda nodes, x=x: self.scores(x, nodes).tolist()
+                else:
+                    score = lambda nodes, row=rows[n].tolist(): [row[i] for i in nodes]
+                yield self.search(x, k, rerank_k, None, accept[start + n] if accept is not None else None, floor, codec, score)
+
+    def search(self, q: np.ndarray, k: int, rerank_k: int | None = None, threshold: float | None = None, accept=None, floor: float | None = None, codec=None, last=None) -> Found:
         """The k best nodes; ``rerank_k`` widens the search.
 
         With a codec the walk goes by approximate scores, and the ``rerank_k`` best
         get exact ones: all that reach ``floor``, or the first if none does.  The
-        threshold holds for the scores that the walk goes by.
+        threshold holds for the scores that the walk goes by.  last: lists of these scores,
+        for a search without threshold that is not taken up again.
         """
         width = k if rerank_k is None else rerank_k
         if width < k:
@@ -215,17 +276,20 @@ class Graph:
         if self.entry is None:
             return Found([])
         q = np.asarray(q, dtype=np.float64)
-        score = self.provider(q, codec)
+        score = last or self.provider(q, codec)
         start = [(float(score([self.entry])[0]), self.entry)]
         visited = expanded = 0
         for level in range(len(self.layers) - 1, 0, -1):  # down the hierarchy, unfiltered
             walk = Walk(self.layers[level], score, start)
-            start = walk.next(1) or start
+            start = (walk.last(1) if last else walk.next(1)) or start
             visited, expanded = visited + walk.visited, expanded + walk.expanded
         live = (lambda n: n not in self.deleted and (accept is None or accept(n))) if self.deleted or accept else None
         walk = Walk(self.layers[0], score, start, live, threshold)
-        found = walk.next(width)
-        return self._found(q, found, k, floor, codec, walk, visited, expanded)
+        found = walk.last(width) if last else walk.next(width)
+        out = self._found(q, found, k, floor, codec, walk, visited, expanded)
+        if last:
+            out.walk = None
+        return out
 
     def resume(self, q: np.ndarray, before: Found, k: int, rerank_k: int | None = None, floor: float | None = None, codec=None) -> Found:
         """The next k after an earlier search, whose walk goes on from where it stood."""
@@ -648,14 +712,20 @@ def _searcher(shared, k: int, metric: str, rerank_k: int | None, threshold: floa
             return None if own is None else lambda n: n != own
 
         ids, block = shared.value
+        taken = codec.value if codec else None
         found = []
         for at in (slice(x, x + search.ASKING) for x in range(0, len(ids), search.ASKING)):
-            walks = [g.search(q, k, rerank_k, threshold, accept(int(i)), floor, codec.value if codec else None) for i, q in zip(ids[at], block[at])]
+            own = [accept(int(i)) for i in ids[at]]
+            if threshold is None:
+                walks = list(g.search_all(block[at], k, rerank_k, own, floor, taken))
+            else:
+                walks = [g.search(q, k, rerank_k, threshold, a, floor, taken) for q, a in zip(block[at], own)]
             results = completed(g, ids[at], block[at], walks, k, good, exclude_self) if complete else [r.results for r in walks]
-            found += [(int(i), int(g.ids[n]), s, r.visited, r.expanded, r.expanded_base, r.reranked, r.worst_approximate) for i, r, best in zip(ids[at], walks, results) for s, n in best]
-            for r in walks:
-                r.walk = None
-        return pd.DataFrame(found, columns=columns)
+            n = [len(best) for best in results]
+            scores, nodes = np.array([x for best in results for x in best], dtype=np.float64).reshape(-1, 2).T
+            spent = np.array([(r.visited, r.expanded, r.expanded_base, r.reranked) for r in walks], dtype=np.int64).repeat(n, axis=0)
+            found.append((ids[at].repeat(n), g.ids[nodes.astype(np.int64)], scores, *spent.T, np.repeat([r.worst_approximate for r in walks], n)))
+        return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found)))))
 
     return one
 

@@ -1,3 +1,5 @@
+import heapq
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +246,28 @@ def test_building_and_merging_hold_bounded_products(monkeypatch):
     parts = [graph.Graph.build(np.arange(i, 1200, 2), points[i::2], "cosine", OPTIONS) for i in range(2)]
     graph.Graph.merge(parts, OPTIONS)
     assert held and max(held) <= 1 << 18
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_walks_side_by_side_take_the_same_steps_and_keep_less(metric, monkeypatch):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(900, 8))
+    points[300:330] = points[7]  # ties
+    codec = quantize.ProductQuantizer.train(points, 4, 16)
+    g = graph.Graph.build(np.arange(900), points, metric, OPTIONS)
+    g.codes = codec.encode(points).astype(np.int64)
+    g.delete({11, 12})
+    q = np.concatenate([points[:30] + 0.1, points[:3]])
+    accept = [None if i % 3 else lambda n: n % 5 > 0 for i in range(len(q))]
+    for how in ({}, {"codec": codec}, {"codec": codec, "floor": 0.7}):
+        one = [g.search(x, 5, 40, accept=a, **how) for x, a in zip(q, accept)]
+        pushed, push = [], heapq.heappush
+        monkeypatch.setattr(graph.heapq, "heappush", lambda h, x: pushed.append(x) or push(h, x))
+        [g.search(x, 5, 40, accept=a, **how) for x, a in zip(q, accept)]
+        before = len(pushed)
+        all_ = list(g.search_all(q, 5, 40, accept, **how))
+        monkeypatch.undo()
+        assert 2 * (len(pushed) - before) < before
+        for a, b in zip(one, all_):
+            assert [n for _, n in a.results] == [n for _, n in b.results] and np.allclose([s for s, _ in a.results], [s for s, _ in b.results], rtol=1e-15)
+            assert (a.visited, a.expanded, a.expanded_base, a.reranked) == (b.visited, b.expanded, b.expanded_base, b.reranked) and b.walk is None
