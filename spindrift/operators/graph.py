@@ -466,24 +466,25 @@ class Graph:
         graph._start()
         source = np.repeat(np.arange(len(parts)), [int(k.sum()) for k in live])[order]
         place = [dict(zip(np.flatnonzero(k).tolist(), np.searchsorted(graph.ids, p.ids[k]).tolist())) for p, k in zip(parts, live)]
-        known: dict[int, set[int]] = {}
+        known: dict[int, np.ndarray] = {}
         for p, to in zip(parts, place):
             for node, near in p.layers[0].items():
                 if node in to:
                     pool = set(near) | {n for x in near if x in p.deleted for n in p.layers[0].get(x, ())}
-                    known[to[node]] = {to[n] for n in pool if n in to}
+                    known[to[node]] = np.array([to[n] for n in pool if n in to], dtype=np.int32)
         for level in range(len(graph.layers)):
             nodes = np.flatnonzero(graph._tops >= level)
-            pools: dict[int, set[int]] = {int(n): set(known.get(int(n), ())) if level == 0 else set() for n in nodes}
+            # arrays, as sets of so many numbers would be most of what a task holds
+            pools: dict[int, list[np.ndarray]] = {int(n): [known[int(n)]] if level == 0 and int(n) in known else [] for n in nodes}
             for i in range(len(parts)):
                 of = nodes[source[nodes] == i]
                 ask = nodes[source[nodes] != i] if level == 0 else nodes
                 if len(of) and len(ask):
                     for n, near in zip(ask.tolist(), graph._nearest(ask, of, options.beam)):
-                        pools[n].update(near.tolist())
+                        pools[n].append(near.astype(np.int32))
             for n, far in zip(nodes.tolist(), graph._far(nodes, nodes)):
-                pools[n].update(far.tolist())
-            graph._layer_lists(level, nodes, [np.array(sorted(pools[int(n)] - {int(n)}), dtype=np.int64) for n in nodes])
+                pools[n].append(far.astype(np.int32))
+            graph._layer_lists(level, nodes, [(u := np.unique(np.concatenate(pools.pop(n))))[u != n] for n in nodes.tolist()])
         return graph
 
     def _link(self, level: int, node: int, candidates: list[tuple[float, int]]) -> None:
@@ -665,10 +666,10 @@ def compact(graph: DataFrame, vectors: DataFrame, targets: int, deleted: DataFra
             g.delete({i for i, v in enumerate(g.ids) if v in gone})
             parts.append(g)
         if not any(len(p.ids) > len(p.deleted) for p in parts):
-            return edges[:0].drop(columns="target")
+            return pd.DataFrame(columns=[c.split()[0] for c in GRAPH.split(", ")])
         return Graph.merge(parts, options).check().rows(int(key[0]))
 
-    return graph.withColumn("target", to).groupBy("target").cogroup(rows.groupBy("target")).applyInPandas(one, GRAPH)
+    return graph.drop("scores").withColumn("target", to).groupBy("target").cogroup(rows.groupBy("target")).applyInPandas(one, GRAPH)
 
 
 RESULT = "query_id long, vec_id long, score double, visited long, expanded long, expanded_base long, reranked long, worst_approximate double"
@@ -750,7 +751,7 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     for ids, block in search.query_blocks(queries, "vec_id", "embedding", block_bytes):
         shared = spark.sparkContext.broadcast((ids, block.astype(np.float64)))
 
-        part = graph.groupBy("segment").cogroup(base.groupBy("segment")).applyInPandas(_searcher(shared, k, metric, rerank_k, threshold, accept is not None, exclude_self, options, floor, shared_codec, complete), RESULT)
+        part = graph.drop("scores").groupBy("segment").cogroup(base.groupBy("segment")).applyInPandas(_searcher(shared, k, metric, rerank_k, threshold, accept is not None, exclude_self, options, floor, shared_codec, complete), RESULT)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], RESULT)
 

@@ -1,4 +1,5 @@
 import heapq
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -271,3 +272,16 @@ def test_walks_side_by_side_take_the_same_steps_and_keep_less(metric, monkeypatc
         for a, b in zip(one, all_):
             assert [n for _, n in a.results] == [n for _, n in b.results] and np.allclose([s for s, _ in a.results], [s for s, _ in b.results], rtol=1e-15)
             assert (a.visited, a.expanded, a.expanded_base, a.reranked) == (b.visited, b.expanded, b.expanded_base, b.reranked) and b.walk is None
+
+
+def test_merging_holds_no_sets_of_candidates():
+    points = np.random.default_rng(12).normal(size=(2400, 6))
+    wide = BuildOptions(degree=12, beam=64)
+    parts = [graph.Graph.build(np.arange(i, 2400, 4), points[i::4], "cosine", wide) for i in range(4)]
+    graph.Graph.merge(parts, wide)
+    tracemalloc.start()
+    try:
+        graph.Graph.merge(parts, wide).check()
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
